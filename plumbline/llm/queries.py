@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
-from .common import table
+from . import quality_rules, toxicity
+from .common import hold_out, table
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", hold_out().alias("held_out"), "score", "predicted")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
