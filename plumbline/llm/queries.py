@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_rules, simhash, token_counts, toxicity
+from . import bpe, decontaminate, html_content, quality_rules, simhash, token_counts, toxicity
 from .common import hold_out, table
 
 
@@ -33,6 +33,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", hold_out().alias("held_out"), "score", "predicted")
 
 
+def op9_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
