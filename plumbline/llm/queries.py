@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_content, quality_rules, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontaminate, html_content, ngram_scores, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import hold_out, table
 
 
+def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores.score(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
 
