@@ -203,7 +203,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     linked = roots.join(least.withColumnRenamed("fp", "node"), "node")
     top = linked.groupBy("root").agg(F.min("least").alias("top"))
     moved = linked.join(top, "root").select(F.col("node").alias("fp"), "top")
-    by_fp = least.join(moved, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
+    # A table of its own, so that the join below deals out both sides anew and
+    # Spark can split the rows of a fingerprint that very many documents share.
+    by_fp = checkpointed(least.join(moved, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")))
     return made.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
