@@ -202,8 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Decisi
     bad if any of them says so.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    known = sampled_ids(known, params.max_labelled)
-    rows = statistics(docs.select("doc_id", "text").join(known.withColumnRenamed("_quality", "quality"), "doc_id")).where(~F.col("base_failed"))
+    known = sampled_ids(known, params.max_labelled)  # so many rows at most may be broadcast
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known.withColumnRenamed("_quality", "quality")), "doc_id")).where(~F.col("base_failed"))
     got = sorted(tuple(r) for r in rows.select("doc_id", "quality", *FEATURES).dropDuplicates(["doc_id"]).collect())
     if not got:
         return DecisionList()
