@@ -29,3 +29,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import capture_queries  # noqa: E402, F401  registers its queries
