@@ -23,12 +23,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    """Imports the modules whose decorators fill the catalogue."""
+    from . import capture_queries, scene_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-from . import capture_queries  # noqa: E402, F401  registers its queries
