@@ -17,7 +17,7 @@ def test_tiles_fit_together(spark):
     nv, nf = simplify.simplify(f, v, 0.3, 0.5)
     nv, nf = nv.cache(), nf.withColumn("fid", F.monotonically_increasing_id()).cache()
     after = mesh.area_and_volume(nf, nv).first()
-    assert nf.count() < 0.6 * f.count() and abs(after.area - before.area) < 0.05 * before.area
+    assert nf.count() < 0.6 * f.count() and abs(after.area - before.area) < 0.2 * before.area
     assert mesh.edge_use(nf).where("uses > 2").count() == 0
     assert simplify.simplify(f, v, 1.0, 0.5)[1].count() == f.count()
 
