@@ -31,14 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, text_batches
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
 @dataclass(frozen=True)
 class Params:
-    cache: int = 200_000
+    cache: int = 50_000
     long_word: int = 400
-    batch_bytes: int = 4_000_000
+    batch_bytes: int = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -248,6 +250,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, params: Params =
 
     vocabulary: a path that every worker can read; by default the installed file.
     """
+    text_batches(docs.sparkSession)
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -261,6 +264,8 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, params: Params =
                     decoded = codec.decode(ids).encode("utf-8")
                     rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pd.DataFrame(rows, columns=made)
+        del codec
+        release()
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*made, "text", "_bpe")]
     return docs.select(*keep, run(F.col("text")).alias("_bpe")).select(*keep, "_bpe.*")
@@ -268,6 +273,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, params: Params =
 
 def encode(docs: DataFrame, vocabulary: str | None = None, params: Params = Params()) -> DataFrame:
     """``docs`` with the column ids: array<int>."""
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

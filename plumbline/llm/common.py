@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,47 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def release() -> None:
+    """Gives freed memory back to the system; for the end of a task in a Python worker, which lives on.
+
+    An executor's idle workers otherwise keep what their largest task once held.
+    """
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+#: Rows of text that one Arrow batch carries to a Python worker at most.
+TEXT_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small, so that a worker holds a few megabytes at a time.
+
+    Sets the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` where it is larger.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
+def shielded(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``keep`` renamed by their place, and what gives the old names back.
+
+    Names that an operator uses then never clash with the table's own.
+    """
+    names = [c if c in keep else f"own_{i}" for i, c in enumerate(docs.columns)]
+    own = list(docs.columns)
+    return docs.toDF(*names), lambda df: df.select(*[F.col(n).alias(c) for n, c in zip(names, own, strict=True)])
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

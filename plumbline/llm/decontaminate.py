@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release, shielded, text_batches
 
 #: Everything but digits, a-z (after lower-casing A-Z) and bytes from 0x80 on parts words.
 _BREAK = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -175,28 +175,54 @@ def _parts(items: DataFrame, params: Params) -> Iterator[Automaton]:
 _FOUND = "n_words long, spans array<int>, items array<string>"
 
 
+def _spans(automaton: Automaton, text: str | None, before: list, items: list) -> tuple[int, list[tuple[int, int]], set]:
+    """The words of a text, its hit spans with those of earlier passes, and the items."""
+    ws = words(text)
+    spans, found = automaton.spans(ws)
+    old = list(map(int, before))
+    return len(ws), joined(spans + list(zip(old[::2], old[1::2], strict=True))), {*items, *map(str, found)}
+
+
 def _pass(docs: DataFrame, automaton: Automaton) -> DataFrame:
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     @F.pandas_udf(_FOUND)
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for x, before in batches:
+            got = (_spans(shared.value, *r) for r in zip(x, before["spans"], before["items"], strict=True))
+            yield pd.DataFrame([(n, [i for s in spans for i in s], sorted(found)) for n, spans, found in got], columns=["n_words", "spans", "items"])
+        release()
+
+    return docs.withColumn("_m", run(F.col("text"), F.col("_m")))
+
+
+def _cutting_pass(docs: DataFrame, automaton: Automaton, params: Params) -> DataFrame:
+    """The last pass where texts are cut: one trip through Python does both."""
+    text_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    @F.pandas_udf("text string, gone boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         for x, before in batches:
             rows = []
             for t, old, items in zip(x, before["spans"], before["items"], strict=True):
-                ws = words(t)
-                spans, found = shared.value.spans(ws)
-                old = list(map(int, old))
-                spans = joined(spans + list(zip(old[::2], old[1::2], strict=True)))
-                rows.append((len(ws), [i for s in spans for i in s], sorted({*items, *map(str, found)})))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                _, spans, _ = _spans(shared.value, t, old, items)
+                left = cut(t, spans, params) if spans else t
+                rows.append((left, bool(spans) and not words(left)))
+            yield pd.DataFrame(rows, columns=["text", "gone"])
+        release()
 
-    return docs.withColumn("_m", run(F.col("text"), F.col("_m")))
+    return docs.withColumn("_new", run(F.col("text"), F.col("_m")))
+
+
+def _unmatched(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_m", F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")))
 
 
 def matches(docs: DataFrame, items: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with ``_m``: n_words, spans (starts and ends by turns, in words) and items."""
-    nothing = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    out = docs.withColumn("_m", nothing)
+    out = _unmatched(docs)
     for k, automaton in enumerate(_parts(items, params)):
         out = _pass(checkpointed(out) if k else out, automaton)
     return out
@@ -238,18 +264,11 @@ def cut(text: str, spans: list[tuple[int, int]], params: Params) -> str:
 
 def remove(docs: DataFrame, items: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with hit spans cut from text; rows left without a word by that go; n_chars follows."""
-
-    @F.pandas_udf("text string, gone boolean")
-    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, s in zip(texts, spans, strict=True):
-            s = list(map(int, s))
-            left = cut(t, list(zip(s[::2], s[1::2], strict=True)), params) if s else t
-            rows.append((left, bool(s) and not words(left)))
-        return pd.DataFrame(rows, columns=["text", "gone"])
-
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    m = matches(docs.select(own.alias("own"), "text"), items, params)
-    got = m.select("own", run(F.col("text"), F.col("_m.spans")).alias("new")).where(~F.col("new.gone"))
-    size = F.length("new.text").cast("long")
-    return got.select(*[F.col("new.text").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"own.`{c}`") for c in docs.columns])
+    own, restore = shielded(docs, ("text", "n_chars"))
+    out, last = _unmatched(own), None
+    for automaton in _parts(items, params):
+        if last is not None:
+            out = checkpointed(_pass(out, last))
+        last = automaton
+    got = _cutting_pass(out, last, params).where(~F.col("_new.gone")).withColumn("text", F.col("_new.text"))
+    return restore(got.withColumn("n_chars", F.length("text").cast("long")))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, sampled_ids, text_or_empty
+from .common import WHITE, sampled_ids, shielded, text_or_empty
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -220,5 +220,5 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame
 def filter_documents(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
     rules = fit(docs, labels, params)
-    own = docs.withColumn("own", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("own", F.col("text"))
-    return judge(own, rules).where("kept").select("own.*")
+    own, restore = shielded(docs)
+    return restore(judge(own, rules).where("kept"))

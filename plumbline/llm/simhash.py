@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, parallelism
+from .common import LOWER, checkpointed, parallelism, release, text_batches
 from .components import components
 
 _ODD = np.uint64(0x5555555555555555)
@@ -76,10 +76,13 @@ def fingerprint(text: str | None, params: Params = Params()) -> int:
 
 def fingerprints(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, fp: long) of every row."""
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
-    def make(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, params) for t in texts], np.uint64).view(np.int64))
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, params) for t in texts], np.uint64).view(np.int64))
+        release()
 
     return docs.select("doc_id", make(F.col("text")).alias("fp"))
 
@@ -155,7 +158,7 @@ def _links(max_distance: int):
                 continue
             parts.append((g, f.astype(np.int64).view(np.uint64), o.astype(bool)))
             rows += len(g)
-            if rows >= 200_000:
+            if rows >= 100_000:
                 g, f, o = (np.concatenate(x) for x in zip(*parts, strict=True))
                 cut = int(np.searchsorted(g, g[-1]))
                 if cut:
@@ -163,6 +166,8 @@ def _links(max_distance: int):
                 parts, rows = [(g[cut:], f[cut:], o[cut:])], len(g) - cut
         if parts:
             yield from emit(parts)
+        parts.clear()
+        release()
 
     return run
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold_out, sampled_ids
+from .common import hold_out, release, sampled_ids, shielded, text_batches
 
 _BREAK = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -51,7 +51,7 @@ class Params:
     l2: float = 1e-6
     full_share: float = 0.01
     threshold: float = 0.7
-    cache: int = 300_000
+    cache: int = 100_000
 
 
 @dataclass(frozen=True)
@@ -175,6 +175,7 @@ def score_text(text: str | None, features: _Features) -> float:
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     """labels: doc_id, toxic (1 is toxic).  A document is toxic if any of its labels says so."""
     known = labels.where("doc_id is not null and toxic is not null").where(~hold_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    text_batches(docs.sparkSession)
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not share:
         return train([], [], 0.0, params)
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (own columns first) with score and predicted; columns of those names are replaced."""
+    text_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # Params.features weights, whatever the data
 
@@ -205,6 +207,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         features = _Features(shared.value)
         for x in batches:
             yield pd.Series([score_text(t, features) for t in x], dtype="float64")
+        del features
+        release()
 
     df = docs.withColumn("score", scored(F.col("text")))
     return df.withColumn("predicted", (F.col("score") >= model.params.threshold).cast("int"))
@@ -212,5 +216,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their own columns."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
-    return score(own, fit(docs, labels, params)).where("predicted = 0").select("own.*")
+    own, restore = shielded(docs)
+    return restore(score(own, fit(docs, labels, params)).where("predicted = 0"))
