@@ -171,7 +171,8 @@ def gimbal_rotation(yaw: Column, pitch: Column, roll: Column) -> Column:
     """The camera's rotation in an east-north-up frame, of compass yaw and gimbal pitch and roll (degrees)."""
     from . import vectors as V
 
-    base = V.quat_from_rows([[F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], [F.lit(0.0), F.lit(-1.0), F.lit(0.0)]])
+    half = 0.5**0.5
+    base = V.quat(-half, 0, 0, half)  # camera z to north, y to down
     turn = V.quat_from_axis_angle(V.vec(0, 0, 1), -F.radians(yaw))
     tilt = V.quat_from_axis_angle(V.vec(1, 0, 0), F.radians(pitch))
     bank = V.quat_from_axis_angle(V.vec(0, 0, 1), F.radians(roll))
