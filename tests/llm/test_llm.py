@@ -431,3 +431,19 @@ def test_pipeline(spark):
             assert out.count() == kept[-1]
     assert kept == sorted(kept, reverse=True) and kept[-1] > 0.5 * kept[0]
     assert corpus_pipeline.run(spark, DATA).count() == kept[-1]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    got = queries.queries()[name](spark, DATA)
+    con = duckdb.connect()
+    for t in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{t}'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    same([tuple(r[n] for n in names) for r in got.collect()], want.fetchall())
