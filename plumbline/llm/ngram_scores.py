@@ -111,6 +111,20 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), "<u4").astype(np.int64)
 
 
+def _pack_hashes(h: np.ndarray) -> bytes:
+    """Rising hashes as differences: the five low bytes as they are, the three high ones, mostly zero, compressed."""
+    step = np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    high = zlib.compress(np.ascontiguousarray(step[5:]).tobytes(), 1)
+    return len(high).to_bytes(4, "little") + high + np.ascontiguousarray(step[:5]).tobytes()
+
+
+def _unpack_hashes(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    low = np.frombuffer(b, np.uint8, offset=4 + n).reshape(5, -1)
+    high = np.frombuffer(zlib.decompress(b[4 : 4 + n]), np.uint8).reshape(3, -1)
+    return np.cumsum(np.ascontiguousarray(np.concatenate([low, high]).T).view("<u8")[:, 0], dtype=np.uint64)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
@@ -169,7 +183,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
                     a, b = bounds[p], bounds[p + 1]
                     if b > a:
                         n = block.counts[a:b] if counted else np.zeros(b - a, np.int64)
-                        out.append((p, name, 1 if scored else 0, block.hashes[a:b].tobytes(), _pack(n), None))
+                        out.append((p, name, 1 if scored else 0, _pack_hashes(block.hashes[a:b]), _pack(n), None))
                 if scored:
                     whole = table.combine_chunks()
                     out.append((xxhash.xxh32_intdigest(name) % parts, name, 2, None, None, _documents(*(whole.column(c).chunk(0) for c in range(2)))))
@@ -216,7 +230,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
 def _answers(route: int | None, rows: list[dict]) -> Iterator[pa.RecordBatch]:
     if not rows:
         return
-    hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+    hashes = [_unpack_hashes(r["hashes"]) for r in rows]
     keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
     sums = np.bincount(at, np.concatenate([_unpack(r["counts"]) for r in rows]), len(keys)).astype(np.int64)
     for r, h in zip(rows, hashes, strict=True):
