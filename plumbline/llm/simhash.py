@@ -52,8 +52,6 @@ class Params:
     chunk: int = 4_096
 
 
-#: Shingles of five words, as elsewhere where no contract says otherwise.
-FIVE_WORDS = Params(words=5)
 MAX_DISTANCE = 3
 
 
@@ -218,8 +216,204 @@ def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, params: Params = FIVE_WORDS) -> DataFrame:
-    """One row of each component, that with its smallest doc_id; all columns stay."""
-    keep = near_duplicates(docs, params).where("doc_id = component_id").select("doc_id").distinct()
+@dataclass(frozen=True)
+class Similar:
+    """For links by similarity: the first ``key_bits`` search candidates, all ``bits`` thin them out, texts decide.
+
+    Signatures at a similarity of 0.8 differ in 155 of 1,024 bits, give or take 12.
+    """
+
+    words: int = 5
+    seed: int = 42
+    bits: int = 1024
+    key_bits: int = 256
+    bands: int = 48
+    band_bits: int = 14
+    candidate_distance: int = 60
+    link_distance: int = 195
+    similarity: float = 0.8
+    chunk: int = 1024
+
+    def places(self) -> np.ndarray:
+        """The bits that each band reads, by a fixed seed."""
+        rng = np.random.default_rng(self.seed)
+        return np.stack([rng.choice(self.key_bits, self.band_bits, replace=False) for _ in range(self.bands)])
+
+
+def signature(text: str | None, params: Similar = Similar()) -> bytes:
+    """The majority bits of all shingles' hashes, each hash stretched to ``bits`` by counted mixing."""
+    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    if not words:
+        return bytes(params.bits // 8)
+    k = min(params.words, len(words))
+    line = b" ".join(words)
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    starts = [0, *ends]
+    view, digest, seed = memoryview(line), xxhash.xxh64_intdigest, params.seed
+    hashes = np.array([digest(view[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
+    count = np.arange(1, params.bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(params.bits, np.int64)
+    for i in range(0, len(hashes), 255):  # so that a byte holds the sum
+        x = hashes[i : i + 255, None] + count
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def _tree(group: np.ndarray, node: np.ndarray, keys: np.ndarray, limit: int) -> tuple[list, list]:
+    """Links of least distance that connect the pairs within ``limit`` in the same group; rows come sorted by group.
+
+    A pair that fails a later check had no closer way round within its group.
+    """
+    found, at, step = [], np.arange(len(node) - 1), 1
+    while True:
+        at = at[at + step < len(node)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        for i in range(0, len(at), 1 << 18):
+            a = at[i : i + (1 << 18)]
+            d = np.bitwise_count(keys[a] ^ keys[a + step]).sum(1, dtype=np.int64)
+            near = d <= limit
+            found.append(np.stack([d[near], a[near], a[near] + step], 1))
+        step += 1
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = up = parent.get(up, up)
+            x = up
+        return x
+
+    us, vs = [], []
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        # Trees are kept for each group apart: a node may stand in several.
+        p, q = root(i), root(j)
+        if p != q:
+            parent[p] = q
+            us.append(int(node[i]))
+            vs.append(int(node[j]))
+    return us, vs
+
+
+def similar_links(nodes: DataFrame, params: Similar = Similar()) -> DataFrame:
+    """(u, v): candidate links of nodes(node, sig) whose signatures differ in ``link_distance`` bits at most.
+
+    Bands of sampled bits search candidates, and the search bits' distance sorts
+    them into trees of least distance.
+    """
+    n = parallelism(nodes.sparkSession)
+    schema = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("key", pa.binary())])
+    size, found = params.key_bits // 8, "u long, v long"
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, weights = params.places(), np.left_shift(1, np.arange(params.band_bits))
+        for b in batches:
+            key = [s[:size] for s in b.column(1).to_pylist()]
+            if not key:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(key), np.uint8).reshape(-1, size), axis=1, bitorder="little")
+            packed, column = pa.array(key, pa.binary()), b.column(0)
+            for k, place in enumerate(places):
+                g = bits[:, place] @ weights + (k << params.band_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), column, packed], schema=schema)
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+        def emit(g: np.ndarray, node: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+            u, v = _tree(g, node, key, params.candidate_distance)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out)
+
+        parts, rows = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, size // 8)
+            parts.append((b.column(0).to_numpy(), b.column(1).to_numpy(), key))
+            rows += b.num_rows
+            if rows >= 50_000:
+                g, node, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+                cut = int(np.searchsorted(g, g[-1]))
+                if cut:
+                    yield from emit(g[:cut], node[:cut], key[:cut])
+                parts, rows = [(g[cut:], node[cut:], key[cut:])], len(g) - cut
+        if parts:
+            yield from emit(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        parts.clear()
+        release()
+
+    rows = nodes.select("node", "sig").mapInArrow(entries, "g long, node long, key binary").repartition(n, "g")
+    full = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > params.chunk)
+    cold = rows.join(full, "g", "left_anti").select("g", "node", "key").sortWithinPartitions("g", "node").mapInArrow(trees, found)
+    hot = rows.join(full, "g").withColumn("parts", F.ceil(F.col("size") / params.chunk)).withColumn("mine", F.pmod(F.xxhash64("node"), "parts"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hot = hot.select(F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node", "key")
+    hot = hot.repartition(n, "g").sortWithinPartitions("g", "node").mapInArrow(trees, found)
+    pairs = cold.unionByName(hot).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = pairs.join(nodes.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(nodes.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
+
+    @F.pandas_udf("int")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="int32")
+        x, y = (np.frombuffer(b"".join(c), np.uint64).reshape(len(c), params.bits // 64) for c in (a, b))
+        return pd.Series(np.bitwise_count(x ^ y).sum(1, dtype=np.int64).astype(np.int32))
+
+    return both.where(apart("su", "sv") <= params.link_distance).select("u", "v")
+
+
+def jaccard(a: str | None, b: str | None, words: int) -> float:
+    """Shared shingles over all shingles, as sets."""
+
+    def shingles(text: str | None) -> set[bytes]:
+        w = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def similar_documents(docs: DataFrame, params: Similar = Similar()) -> DataFrame:
+    """(doc_id, component_id): groups that links of a similarity of 0.8 or more hold together.
+
+    Similarity is that of the sets of shingles (Jaccard), checked on the texts of
+    every candidate link.
+    """
+    text_batches(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([signature(t, params) for t in texts], dtype=object)
+        release()
+
+    made = checkpointed(docs.select("doc_id", make(F.col("text")).alias("sig")).withColumn("node", F.xxhash64("sig")))
+    nodes = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, params.words) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    ids = nodes.select("node", F.col("least").alias("doc_id"))
+    pairs = checkpointed(similar_links(nodes, params).join(ids.toDF("u", "du"), "u").join(ids.toDF("v", "dv"), "v"))
+    used = pairs.select(F.explode(F.array("du", "dv")).alias("doc_id")).distinct()
+    texts = checkpointed(docs.select("doc_id", "text").join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    both = pairs.join(texts.toDF("du", "tu"), "du").join(texts.toDF("dv", "tv"), "dv")
+    roots = components(both.where(alike("tu", "tv") >= params.similarity).select("u", "v"))
+    linked = roots.join(nodes.select("node", "least"), "node")
+    top = linked.groupBy("root").agg(F.min("least").alias("top"))
+    moved = linked.join(top, "root").select("node", "top")
+    by_node = checkpointed(nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("top", "least").alias("component_id")))
+    return made.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, params: Similar = Similar()) -> DataFrame:
+    """One row of each group of similar documents, that with its smallest doc_id; all columns stay."""
+    keep = similar_documents(docs, params).where("doc_id = component_id").select("doc_id").distinct()
     first = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     return first.dropDuplicates(["doc_id"])

@@ -144,6 +144,36 @@ def test_components_of_a_long_chain(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_similar_documents_against_jaccard(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    texts = []
+    for _ in range(25):
+        base = rng.choices(vocabulary, k=250)
+        texts.append(base)
+        for edits in (0, 1, 3, 5, 40):
+            copy = list(base)
+            for k in rng.sample(range(250), edits):
+                copy[k] = rng.choice(vocabulary)
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "few words"), (903, "few words")]
+    want = {i: i for i, _ in rows}
+
+    def find(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if simhash.jaccard(a, b, 5) >= 0.8:
+            x, y = sorted((find(i), find(j)))
+            want[y] = x
+    for chunk in (4, 1024):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), simhash.Similar(chunk=chunk)).collect()}
+        assert sum(got[i] == find(i) for i, _ in rows) >= len(rows) - 2
+        assert all(find(got[i]) == find(i) for i, _ in rows)
+
+
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a b c d e f g", "y"), (7, "q r s t u v w", "z")], "doc_id long, text string, fp string")
     got = simhash.drop_near_duplicates(df)
