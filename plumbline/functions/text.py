@@ -121,9 +121,9 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
-def link(raw: Column) -> Column:
-    """struct(kind, set_id, id): pixmy://p/set/id, m/bundle and t/endpoint.token links; else null."""
-    p = r"^pixmy://([pmt])/([^/]+)(?:/(.+))?$"
+def link(raw: Column, scheme: str) -> Column:
+    """struct(kind, set_id, id) of scheme://p/set/id, scheme://m/bundle and scheme://t/endpoint/token; else null."""
+    p = rf"^{scheme}://([pmt])/([^/]+)(?:/(.+))?$"
     part = lambda k: F.nullif(F.regexp_extract(raw, p, k), F.lit(""))
     kind = F.when(part(1) == "p", "point").when(part(1) == "m", "model").when(part(1) == "t", "transfer")
     good = F.when(part(1) == "p", part(2).rlike("^[0-9a-fA-F]{8}$") & part(3).isNotNull()).when(part(1) == "t", part(2).rlike("^[0-9a-fA-F]{12}$") & part(3).isNotNull()).otherwise(part(2).isNotNull())

@@ -130,3 +130,10 @@ def test_splat_scene(spark):
     assert grown.count() == 14 and grown.select("id").distinct().count() == 14
     step = splats.adam(spark.createDataFrame([(1.0, 0.5, 0.0, 0.0)], "p double, g double, m double, v double"), "p", "g", "m", "v", 1, 0.1).first()
     assert step.p == pytest.approx(0.9)
+
+
+def test_links(spark):
+    rows = {"cap://p/abcdef01/P001": ("point", "abcdef01", "P001"), "cap://m/b7": ("model", "b7", None), "cap://p/xyz/P1": None, "other://m/b": None}
+    for raw, want in rows.items():
+        got = spark.range(1).select(T.link(F.lit(raw), "cap").alias("v")).first().v
+        assert (tuple(got) if got else None) == want
