@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, parallelism
+from .common import LOWER, parallelism, release, text_batches
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29), np.uint64(32))
 
@@ -64,9 +64,12 @@ class Block:
 
     def __init__(self, texts: list[str | None], order: int):
         number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        lists = [words(t) for t in texts]
-        self.sizes = np.array([len(x) for x in lists], np.int64)
-        ids = np.concatenate([np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in lists]) if lists else np.zeros(0, np.int64)
+        parts = [np.zeros(0, np.int32)]
+        for t in texts:  # one text's words at a time
+            w = words(t)
+            parts.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
+        self.sizes = np.array([len(x) for x in parts[1:]], np.int64)
+        ids = np.concatenate(parts)
         single = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
         grams = [single[ids] if len(ids) else np.zeros(0, np.uint64)]
         since = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -76,6 +79,7 @@ class Block:
         self.valid = [since >= n for n in range(order)]
         every = np.concatenate([g[v] for g, v in zip(grams, self.valid, strict=True)])
         self.hashes, inverse, self.counts = np.unique(every, return_inverse=True, return_counts=True)
+        inverse = inverse.astype(np.int32)
         self.places = np.split(inverse, np.cumsum([v.sum() for v in self.valid])[:-1])
 
     def scores(self, counts: np.ndarray, total: int, alpha: float) -> np.ndarray:
@@ -165,6 +169,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
     The n-grams are counted in ``corpus`` (doc_id, text), by default in ``docs``.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     parts = max(1, parallelism(spark))
     docs = docs.select("doc_id", "text")
     own = corpus is None
@@ -189,6 +194,8 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
                     out.append((xxhash.xxh32_intdigest(name) % parts, name, 2, None, None, _documents(*(whole.column(c).chunk(0) for c in range(2)))))
                 for i in range(0, len(out), 16):
                     yield _rows(out[i : i + 16])
+                del block, out
+            release()
 
         return run
 
@@ -221,6 +228,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
             else:
                 got.append((r["route"], r["counts"]))
         yield from _finished(got, held, total, params)
+        release()
 
     counted = sent.repartitionById(parts, F.col("route")).sortWithinPartitions("route").mapInArrow(answer, _SHAPE)
     scores = counted.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(back, "doc_id long, n_words long, log_score double")
