@@ -51,6 +51,8 @@ class Params:
     l2: float = 1e-6
     full_share: float = 0.01
     threshold: float = 0.7
+    max_alarms: float = 0.02
+    min_held: int = 20
     cache: int = 100_000
 
 
@@ -140,13 +142,14 @@ def train(positive: list[tuple], unlabelled: list[tuple], prior: float, params:
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w[:-1] = np.maximum(w[:-1], 0)
-    zp, zu = (x @ w[:-1] + w[-1] for x in ((p_all[held_p] if held_p.any() else p_all), (u_all[held_u] if held_u.any() else u_all)))
+    few = held_p.sum() < params.min_held  # too few to place a threshold by: all rows do
+    zp, zu = (x @ w[:-1] + w[-1] for x in ((p_all, u_all) if few else (p_all[held_p], u_all[held_u])))
     cuts = np.unique(np.concatenate([zp, zu]))
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     recall = np.array([(zp >= t).mean() for t in cuts])
     alarms = np.clip((np.array([(zu >= t).mean() for t in cuts]) - prior * recall) / max(1e-9, 1 - prior), 0, 1)
-    gain = recall - 2 * alarms
-    at = cuts[gain >= gain.max() - 0.005]
+    gain = np.where(alarms <= params.max_alarms, recall - 2 * alarms, -1.0)
+    at = cuts[gain >= gain.max() - 0.005] if (gain >= 0).any() else cuts[-1:] + 1
     shift = np.log(params.threshold / (1 - params.threshold)) - (at.min() + at.max()) / 2
     return Model({int(f): float(x) for f, x in zip(chosen, w, strict=False) if x > 0}, float(w[-1] + shift), params)
 
