@@ -240,17 +240,21 @@ class Similar:
         return np.stack([rng.choice(self.key_bits, self.band_bits, replace=False) for _ in range(self.bands)])
 
 
-def signature(text: str | None, params: Similar = Similar()) -> bytes:
-    """The majority bits of all shingles' hashes, each hash stretched to ``bits`` by counted mixing."""
+def shingle_hashes(text: str | None, params: Similar = Similar()) -> np.ndarray:
+    """The XXH64 hashes of all shingles in their order, repeats included."""
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     if not words:
-        return bytes(params.bits // 8)
+        return np.zeros(0, np.uint64)
     k = min(params.words, len(words))
     line = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words)))
     starts = [0, *ends]
     view, digest, seed = memoryview(line), xxhash.xxh64_intdigest, params.seed
-    hashes = np.array([digest(view[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
+    return np.array([digest(view[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
+
+
+def signature(hashes: np.ndarray, params: Similar = Similar()) -> bytes:
+    """The majority bits of shingle hashes, each hash stretched to ``bits`` by counted mixing."""
     count = np.arange(1, params.bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(params.bits, np.int64)
     for i in range(0, len(hashes), 255):  # so that a byte holds the sum
@@ -382,17 +386,21 @@ def similar_documents(docs: DataFrame, params: Similar = Similar()) -> DataFrame
     """(doc_id, component_id): groups that links of a similarity of 0.8 or more hold together.
 
     Similarity is that of the sets of shingles (Jaccard), checked on the texts of
-    every candidate link.
+    every candidate link.  Texts with the same set of shingles make one node, named
+    by a 64-bit hash of the set; texts that share no more than their signature meet
+    in all bands and take the same check as any others.
     """
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("sig binary, node long")
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([signature(t, params) for t in texts], dtype=object)
+            hashes = [shingle_hashes(t, params) for t in texts]
+            nodes = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in hashes], np.uint64)
+            yield pd.DataFrame({"sig": [signature(h, params) for h in hashes], "node": nodes.view(np.int64)})
         release()
 
-    made = checkpointed(docs.select("doc_id", make(F.col("text")).alias("sig")).withColumn("node", F.xxhash64("sig")))
+    made = checkpointed(docs.select("doc_id", make(F.col("text")).alias("made")).select("doc_id", "made.sig", "made.node"))
     nodes = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")))
 
     @F.pandas_udf("double")

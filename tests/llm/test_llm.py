@@ -174,6 +174,14 @@ def test_similar_documents_against_jaccard(spark):
         assert all(find(got[i]) == find(i) for i, _ in rows)
 
 
+def test_equal_signatures_do_not_join_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(["".join(rng.choices("abcdefgh", k=6)) for _ in range(1200)] + ["*"] * 1300) for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[2]])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+
+
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a b c d e f g", "y"), (7, "q r s t u v w", "z")], "doc_id long, text string, fp string")
     got = simhash.drop_near_duplicates(df)
