@@ -241,7 +241,7 @@ class Similar:
 
 
 def shingle_hashes(text: str | None, params: Similar = Similar()) -> np.ndarray:
-    """The XXH64 hashes of all shingles in their order, repeats included."""
+    """The XXH64 hashes of the distinct shingles, rising."""
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -250,11 +250,11 @@ def shingle_hashes(text: str | None, params: Similar = Similar()) -> np.ndarray:
     ends = list(accumulate((len(w) + 1 for w in words)))
     starts = [0, *ends]
     view, digest, seed = memoryview(line), xxhash.xxh64_intdigest, params.seed
-    return np.array([digest(view[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
+    return np.unique(np.array([digest(view[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64))
 
 
 def signature(hashes: np.ndarray, params: Similar = Similar()) -> bytes:
-    """The majority bits of shingle hashes, each hash stretched to ``bits`` by counted mixing."""
+    """The majority bits of distinct shingles' hashes, as links go by sets; each hash is stretched to ``bits`` by counted mixing."""
     count = np.arange(1, params.bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(params.bits, np.int64)
     for i in range(0, len(hashes), 255):  # so that a byte holds the sum
@@ -396,7 +396,7 @@ def similar_documents(docs: DataFrame, params: Similar = Similar()) -> DataFrame
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             hashes = [shingle_hashes(t, params) for t in texts]
-            nodes = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in hashes], np.uint64)
+            nodes = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in hashes], np.uint64)
             yield pd.DataFrame({"sig": [signature(h, params) for h in hashes], "node": nodes.view(np.int64)})
         release()
 

@@ -182,6 +182,14 @@ def test_equal_signatures_do_not_join_texts(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
 
 
+def test_repeats_do_not_part_near_copies(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(1940)]
+    texts = [base, base[:900] + ["-"] * 60 + base[900:], base + ["same line of a padded table"] * 400]
+    got = simhash.similar_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
+
+
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a b c d e f g", "y"), (7, "q r s t u v w", "z")], "doc_id long, text string, fp string")
     got = simhash.drop_near_duplicates(df)
