@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, parallelism, release, text_batches
+from .common import LOWER, checkpointed, parallelism, release, shielded, text_batches
 from .components import components
 
 _ODD = np.uint64(0x5555555555555555)
@@ -382,13 +382,17 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def similar_documents(docs: DataFrame, params: Similar = Similar()) -> DataFrame:
-    """(doc_id, component_id): groups that links of a similarity of 0.8 or more hold together.
+def _row_key():
+    """A hash of doc_id and text, which names a row also where ids are null or repeat."""
+    return F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
 
-    Similarity is that of the sets of shingles (Jaccard), checked on the texts of
-    every candidate link.  Texts with the same set of shingles make one node, named
-    by a 64-bit hash of the set; texts that share no more than their signature meet
-    in all bands and take the same check as any others.
+
+def _groups(docs: DataFrame, params: Similar) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and for every node ``top``: (no_id, doc_id, key) of the row that stands for its group.
+
+    Texts with the same set of shingles make one node, named by a 64-bit hash of
+    the set; texts that share no more than their signature meet in all bands and
+    take the same check as any others.
     """
     text_batches(docs.sparkSession)
 
@@ -400,28 +404,45 @@ def similar_documents(docs: DataFrame, params: Similar = Similar()) -> DataFrame
             yield pd.DataFrame({"sig": [signature(h, params) for h in hashes], "node": nodes.view(np.int64)})
         release()
 
-    made = checkpointed(docs.select("doc_id", make(F.col("text")).alias("made")).select("doc_id", "made.sig", "made.node"))
-    nodes = checkpointed(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")))
+    made = docs.select("doc_id", _row_key().alias("key"), make(F.col("text")).alias("made"))
+    made = checkpointed(made.select("doc_id", "key", "made.sig", "made.node"))
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")
+    nodes = checkpointed(made.groupBy("node").agg(F.min(row).alias("least"), F.min("sig").alias("sig")))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, params.words) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    ids = nodes.select("node", F.col("least").alias("doc_id"))
-    pairs = checkpointed(similar_links(nodes, params).join(ids.toDF("u", "du"), "u").join(ids.toDF("v", "dv"), "v"))
-    used = pairs.select(F.explode(F.array("du", "dv")).alias("doc_id")).distinct()
-    texts = checkpointed(docs.select("doc_id", "text").join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    both = pairs.join(texts.toDF("du", "tu"), "du").join(texts.toDF("dv", "tv"), "dv")
+    keys = nodes.select("node", "least.key")
+    pairs = checkpointed(similar_links(nodes, params).join(keys.toDF("u", "ku"), "u").join(keys.toDF("v", "kv"), "v"))
+    used = pairs.select(F.explode(F.array("ku", "kv")).alias("key")).distinct()
+    texts = checkpointed(docs.select(_row_key().alias("key"), "text").join(used, "key", "left_semi").dropDuplicates(["key"]))
+    both = pairs.join(texts.toDF("ku", "tu"), "ku").join(texts.toDF("kv", "tv"), "kv")
     roots = components(both.where(alike("tu", "tv") >= params.similarity).select("u", "v"))
     linked = roots.join(nodes.select("node", "least"), "node")
     top = linked.groupBy("root").agg(F.min("least").alias("top"))
     moved = linked.join(top, "root").select("node", "top")
-    by_node = checkpointed(nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("top", "least").alias("component_id")))
-    return made.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+    by_node = nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("top", "least").alias("top"))
+    return made.select("doc_id", "node"), checkpointed(by_node)
+
+
+def similar_documents(docs: DataFrame, params: Similar = Similar()) -> DataFrame:
+    """(doc_id, component_id): groups that links of a similarity of 0.8 or more hold together.
+
+    Similarity is that of the sets of shingles (Jaccard), checked on the texts of
+    every candidate link.  A group without ids has a null component_id.
+    """
+    made, by_node = _groups(docs, params)
+    return made.join(by_node, "node").select("doc_id", F.col("top.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: Similar = Similar()) -> DataFrame:
-    """One row of each group of similar documents, that with its smallest doc_id; all columns stay."""
-    keep = similar_documents(docs, params).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return first.dropDuplicates(["doc_id"])
+    """One row of each group of similar documents, that with its smallest doc_id; all columns stay.
+
+    Null ids come last, and rows of one doc_id in the order of a hash of their
+    text.
+    """
+    own, back = shielded(docs, ("doc_id", "text"))
+    keep = _groups(own, params)[1].select("top.key").distinct()
+    first = own.withColumn("key", _row_key()).join(keep, "key", "left_semi")
+    return back(first.dropDuplicates(["key"]))

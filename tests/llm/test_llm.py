@@ -196,6 +196,12 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == df.columns and sorted((r.doc_id, r.fp) for r in got.collect()) == [(1, "y"), (7, "z")]
 
 
+def test_rows_without_an_own_id_stay(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "h i j k l m n"), (5, "h i j k l m n"), (2, "o p q r s t u"), (2, "v w x y z a b"), (3, "v w x y z a b"), (None, None), (4, "")]
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    same(got, [(None, "a b c d e f g"), (5, "h i j k l m n"), (2, "o p q r s t u"), (2, "v w x y z a b"), (4, "")])
+
+
 # 4
 
 
