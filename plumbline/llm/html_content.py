@@ -40,7 +40,9 @@ _HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes hea
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+_READ = frozenset("class id role style hidden aria-hidden itemprop".split())
+_HEAD = frozenset("head title style script noscript template meta link base basefont bgsound noframes".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BAD = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot header masthead banner sidebar side aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies respond disqus social share sharing related recommended recommendations subscribe subscription newsletter signup login search form pagination pager tags tag meta byline toolbar skip copyright legal complementary contentinfo dialog tooltip feedback".split())
 _COMMENTS = frozenset("comment comments reply replies respond disqus related recommended".split())
@@ -79,6 +81,8 @@ def _marks(rest: str) -> tuple[frozenset, bool]:
     words, hidden = set(), False
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in _READ:
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
         elif name != "style":
@@ -96,6 +100,8 @@ def blocks(page: str) -> list[Block]:
 
     def put(raw: str) -> None:
         nonlocal linked
+        if stack[-1].tag == "head" and raw and not raw.isspace():
+            leave_head()
         if raw and not hidden:
             t = entities.unescape(raw) if "&" in raw else raw
             parts.append(t)
@@ -114,11 +120,16 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, tuple(n.tag for n in own), tuple(n.marks for n in own), parent, min(linked, len(text))))
         linked = 0
 
-    def pop() -> None:
+    def pop() -> str:
         nonlocal links, hidden
         node = stack.pop()
         links -= node.tag == "a"
         hidden -= node.hidden
+        return node.tag
+
+    def leave_head() -> None:
+        while pop() != "head":
+            pass
 
     end = len(page)
     while at < end:
@@ -148,6 +159,8 @@ def blocks(page: str) -> list[Block]:
             while len(stack) > depth:
                 pop()
             continue
+        if tag not in _HEAD and stack[-1].tag == "head" or tag == "body" and any(n.tag == "head" for n in stack):  # its end tag may be left out
+            leave_head()
         if tag in _VOID:
             if tag == "br":
                 put(" ")

@@ -370,6 +370,21 @@ def test_toxicity_odd_rows(spark, docs):
 # 9
 
 
+def test_only_attributes_hide_text():
+    texts = lambda page: [b.text for b in html_content.blocks(page)]
+    for shown in ('href="/hidden-valley"', 'title="The hidden truth"', 'data-hidden="false"', 'data-style="display:none"', "onclick=f('hidden ')x", 'alt="aria-hidden=true"'):
+        assert texts(f"<p {shown}>Seen.</p>") == ["Seen."]
+    for away in ("hidden", 'class="a" HIDDEN', 'aria-hidden="true"', "style='display: none'", 'title="x"hidden=""'):
+        assert texts(f"<p {away}>Gone.</p><p>Seen.</p>") == ["Seen."]
+
+
+def test_an_open_head_ends():
+    texts = lambda page: [b.text for b in html_content.blocks(page)]
+    head = "<html><head><meta charset=utf-8><title>Gone</title><style>p {}</style><noscript>Gone</noscript>"
+    for rest in ("<body><p>Seen.</p>", "<p>Seen.</p>", "Seen.", "<img src=x>Seen.", "<noscript><body><p>Seen.</p>", "</head><body><p>Seen.</p>"):
+        assert texts(head + rest) == ["Seen."]
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(200):
