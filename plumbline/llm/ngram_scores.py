@@ -13,7 +13,8 @@ the counts of all blocks are added up (the count table) and merge-joined with
 each block's n-grams; the counts go back to the block in the order of its
 hashes, and the block sums the scores of its documents.  A frequent n-gram
 enters once for each block, so no partition grows with a word's frequency, and
-what moves grows in proportion to the input.
+what moves grows in proportion to the input.  Partitions are as many as hold
+``Params.route_grams`` n-grams each, so a task does not grow with the corpus.
 
 Defined results: a null or empty text has no words, a score of 0 and a null
 mean; words are parted by ASCII white space, with A-Z lower-cased; repeated rows
@@ -47,6 +48,7 @@ class Params:
     order: int = 2
     alpha: float = 0.4
     block_bytes: int = 8_000_000
+    route_grams: int = 4_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -163,6 +165,16 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(run)
 
 
+def _count(docs: DataFrame) -> int:
+    """The words of all texts."""
+    return docs.agg(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^ \x09-\x0D]+")).cast("long"))).first()[0] or 0
+
+
+def _routes(grams: int, least: int, params: Params) -> int:
+    """Partitions of the hash space: enough that none gets over about ``route_grams`` n-grams."""
+    return max(1, least, -(-grams // params.route_grams))
+
+
 def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Params()) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row of ``docs``.
 
@@ -170,11 +182,11 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
     """
     spark = docs.sparkSession
     text_batches(spark)
-    parts = max(1, parallelism(spark))
     docs = docs.select("doc_id", "text")
     own = corpus is None
     sized = docs if own else corpus.select("doc_id", "text")
-    total = sized.agg(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^ \x09-\x0D]+")).cast("long"))).first()[0] or 0
+    total = _count(sized)
+    parts = _routes((total if own else total + _count(docs)) * params.order, parallelism(spark), params)
 
     def ship(counted: bool, scored: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

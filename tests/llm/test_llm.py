@@ -71,6 +71,14 @@ def test_scores_are_stupid_backoff(spark, docs, rows, order):
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
 
 
+def test_tasks_do_not_grow_with_the_corpus(spark, docs, rows):
+    some = docs.where("doc_id < 40")
+    few, many = ngram_scores.score(some), ngram_scores.score(some, some, ngram_scores.Params(route_grams=2_000))
+    grams = 4 * sum(len(ngram_scores.words(t)) for d, t in rows if d is not None and d < 40)
+    assert many.rdd.getNumPartitions() == -(-grams // 2_000) > few.rdd.getNumPartitions()
+    same(*([(r.doc_id, r.n_words, round(r.log_score, 6)) for r in x.collect()] for x in (few, many)))
+
+
 # 2
 
 
