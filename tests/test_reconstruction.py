@@ -139,3 +139,14 @@ def test_png_and_page():
     raw = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")])
     assert np.array_equal(np.frombuffer(raw, np.uint8).reshape(4, 10)[:, 1:].reshape(4, 3, 3), img)
     assert "&lt;b&gt;" in scans.web_page(b"glb", "<b>", {"a": "1"})
+
+
+def test_scene_queries_read_whole_tables(spark):
+    from plumbline.plans import scene_queries
+
+    sf = "/root/testdata/sf0.01"
+    parts, vectors = (spark.read.parquet(f"{sf}/{n}.parquet").count() for n in ("part", "embeddings"))
+    assert sum(r.inliers for r in scene_queries.ransac_pair(spark, sf).collect()) > 0.9 * parts > 400
+    assert scene_queries.pnp(spark, sf).count() == -(-parts // 80)
+    assert scene_queries._views(spark, sf).count() == parts
+    assert scene_queries.image_features(spark, sf).select("image").distinct().count() == vectors > 20
