@@ -68,18 +68,28 @@ def release() -> None:
         pass
 
 
-#: Rows of text that one Arrow batch carries to a Python worker at most.
+#: Rows and bytes of text that one Arrow batch carries to a Python worker at most (or one row).
 TEXT_ROWS = 500
+TEXT_BYTES = 4 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small, so that a worker holds a few megabytes at a time.
 
-    Sets the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` where it is larger.
+    Sets the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
+    ``maxBytesPerBatch`` where they are larger.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
-        spark.conf.set(name, TEXT_ROWS)
+    for name, limit in (("Records", TEXT_ROWS), ("Bytes", TEXT_BYTES)):
+        name = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < _bytes(spark.conf.get(name)) <= limit:
+            spark.conf.set(name, limit)
+
+
+def _bytes(setting: str) -> int:
+    """A number, also with the unit that Spark's size settings may carry."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    digits = setting.strip().rstrip("bBkKmMgG")
+    return int(digits) * units[setting.strip()[len(digits) :].lower()]
 
 
 def shielded(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -1,30 +1,37 @@
-"""Stupid-backoff scores from n-gram count tables that are partitioned by hash.
-
-A document's score is the sum over its words of ln S, where S is the count of
-the longest n-gram ending at the word that was counted, over the count of that
-n-gram without its last word, times ``alpha`` for every order stepped down; a
-single word has its count over the number of words, and a word that was never
-counted counts as once.
-
-Counting and looking up share one exchange.  Each task cuts its documents into
-blocks of about ``Params.block_bytes`` and sends a block's distinct n-grams, as
-sorted 64-bit hashes with counts, to the partitions of the hash space.  There
-the counts of all blocks are added up (the count table) and merge-joined with
-each block's n-grams; the counts go back to the block in the order of its
-hashes, and the block sums the scores of its documents.  A frequent n-gram
-enters once for each block, so no partition grows with a word's frequency, and
-what moves grows in proportion to the input.  Partitions are as many as hold
-``Params.route_grams`` n-grams each, so a task does not grow with the corpus.
+"""Stupid-backoff scores from n-gram counts that are partitioned by hash.
+
+A document's words stand behind ``order - 1`` start symbols.  Its score is the
+sum over its words of ln S, where S is the count of the longest n-gram ending at
+the word that was counted, over the count of its context (all n-grams that begin
+with the same words); each order stepped down costs a factor ``alpha``.  At the
+lowest order a word has its count over the number of words, and one that was
+never counted counts as once.
+
+Every position gives one entry: the 64-bit hash of its context, the hash of its
+word, its document.  Entries go by context to buckets of the hash space (a Spark
+shuffle), so a bucket counts both its contexts and its n-grams and joins the
+counts back to the entries; Spark then sums by document.  Texts that are scored
+under their own corpus need no other order, since all their n-grams are counted.
+With a corpus of its own, what a bucket doesn't find goes on to the next lower
+order.  Entries travel as rows of arrays, many to a row.
+
+Buckets are as many as hold ``bucket_words`` entries each, so a task does not
+grow with the corpus.  Contexts too frequent for a bucket are found in a sample,
+counted exactly in a pass of their own and broadcast (``heavy_share`` bounds
+them to a million or so); their entries are then dealt by n-gram, and those of
+n-grams that are still too frequent are answered where they are read.
+
+n-grams are told apart by 96-bit hashes (context and word), single words by 64
+bits, rows by a 64-bit hash of doc_id and text.
 
 Defined results: a null or empty text has no words, a score of 0 and a null
 mean; words are parted by ASCII white space, with A-Z lower-cased; repeated rows
-are counted and scored one by one; an empty table gives an empty result; extra
-columns are left out.
+are counted and scored one by one; texts of any length are read in slices; an
+empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,145 +41,246 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, parallelism, release, text_batches
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29), np.uint64(32))
+_START = b""
+_SLICE = 1 << 20
+_KNOWN_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Params:
-    order: int = 2
+    order: int = 3
     alpha: float = 0.4
-    block_bytes: int = 8_000_000
-    route_grams: int = 4_000_000
-
+    bucket_words: int = 2_000_000
+    heavy_share: float = 1e-6
+    sample_words: int = 5_000_000
+    seen: int = 20
+
+
+def words(text: bytes | str | None) -> Iterator[list[bytes]]:
+    """The words of a text, slice by slice."""
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
+    at = 0
+    while at < len(raw):
+        end = at + _SLICE
+        while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield raw[at:end].translate(LOWER).split()
+        at = end
+
+
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = (left * _MIX[0]) ^ right
+    x = (x ^ (x >> _MIX[2])) * _MIX[1]
+    return x ^ (x >> _MIX[3])
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(LOWER).split()
 
+class _Hashes:
+    """64-bit word hashes, looked up by word."""
 
-def _mixed(left: np.ndarray, right: np.ndarray, order: int) -> np.ndarray:
-    x = (left * _MIX[0]) ^ (right + np.uint64(order))
-    x = (x ^ (x >> _MIX[2])) * _MIX[1]
-    return x ^ (x >> _MIX[3])
+    def __init__(self):
+        self._reset()
 
+    def _reset(self) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.known = np.zeros(0, np.uint64)
+        self.number[_START]
 
-class Block:
-    """The n-grams of some documents: place by place and, distinct, in the order of their hashes."""
+    def of(self, texts: list[bytes | None], pad: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all texts' words, each text behind ``pad`` start symbols, and each text's number of words."""
+        if len(self.number) > _KNOWN_WORDS:
+            self._reset()
+        parts, sizes = [], []
+        for t in texts:
+            parts.append(np.zeros(pad, np.int32))
+            ids = [np.fromiter(map(self.number.__getitem__, w), np.int32, len(w)) for w in words(t)]
+            sizes.append(sum(map(len, ids)))
+            parts += ids
+        if len(self.number) > len(self.known):
+            new = list(self.number)[len(self.known) :]
+            self.known = np.concatenate([self.known, np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)])
+        return self.known[np.concatenate(parts)] if parts else np.zeros(0, np.uint64), np.array(sizes, np.int64)
 
-    def __init__(self, texts: list[str | None], order: int):
-        number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        parts = [np.zeros(0, np.int32)]
-        for t in texts:  # one text's words at a time
-            w = words(t)
-            parts.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
-        self.sizes = np.array([len(x) for x in parts[1:]], np.int64)
-        ids = np.concatenate(parts)
-        single = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
-        grams = [single[ids] if len(ids) else np.zeros(0, np.uint64)]
-        since = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        for n in range(2, order + 1):
-            before = np.r_[np.zeros(1, np.uint64), grams[-1][:-1]] if len(ids) else grams[-1]
-            grams.append(_mixed(before, grams[0], n))
-        self.valid = [since >= n for n in range(order)]
-        every = np.concatenate([g[v] for g, v in zip(grams, self.valid, strict=True)])
-        self.hashes, inverse, self.counts = np.unique(every, return_inverse=True, return_counts=True)
-        inverse = inverse.astype(np.int32)
-        self.places = np.split(inverse, np.cumsum([v.sum() for v in self.valid])[:-1])
 
-    def scores(self, counts: np.ndarray, total: int, alpha: float) -> np.ndarray:
-        """The sum of ln S of every document; counts belong to ``hashes``."""
-        n, room = len(self.valid[0]), self._room()
-        at = [np.zeros(n, np.int64) for _ in self.valid]
-        for c, v, p in zip(at, self.valid, self.places, strict=True):
-            c[v] = counts[p]
-        value = np.log(np.maximum(at[0], 1)) - np.log(max(1, total)) + room * np.log(alpha)
-        for k in range(1, len(at)):
-            context = np.r_[0, at[k - 1][:-1]] if n else at[k - 1]
-            found = self.valid[k] & (at[k] > 0) & (context > 0)
-            value[found] = np.log(at[k][found]) - np.log(context[found]) + (room[found] - k) * np.log(alpha)
-        return np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), value, len(self.sizes))
+@dataclass
+class _Entries:
+    """Positions of documents: key (the document's), context, word, and the contexts of lower orders, the last of which is the word's own hash."""
 
-    def _room(self) -> np.ndarray:
-        """How many words of its document stand before each word, up to the order."""
-        out = np.zeros(len(self.valid[0]), np.int64)
-        for v in self.valid[1:]:
-            out += v
-        return out
+    key: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    rest: np.ndarray
 
+    def __getitem__(self, rows) -> _Entries:
+        return _Entries(self.key[rows], self.context[rows], self.word[rows], self.rest[rows])
 
-_SHAPE = "route int, block string, part int, hashes binary, counts binary, docs binary"
-_ROW = pa.schema([("route", pa.int32()), ("block", pa.string()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+    def pair(self) -> np.ndarray:
+        return _mixed(self.context, self.word.astype(np.uint64) + np.uint64(1))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.astype("<u4").tobytes(), 1)
+def _entries(keys: np.ndarray, texts: list[bytes | None], hashes: _Hashes, order: int, lower: bool) -> _Entries:
+    pad = order - 1
+    flat, sizes = hashes.of(texts, pad)
+    at = np.arange(int(sizes.sum())) + np.repeat(pad * np.arange(1, len(sizes) + 1), sizes)
+    grams = [np.zeros(len(flat), np.uint64), flat]  # of no word and of one; an n-gram stands where it ends
+    for _ in range(pad - 1):
+        grams.append(_mixed(np.r_[np.zeros(1, np.uint64), grams[-1][:-1]], flat))
+    ways = [grams[k][at - 1] for k in range(pad, 0, -1)] + [flat[at]] if len(at) else [np.zeros(0, np.uint64)] * order
+    rest = np.stack(ways[1:], 1) if lower and order > 1 else np.zeros((len(at), 0), np.uint64)
+    return _Entries(np.repeat(keys, sizes), ways[0], flat[at].astype(np.uint32) if order > 1 else np.zeros(len(at), np.uint32), rest)
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), "<u4").astype(np.int64)
+class _Heavy:
+    """Exact counts of the contexts and n-grams that are too frequent for a bucket, in the order of their hashes."""
 
+    def __init__(self, rows: list[tuple[int, int]]):
+        self.hashes = np.array([h for h, _ in rows], np.int64).view(np.uint64)
+        by = np.argsort(self.hashes)
+        self.hashes, self.counts = self.hashes[by], np.array([n for _, n in rows], np.int64)[by]
 
-def _pack_hashes(h: np.ndarray) -> bytes:
-    """Rising hashes as differences: the five low bytes as they are, the three high ones, mostly zero, compressed."""
-    step = np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    high = zlib.compress(np.ascontiguousarray(step[5:]).tobytes(), 1)
-    return len(high).to_bytes(4, "little") + high + np.ascontiguousarray(step[:5]).tobytes()
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The counts of ``wanted``, zero for those that are not heavy."""
+        return _looked_up(self.hashes, self.counts, wanted)
 
 
-def _unpack_hashes(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:4], "little")
-    low = np.frombuffer(b, np.uint8, offset=4 + n).reshape(5, -1)
-    high = np.frombuffer(zlib.decompress(b[4 : 4 + n]), np.uint8).reshape(3, -1)
-    return np.cumsum(np.ascontiguousarray(np.concatenate([low, high]).T).view("<u8")[:, 0], dtype=np.uint64)
+def _looked_up(hashes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return np.where(hashes[at] == wanted, counts[at], 0)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
+_ROW = pa.schema([("bucket", pa.int32()), ("counted", pa.bool_()), ("context", pa.list_(pa.int64())), ("word", pa.list_(pa.int32())), ("rest", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("known", pa.list_(pa.float64()))])
+_SHAPE = "bucket int, counted boolean, context array<long>, word array<int>, rest array<long>, doc array<long>, size array<int>, known array<double>"
 
 
-def _bounds(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's share of the sorted hashes begins and ends."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
-    return np.r_[0, np.searchsorted(hashes, edges), len(hashes)]
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _documents(ids: pa.Array, texts: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Tables of neighbouring rows with about ``size`` bytes of text at most, or one row."""
-    run, held = [], 0
+def _dealt(e: _Entries, buckets: int, heavy: _Heavy, counted: bool, scored: bool) -> Iterator[pa.RecordBatch]:
+    """A row of arrays for each bucket; the entries of a document stand together."""
+    if not len(e.key):
+        return
+    by = np.where(heavy(e.context) > 0, e.pair(), e.context)
+    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 65_536 else np.int32)
+    order = np.argsort(bucket, kind="stable")
+    e, bucket = e[order], bucket[order]
+    first = _starts(bucket)
+    ends = np.r_[first, len(bucket)]
+    runs = _starts(bucket, e.key) if scored else np.zeros(0, np.int64)
+    in_row = np.searchsorted(runs, ends)
+    n, wide = len(first), e.rest.shape[1]
+    columns = [
+        pa.array(bucket[first].astype(np.int32)), pa.array(np.full(n, counted)), _lists(e.context.view(np.int64), ends), _lists(e.word.view(np.int32), ends), _lists(np.ascontiguousarray(e.rest).reshape(-1).view(np.int64), ends * wide),
+        _lists(e.key[runs], in_row), _lists(np.diff(np.r_[runs, len(bucket)]).astype(np.int32) if scored else np.zeros(0, np.int32), in_row), _lists(np.zeros(0), np.zeros(n + 1, np.int64)),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, schema=_ROW)
+
+
+def _answered(keys: np.ndarray, values: np.ndarray, found: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
+    """A row with each document's sum over its entries that are found, and their number."""
+    runs = _starts(keys) if len(keys) else np.zeros(0, np.int64)
+    if not len(runs):
+        return
+    sums, sizes = np.add.reduceat(np.where(found, values, 0.0), runs), np.add.reduceat(found.astype(np.int64), runs)
+    some = sizes > 0
+    for i in range(0, int(some.sum()), 100_000):
+        part = slice(i, i + 100_000)
+        docs, size, known = keys[runs][some][part], sizes[some][part].astype(np.int32), sums[some][part]
+        none, all_of_it = np.zeros(2, np.int64), np.array([0, len(docs)])
+        empty = np.zeros(0, np.int64)
+        columns = [pa.array([bucket], pa.int32()), pa.array([False]), _lists(empty, none), _lists(empty.astype(np.int32), none), _lists(empty, none), _lists(docs, all_of_it), _lists(size, all_of_it), _lists(known, all_of_it)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_ROW)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, _Entries]]:
+    """(bucket, whether it is counted, entries) of each row without answers; key is empty where nothing asks for a score."""
     for b in batches:
-        start = 0
-        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
-            if held and held + n > size:
-                run.append(b.slice(start, i - start))
-                yield pa.Table.from_batches(run)
-                run, held, start = [], 0, i
-            held += n
-        run.append(b.slice(start))
-    if held or any(r.num_rows for r in run):
-        yield pa.Table.from_batches(run)
+        for i in range(b.num_rows):
+            context, word, rest, doc, size = (b.column(k)[i].values.to_numpy() for k in range(2, 7))
+            n = len(context)
+            if n:
+                yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), _Entries(np.repeat(doc, size), context.view(np.uint64), word.view(np.uint32), rest.view(np.uint64).reshape(n, -1))
+
+
+def _joined(parts: list[_Entries]) -> _Entries:
+    return _Entries(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "context", "word", "rest")))
+
+
+def _counts(counted: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How often each of ``wanted`` is in ``counted``."""
+    if counted is wanted:
+        _, at, n = np.unique(wanted, return_inverse=True, return_counts=True)
+        return n[at]
+    return _looked_up(*np.unique(counted, return_counts=True), wanted)
+
+
+def _value(e: _Entries, contexts: np.ndarray, pairs: np.ndarray, level: int, total: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """ln S of each entry and whether it is found at this level."""
+    if level == 1:
+        return np.log(np.maximum(pairs, 1)) - np.log(max(1, total)) + penalty, np.ones(len(pairs), bool)
+    found = pairs > 0
+    return np.log(np.maximum(pairs, 1)) - np.log(np.maximum(contexts, 1)) + penalty, found
+
+
+def buckets_for(positions: int, least: int, params: Params) -> int:
+    return max(1, least, -(-positions // params.bucket_words))
 
 
-def _count(docs: DataFrame) -> int:
-    """The words of all texts."""
-    return docs.agg(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^ \x09-\x0D]+")).cast("long"))).first()[0] or 0
+def _positions(docs: DataFrame) -> int:
+    """About as many words as the texts have, from their bytes."""
+    return (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // 6
 
 
-def _routes(grams: int, least: int, params: Params) -> int:
-    """Partitions of the hash space: enough that none gets over about ``route_grams`` n-grams."""
-    return max(1, least, -(-grams // params.route_grams))
+def _keyed(docs: DataFrame) -> DataFrame:
+    key = F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
+    return docs.select(key.alias("key"), F.col("text").cast("binary").alias("text"))
+
+
+def _heavy(corpus: DataFrame, positions: int, buckets: int, level: int, params: Params) -> _Heavy:
+    """The contexts and n-grams of ``level`` words that are too frequent for a bucket, with their exact counts."""
+
+    def tally(only: _Heavy | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = _Hashes()
+            for b in batches:
+                e = _entries(b.column(0).to_numpy(), b.column(1).to_pylist(), hashes, level, False)
+                h, n = np.unique(np.concatenate([e.context, e.pair()]) if level > 1 else e.context, return_counts=True)
+                if only is not None:
+                    some = only(h) > 0
+                    h, n = h[some], n[some]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+            release()
+
+        return run
+
+    limit = max(params.bucket_words // 4, int(positions * params.heavy_share), 1)
+    if limit >= positions:
+        return _Heavy([])
+    share = min(1.0, params.sample_words / positions)
+    some = corpus.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    least = max(params.seen, int(share * limit / 2))
+    found = some.mapInArrow(tally(None), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    if not found:
+        return _Heavy([])
+    exact = corpus.mapInArrow(tally(_Heavy([(r.hash, 1) for r in found])), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return _Heavy([(r.hash, r.n) for r in exact.where(F.col("n") >= limit // 2).collect()])
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Params()) -> DataFrame:
@@ -184,85 +292,83 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
     text_batches(spark)
     docs = docs.select("doc_id", "text")
     own = corpus is None
-    sized = docs if own else corpus.select("doc_id", "text")
-    total = _count(sized)
-    parts = _routes((total if own else total + _count(docs)) * params.order, parallelism(spark), params)
-
-    def ship(counted: bool, scored: bool):
+    rows, counted = _keyed(docs), _keyed(docs if own else corpus.select("doc_id", "text"))
+    size = _positions(counted)
+    buckets = buckets_for(size if own else size + _positions(rows), parallelism(spark), params)
+    levels = [params.order] if own and params.order > 1 else list(range(params.order, 0, -1))
+    total = counted.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \x09-\x0D]+")).cast("long"))).first()[0] or 0 if levels[-1] == 1 else 0
+    heavy = {k: spark.sparkContext.broadcast(_heavy(counted, size, buckets, k, params)) for k in levels}
+
+    def deal(e: _Entries, level: int, count_in: bool, ask: bool) -> Iterator[pa.RecordBatch]:
+        """Entries to their buckets; those of heavy n-grams are answered here."""
+        known = heavy[level].value
+        pairs = known(e.pair() if level > 1 else e.context)
+        out = pairs > 0
+        if out.any():
+            if ask:
+                v, found = _value(e[out], known(e.context[out]), pairs[out], level, total, (params.order - level) * np.log(params.alpha))
+                yield from _answered(e.key[out], v, found, 0)
+            e = e[~out]
+        yield from _dealt(e, buckets, known, count_in, ask)
+
+    def explode(level: int, count_in: bool, ask: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            task = TaskContext.get()
-            for k, table in enumerate(_cut(batches, params.block_bytes)):
-                block = Block(table.column("text").to_pylist(), params.order)
-                name = f"{task.partitionId()}-{k}-{int(scored)}"
-                bounds = _bounds(block.hashes, parts)
-                out = []
-                for p in range(parts):
-                    a, b = bounds[p], bounds[p + 1]
-                    if b > a:
-                        n = block.counts[a:b] if counted else np.zeros(b - a, np.int64)
-                        out.append((p, name, 1 if scored else 0, _pack_hashes(block.hashes[a:b]), _pack(n), None))
-                if scored:
-                    whole = table.combine_chunks()
-                    out.append((xxhash.xxh32_intdigest(name) % parts, name, 2, None, None, _documents(*(whole.column(c).chunk(0) for c in range(2)))))
-                for i in range(0, len(out), 16):
-                    yield _rows(out[i : i + 16])
-                del block, out
+            hashes = _Hashes()
+            for b in batches:
+                e = _entries(b.column(0).to_numpy(), b.column(1).to_pylist(), hashes, level, ask and not own)
+                yield from deal(e, level, count_in, ask)
             release()
 
         return run
 
-    sent = docs.mapInArrow(ship(own, True), _SHAPE)
-    if not own:
-        sent = sent.unionByName(sized.mapInArrow(ship(True, False), _SHAPE))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each part of the hash space: adds up the counts and answers every block."""
-        route, rows = None, []
-        for r in (r for b in batches for r in b.to_pylist()):
-            if r["part"] == 2:
-                yield _rows([(0, r["block"], 2, None, None, r["docs"])])
-                continue
-            if r["route"] != route:
-                yield from _answers(route, rows)
-                route, rows = r["route"], []
-            rows.append(r)
-        yield from _answers(route, rows)
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block: puts the answers in order and sums the scores of its documents."""
-        block, got, held = None, [], None
-        for r in (r for b in batches for r in b.to_pylist()):
-            if r["block"] != block:
-                yield from _finished(got, held, total, params)
-                block, got, held = r["block"], [], None
-            if r["part"] == 2:
-                held = r["docs"]
-            else:
-                got.append((r["route"], r["counts"]))
-        yield from _finished(got, held, total, params)
-        release()
-
-    counted = sent.repartitionById(parts, F.col("route")).sortWithinPartitions("route").mapInArrow(answer, _SHAPE)
-    scores = counted.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(back, "doc_id long, n_words long, log_score double")
-    return scores.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
-
-
-def _answers(route: int | None, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    if not rows:
-        return
-    hashes = [_unpack_hashes(r["hashes"]) for r in rows]
-    keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    sums = np.bincount(at, np.concatenate([_unpack(r["counts"]) for r in rows]), len(keys)).astype(np.int64)
-    for r, h in zip(rows, hashes, strict=True):
-        if r["part"] == 1:
-            yield _rows([(route, r["block"], 1, None, _pack(np.minimum(sums[np.searchsorted(keys, h)], 0xFFFFFFFF)), None)])
+    def answer(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Counts a bucket's contexts and n-grams and joins the counts to its entries."""
+            asked, counts, place = [], [], 0
+
+            for b in batches:
+                done = b.filter(pc.greater(pc.list_value_length(b.column("known")), 0))
+                if done.num_rows:
+                    yield done
+                for place, is_counted, e in _read(iter([b])):
+                    if is_counted:
+                        counts.append(e)
+                    if len(e.key):
+                        asked.append(e)
+            if asked:
+                e = _joined(asked)
+                c = e if own else _joined([_Entries(np.zeros(0, np.int64), x.context, x.word, np.zeros((0, 0), np.uint64)) for x in counts]) if counts else None
+                asked.clear()
+                counts.clear()
+                known = heavy[level].value
+                contexts = known(e.context)
+                if c is not None:
+                    contexts = np.where(contexts > 0, contexts, _counts(c.context, e.context))
+                pairs = contexts if level == 1 else np.zeros(len(e.key), np.int64)
+                if c is not None and level > 1:
+                    mine = e.pair()
+                    pairs = _counts(mine if own else c.pair(), mine)
+                v, found = _value(e, contexts, pairs, level, total, (params.order - level) * np.log(params.alpha))
+                yield from _answered(e.key, v, found, place)
+                missed = e[~found]
+                if len(missed.key):
+                    below = level - 1
+                    rest = missed.rest
+                    word = missed.word if below > 1 else np.zeros(len(missed.key), np.uint32)
+                    yield from deal(_Entries(missed.key, rest[:, 0], word, rest[:, 1:]), below, False, True)
+            release()
 
+        return run
 
-def _finished(got: list, held: bytes | None, total: int, params: Params) -> Iterator[pa.RecordBatch]:
-    if held is None:
-        return
-    table = pa.ipc.open_stream(held).read_all()
-    block = Block(table.column("text").to_pylist(), params.order)
-    counts = np.concatenate([_unpack(c) for _, c in sorted(got, key=lambda g: g[0])]) if got else np.zeros(0, np.int64)
-    scores = block.scores(counts, total, params.alpha)
-    yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(block.sizes, pa.int64()), pa.array(scores.astype(np.float64), pa.float64())], ["doc_id", "n_words", "log_score"])
+    sent = rows.mapInArrow(explode(params.order, own, True), _SHAPE)
+    for level in levels:
+        if not own:
+            sent = sent.unionByName(counted.mapInArrow(explode(level, True, False), _SHAPE))
+        sent = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(answer(level), _SHAPE)
+    sums = sent.select(F.inline(F.arrays_zip("doc", "size", "known"))).groupBy(F.col("doc").alias("key")).agg(F.sum("size").alias("size"), F.sum("known").alias("known"))
+    # Rows that are alike add up under one key, and each takes its share.
+    heads = docs.select("doc_id", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text").alias("key"))
+    alike = heads.groupBy("key").agg(F.count(F.lit(1)).alias("alike"))
+    each = sums.join(alike, "key").select("key", (F.col("size") / F.col("alike")).cast("long").alias("n_words"), (F.col("known") / F.col("alike")).alias("log_score"))
+    scored = heads.join(each, "key", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

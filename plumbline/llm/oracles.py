@@ -3,6 +3,15 @@
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT r, ['', ''] || w AS p, unnest(range(1, len(w) + 1)) AS k FROM d),
+g AS (SELECT r, p[k] AS a, p[k + 1] AS b, p[k + 2] AS c FROM p),
+s AS (SELECT r, ln(count(*) OVER (PARTITION BY a, b, c)) - ln(count(*) OVER (PARTITION BY a, b)) AS v FROM g),
+t AS (SELECT r, sum(v) AS v FROM s GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(v, 0), 6) AS log_score, CASE WHEN len(w) > 0 THEN round(v / len(w), 6) END AS mean_log_score
+FROM d LEFT JOIN t USING (r)"""
+
 OP4 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1),
 b AS (SELECT p.page_id, f.first, CAST(octet_length(encode(p.h)) AS BIGINT) AS n, CAST(CAST(unhex(sha1(p.h)) AS BIT) AS VARCHAR) AS bits FROM p JOIN f USING (h))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_content, ngram_scores, oracles, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import hold_out, table
 
 
 def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_scores.score(table(spark, sf_dir, "documents"))
+    found = ngram_scores.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +62,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Learned models, tokenizers and XXH64 are beyond SQL; those queries have tests instead."""
-    return {"op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5}
+    """Learned models, tokenizers and fingerprints are beyond SQL; those queries have tests instead."""
+    return {"op1_ngram_scores": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5}

@@ -43,40 +43,65 @@ def same(got, want):
 # 1
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_are_stupid_backoff(spark, docs, rows, order):
-    corpus = docs.where("doc_id % 3 = 0")
-    got = ngram_scores.score(docs, corpus, ngram_scores.Params(order=order, block_bytes=50_000)).collect()
-    lists = [(d, ngram_scores.words(t)) for d, t in rows]
-    counts, n = collections.Counter(), 0
+def brute_scores(rows, counted, order):
+    """(doc_id, words, ln S summed) by dictionaries; ``counted`` tells the rows that are the corpus."""
+    lists = [(d, (t or "").encode().translate(LOWER).split()) for d, t in rows]
+    grams, contexts, n = collections.Counter(), collections.Counter(), 0
     for d, w in lists:
-        if d is not None and d % 3 == 0:
+        if counted(d):
             n += len(w)
-            counts.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
-
-    def brute(w):
-        total = 0.0
-        for i in range(len(w)):
-            room = min(order - 1, i)
-            for k in range(room, -1, -1):
-                g = tuple(w[i - k : i + 1])
+            p = [b""] * (order - 1) + w
+            for i in range(order - 1, len(p)):
+                for k in range(order):
+                    grams[tuple(p[i - k : i + 1])] += 1
+                    contexts[tuple(p[i - k : i])] += 1
+
+    def one(w):
+        total, p = 0.0, [b""] * (order - 1) + w
+        for i in range(order - 1, len(p)):
+            for k in range(order - 1, -1, -1):
+                g = tuple(p[i - k : i + 1])
+                step = (order - 1 - k) * math.log(0.4)
                 if k == 0:
-                    total += math.log(max(1, counts[g]) / max(1, n)) + room * math.log(0.4)
-                elif counts[g] and counts[g[:-1]]:
-                    total += math.log(counts[g] / counts[g[:-1]]) + (room - k) * math.log(0.4)
+                    total += math.log(max(1, grams[g]) / max(1, n)) + step
+                elif grams[g]:
+                    total += math.log(grams[g] / contexts[g[:-1]]) + step
                     break
         return total
 
-    same([(r.doc_id, r.n_words, round(r.log_score, 6) + 0.0) for r in got], [(d, len(w), round(brute(w), 6) + 0.0) for d, w in lists])
-    assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
+    return [(d, len(w), round(one(w), 6) + 0.0) for d, w in lists]
 
 
-def test_tasks_do_not_grow_with_the_corpus(spark, docs, rows):
-    some = docs.where("doc_id < 40")
-    few, many = ngram_scores.score(some), ngram_scores.score(some, some, ngram_scores.Params(route_grams=2_000))
-    grams = 4 * sum(len(ngram_scores.words(t)) for d, t in rows if d is not None and d < 40)
-    assert many.rdd.getNumPartitions() == -(-grams // 2_000) > few.rdd.getNumPartitions()
-    same(*([(r.doc_id, r.n_words, round(r.log_score, 6)) for r in x.collect()] for x in (few, many)))
+def scored(df):
+    return [(r.doc_id, r.n_words, round(r.log_score, 6) + 0.0) for r in df.collect()]
+
+
+@pytest.mark.parametrize(("order", "bucket_words"), [(1, 8_000), (2, 2_000_000), (3, 8_000), (4, 2_000_000)])
+def test_scores_are_stupid_backoff(spark, docs, rows, order, bucket_words):
+    params = ngram_scores.Params(order=order, bucket_words=bucket_words)
+    got = ngram_scores.score(docs, docs.where("doc_id % 3 = 0"), params)
+    same(scored(got), brute_scores(rows, lambda d: d is not None and d % 3 == 0, order))
+    assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got.collect())
+    same(scored(ngram_scores.score(docs.withColumn("key", F.lit(1)), params=params)), brute_scores(rows, lambda d: True, order))
+
+
+def test_scores_of_heavy_words_are_exact(spark):
+    rows = [(k, f"same line here {k} and word word word end {k % 3}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(scored(ngram_scores.score(df, params=ngram_scores.Params(bucket_words=100))), brute_scores(rows, lambda d: True, 3))
+
+
+def test_tasks_do_not_grow_with_the_corpus():
+    assert ngram_scores.buckets_for(10**7, 8, ngram_scores.Params(bucket_words=10**5)) == 100 and ngram_scores.buckets_for(0, 8, ngram_scores.Params()) == 8
+
+
+def test_scores_of_an_empty_table_and_long_texts(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert ngram_scores.score(none).count() == 0 and ngram_scores.score(none, none).count() == 0
+    text = "alpha beta gamma delta\n" * 60_000
+    assert [len(w) for w in ngram_scores.words(text)][0] < 240_000 == sum(map(len, ngram_scores.words(text)))
+    got = ngram_scores.score(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_words == 240_000
 
 
 # 2
