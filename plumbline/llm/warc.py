@@ -10,8 +10,14 @@ Records are gzip members of their own.  The writer notes each member's length in
 the gzip header (the extra field ``SL``), which lets the reader seek from record
 to record; files without it, and uncompressed ones, are read in sequence.  The
 writer's tasks write files under names of their own, and the driver's commit
-lists them in ``_files.json``; only listed files are read, so those of lost or
-repeated attempts never count.
+lists them in a manifest (``_files-*.json``); only listed files are read, so
+those of lost or repeated attempts never count.  Appending adds a manifest;
+overwriting drops the older ones, and then their files.
+
+A payload is what remains of the HTTP body once its transfer coding (chunked) is
+undone, and its digest is held against both.  A record that doesn't fit its
+digest, or can't be decoded, is returned with what is wrong in ``fault`` and the
+job goes on; ``sound`` raises on such records.
 
 Defined results: a null payload is empty; a null URL leaves WARC-Target-URI out;
 the rows that repeat a payload's smallest page_id are all responses; a null
@@ -40,8 +46,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import checkpointed, scratch
 
-SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, content_length long, payload_digest string, refers_to string, payload_bytes long, payload binary"
-_ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, content_length long, payload_digest string, refers_to string, payload_bytes long, payload binary, fault string"
+_ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fault", pa.string())])
 #: Header fields that predicates may be pushed to, by column.
 _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -157,6 +163,15 @@ class _Source:
         return {k.strip().lower(): v.strip() for k, _, v in pairs}, end + 4
 
 
+def _manifests(names) -> list[str]:
+    return [n for n in names if fnmatch.fnmatch(posixpath.basename(n), "_files*.json")]
+
+
+def _listed(system: fs.FileSystem, manifest: str) -> list[str]:
+    with system.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -176,10 +191,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         system, root = _filesystem(self.path)
         infos = {i.path: i.size for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file} if system.get_file_info(root).type == fs.FileType.Directory else {root: system.get_file_info(root).size}
-        listed = f"{root.rstrip('/')}/_files.json"
-        if listed in infos:
-            with system.open_input_stream(listed) as f:
-                names = [f"{root.rstrip('/')}/{x}" for x in json.loads(f.read())]
+        listed = _manifests(infos)
+        if listed:
+            names = sorted(f"{root.rstrip('/')}/{x}" for m in listed for x in _listed(system, m))
         else:
             names = sorted(p for p in infos if fnmatch.fnmatch(posixpath.basename(p), "*.warc*"))
         out, run, size = [], [], 0
@@ -214,7 +228,7 @@ class WarcReader(DataSourceReader):
             with system.open_input_file(name) as file:
                 for header, start, block in _Source(file).records(lambda h: self._fits(h) and ("block" if self.payload else "header")):
                     rows.append(_row(header, start, block, self.verify))
-                    size += len(rows[-1][-1] or b"") + 200
+                    size += len(rows[-1][-2] or b"") + 200
                     if size > 8 << 20:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -231,22 +245,42 @@ def _value(column: str, header: dict) -> str | None:
     return value.removeprefix("sha1:") if column == "payload_digest" else value
 
 
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        n = int(body[at:end].partition(b";")[0], 16) if end >= 0 else -1
+        if n < 0 or end + 2 + n > len(body):
+            raise ValueError("broken chunk")
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
 def _row(header: dict, start: bytes, block: bytes | None, verify: bool) -> tuple:
     body = header.get("content-type", "").startswith("application/http")
     raw = block if block is not None else start
     end = raw.find(b"\r\n\r\n") if body else -4
-    length = re.search(rb"(?im)^content-length:\s*(\d+)", raw[: max(0, end)]) if body else None
-    payload = block[end + 4 :] if block is not None and end > -4 or block is not None and not body else None
+    head = raw[: max(0, end)]
+    length = re.search(rb"(?im)^content-length:\s*(\d+)", head) if body else None
+    payload = block[end + 4 :] if block is not None and (end > -4 or not body) else None
     kind, n = header.get("warc-type"), int(header["content-length"])
     size = int(length[1]) if length else n - (end + 4 if body and end >= 0 else 0)
-    digest = _value("payload_digest", header)
+    digest, fault = _value("payload_digest", header), None
     if kind == "revisit":
         payload = None
     elif payload is not None:
-        if verify and digest and header["warc-payload-digest"].startswith("sha1:") and base32_sha1(payload) != digest:
-            raise ValueError(f"payload of {header.get('warc-record-id')} does not fit its digest")
+        whole = payload
+        if re.search(rb"(?im)^transfer-encoding:.*chunked", head):
+            try:
+                payload = _unchunked(payload)
+            except ValueError as e:
+                fault = str(e)
+        if verify and digest and header["warc-payload-digest"].startswith("sha1:") and digest not in (base32_sha1(x) for x in ((payload,) if payload is whole else (payload, whole))):
+            fault = "the payload does not fit its digest"
         size = len(payload)
-    return (kind, _value("record_id", header), header.get("warc-target-uri"), header.get("warc-date"), header.get("content-type"), n, digest, _value("refers_to", header), size, payload)
+    return (kind, _value("record_id", header), header.get("warc-target-uri"), header.get("warc-date"), header.get("content-type"), n, digest, _value("refers_to", header), size, payload, fault)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -256,8 +290,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class WarcWriter(DataSourceArrowWriter):
     """Takes record_type, record_id, target_uri, payload and refers_to."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.date = options.get("date", "2024-01-01T00:00:00Z")
         self.bytes = int(options.get("filebytes", options.get("fileBytes", 128 << 20)))
         system, root = _filesystem(self.path)
@@ -285,9 +319,14 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         system, root = _filesystem(self.path)
+        root = root.rstrip("/")
         names = sorted(n for m in messages if m for n in m.files)
-        with system.open_output_stream(f"{root}/_files.json", compression=None) as f:
+        old = _manifests(i.path for i in system.get_file_info(fs.FileSelector(root)) if i.is_file) if self.overwrite else []
+        gone = [f"{root}/{x}" for m in old for x in _listed(system, m)]
+        with system.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(names).encode())
+        for path in [*old, *gone]:  # lists first: what is no longer listed is no longer read
+            system.delete_file(path)
 
     def abort(self, messages) -> None:
         system, root = _filesystem(self.path)
@@ -308,7 +347,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite) -> DataSourceArrowWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -338,9 +377,9 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def write(pages: DataFrame, path: str, min_bytes: int = 0, mode: str = "append") -> None:
     register(pages.sparkSession)
-    with_revisits(pages, min_bytes).write.format("warc").mode("append").save(path)
+    with_revisits(pages, min_bytes).write.format("warc").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -348,6 +387,12 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def sound(records: DataFrame) -> DataFrame:
+    """The records; one with a fault ends the job."""
+    wrong = F.raise_error(F.concat(F.coalesce("record_id", F.lit("a record")), F.lit(": "), "fault"))
+    return records.where(F.when(F.col("fault").isNotNull(), wrong.cast("boolean")).otherwise(True))
+
+
 def page_number(urn: str):
     text = F.regexp_extract(F.col(urn), rf"^{_URN}(-?\d+)$", 1)
     return F.when(text != "", text.cast("long"))
@@ -362,7 +407,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(pages, path, min_bytes)
-    response = read(spark, path).where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    response = sound(read(spark, path).where("record_type = 'response'")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     revisit = read(spark, path, payload=False).where("record_type = 'revisit'")
     df = response.unionByName(revisit)
     return df.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
