@@ -14,7 +14,8 @@ The classifier is trained here, in numpy, on pages made from templates by
 
 Defined results: null html is an empty page and gives an empty text; a page
 without content blocks gives an empty text; unclosed tags end with their
-surroundings; repeated rows are read one by one; an empty table gives an empty
+surroundings; a tag whose quotes never end is taken to end at the next ``>``;
+pages of any length are read whole; repeated rows are read one by one; an empty table gives an empty
 result; extra columns are left out.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -33,14 +34,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 # HTML element names by how they shape a page's text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes head template noscript svg math canvas object audio video map datalist select button option".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>\x00]*)", re.S)
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+_CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _READ = frozenset("class id role style hidden aria-hidden itemprop".split())
 _HEAD = frozenset("head title style script noscript template meta link base basefont bgsound noframes".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -58,21 +63,101 @@ class Params:
     sure: float = 8.0
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
+    """text; what the elements around it say; how many they are; how many tags from the top it shares with the block before; its parent; linked characters."""
+
     text: str
-    path: tuple[str, ...]
-    marks: tuple[frozenset, ...]
+    around: _Around
+    depth: int
+    common: int
     parent: int
     linked: int
 
 
+@dataclass(slots=True, frozen=True)
+class _Around:
+    """What the elements from the top down to one say, each step made from the one above."""
+
+    tag: str = ""
+    article: bool = False
+    main: bool = False
+    listed: bool = False
+    named: bool = False
+    bad: int = 0
+    remarks: int = 0
+    good: bool = False
+
+    def inside(self, tag: str, marks: frozenset) -> _Around:
+        enters = tag == "article" and not self.article
+        plain = tag == "body"
+        remarks = self.remarks + (not plain and bool(marks & _COMMENTS))
+        # Outside an article only comments tell against what is in it.
+        bad = (self.remarks if enters else self.bad) + (not plain and bool(marks & _BAD))
+        return _Around(
+            tag, self.article or enters, self.main or tag == "main", self.listed or tag in ("ul", "ol", "dl", "menu"), not enters and (self.named or tag in _TAGS_BAD),
+            bad, remarks, self.good or bool(marks & _GOOD) and not marks & _BAD,
+        )
+
+    def features(self) -> tuple[float, ...]:
+        return (
+            float(self.named), float(min(self.bad, 2)), float(self.good), float(self.article or self.main),
+            float(self.tag in ("p", "blockquote", "pre", "figcaption")), float(self.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(self.listed),
+        )
+
+
 @dataclass(slots=True)
 class _Node:
     tag: str
-    marks: frozenset
+    around: _Around
     key: int
     hidden: bool
+    like: int = 0
+
+
+class _Stack:
+    """Open elements, with the places of each tag and of all block elements."""
+
+    def __init__(self):
+        self.nodes = [_Node("", _Around(), 0, False)]
+        self.solid: list[_Node] = []  # those that are not inline
+        self.solid_at: list[int] = [0]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.low = 0  # the least number of block elements open since the last block
+        self.names: dict[tuple[int, str], int] = {}  # numbers a row of tags from the top
+        self.before: list[int] = []  # those of the last block
+
+    def push(self, node: _Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        if node.tag not in _INLINE:
+            above = self.solid[-1].like if self.solid else 0
+            node.like = self.names.setdefault((above, node.tag), len(self.names) + 1)
+            self.solid.append(node)
+            self.solid_at.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> _Node:
+        node = self.nodes.pop()
+        self.at[node.tag].pop()
+        if node.tag not in _INLINE:
+            self.solid.pop()
+            self.solid_at.pop()
+            self.low = min(self.low, len(self.solid))
+        return node
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def shared(self) -> int:
+        """How many tags from the top the open block elements share with those of the last call."""
+        now, k = self.solid, self.low
+        while k < len(now) and k < len(self.before) and now[k].like == self.before[k]:
+            k += 1
+        del self.before[self.low :]
+        self.before += [n.like for n in now[self.low :]]
+        self.low = len(now)
+        return k
 
 
 def _marks(rest: str) -> tuple[frozenset, bool]:
@@ -91,17 +176,21 @@ def _marks(rest: str) -> tuple[frozenset, bool]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's visible blocks of text in order, with what stands around them."""
+    """The page's visible blocks of text in order, with what stands around them.
+
+    Takes time in proportion to the page: each tag looks at what it opens or
+    closes, never at all that is open.
+    """
     out: list[Block] = []
-    stack = [_Node("", frozenset(), 0, False)]
+    stack = _Stack()
     parts: list[str] = []
-    keys = linked = links = at = 0
-    hidden = 0
+    keys = linked = links = at = hidden = 0
+    quoted = True  # whether quotes in tags are still trusted to end
 
     def put(raw: str) -> None:
         nonlocal linked
-        if stack[-1].tag == "head" and raw and not raw.isspace():
-            leave_head()
+        if stack.nodes[-1].tag == "head" and raw and not raw.isspace():
+            leave("head")
         if raw and not hidden:
             t = entities.unescape(raw) if "&" in raw else raw
             parts.append(t)
@@ -114,22 +203,21 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                own = [n for n in stack[1:] if n.tag not in _INLINE]
+                own = stack.solid
                 # The parent of a block is what holds its own element.
                 parent = own[-2].key if len(own) > 1 else 0
-                out.append(Block(text, tuple(n.tag for n in own), tuple(n.marks for n in own), parent, min(linked, len(text))))
+                out.append(Block(text, own[-1].around if own else _Around(), len(own), stack.shared(), parent, min(linked, len(text))))
         linked = 0
 
-    def pop() -> str:
+    def close(depth: int) -> None:
         nonlocal links, hidden
-        node = stack.pop()
-        links -= node.tag == "a"
-        hidden -= node.hidden
-        return node.tag
+        while len(stack.nodes) > depth:
+            node = stack.pop()
+            links -= node.tag == "a"
+            hidden -= node.hidden
 
-    def leave_head() -> None:
-        while pop() != "head":
-            pass
+    def leave(tag: str) -> None:
+        close(stack.last(tag))
 
     end = len(page)
     while at < end:
@@ -137,30 +225,37 @@ def blocks(page: str) -> list[Block]:
         if not m:
             put(page[at:])
             break
+        tag, stop, rest = m[2], m.end(), ""
+        if tag is not None:
+            r = _REST.match(page, stop) if quoted else None
+            if r:
+                rest, stop = r[1], r.end()
+            else:  # a quote without an end: from here on a tag ends at the next >
+                quoted = False
+                stop = page.find(">", stop) + 1
+                if not stop:
+                    put(page[at:])
+                    break
+                rest = page[m.end() : stop - 1]
         if m.start() > at:
             put(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        at = stop
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
+            depth = stack.last(tag)
             if tag == "br":
                 put(" ")
-                continue
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not depth:
                 flush()
-                continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if not depth or tag in _INLINE and any(n.tag not in _INLINE for n in stack[depth:]):
-                continue
-            if tag not in _INLINE:
-                flush()
-            while len(stack) > depth:
-                pop()
+            elif depth and not (tag in _INLINE and stack.solid_at[-1] > depth):
+                if tag not in _INLINE:
+                    flush()
+                close(depth)
             continue
-        if tag not in _HEAD and stack[-1].tag == "head" or tag == "body" and any(n.tag == "head" for n in stack):  # its end tag may be left out
-            leave_head()
+        if tag not in _HEAD and stack.nodes[-1].tag == "head" or tag == "body" and stack.last("head"):  # its end tag may be left out
+            leave("head")
         if tag in _VOID:
             if tag == "br":
                 put(" ")
@@ -170,34 +265,25 @@ def blocks(page: str) -> list[Block]:
         if tag not in _INLINE and tag not in ("button", "select", "option"):
             flush()
         if tag in _CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-            if depth and all(n.tag in _INLINE for n in stack[depth + 1 :]):
-                while len(stack) > depth:
-                    pop()
-        elif tag in ("li", "dt", "dd", "tr", "td", "th"):
-            like = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}[tag]
-            stop = ("ul", "ol", "dl", "table", "menu")
-            depth = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stop:
-                    break
-                if stack[k].tag in like:
-                    depth = k
-                    break
-            while depth and len(stack) > depth:
-                pop()
+            depth = stack.last("p")
+            if depth and stack.solid_at[-1] == depth:
+                close(depth)
+        elif tag in _CLOSED_BY:
+            depth = stack.last(*_CLOSED_BY[tag])
+            if depth > stack.last("ul", "ol", "dl", "table", "menu"):
+                close(depth)
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            shut = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = (page.find(">", shut.end()) + 1 if shut else 0) or end
             continue
         keys += 1
-        marks, away = _marks(m[3])
+        marks, away = _marks(rest)
         away = away or tag in _HIDDEN
-        stack.append(_Node(tag, marks, keys, away))
+        stack.push(_Node(tag, stack.nodes[-1].around if tag in _INLINE else (stack.solid[-1].around if stack.solid else _Around()).inside(tag, marks), keys, away))
         hidden += away
         links += tag == "a"
-        if m[3].endswith("/") and tag in ("svg", "math", "path"):
-            pop()
+        if rest.endswith("/") and tag in ("svg", "math", "path"):
+            close(len(stack.nodes) - 1)
     flush()
     return out
 
@@ -205,30 +291,12 @@ def blocks(page: str) -> list[Block]:
 FEATURES = 12
 
 
-@cache
-def _surroundings(path: tuple[str, ...], marks: tuple[frozenset, ...]) -> tuple[float, ...]:
-    """Features that a block takes from the elements around it."""
-    inside = next((k for k, t in enumerate(path) if t == "article"), -1)
-    inner = path[inside + 1 :] if inside >= 0 else path
-    bad = sum(bool(m & (_BAD if k >= inside else _COMMENTS)) for k, m in enumerate(marks) if path[k] != "body")
-    good = sum(bool(m & _GOOD) and not m & _BAD for m in marks)
-    return (
-        float(any(t in _TAGS_BAD for t in inner)),
-        float(min(bad, 2)),
-        float(min(good, 1)),
-        float(inside >= 0 or "main" in path),
-        float(bool(path) and path[-1] in ("p", "blockquote", "pre", "figcaption")),
-        float(bool(path) and path[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")),
-        float(any(t in ("ul", "ol", "dl", "menu") for t in path)),
-    )
-
-
 def features(page: list[Block]) -> np.ndarray:
     x = np.empty((len(page), FEATURES))
     for k, b in enumerate(page):
         n = len(b.text)
         words = b.text.count(" ") + 1
-        x[k] = (*_surroundings(b.path, b.marks), b.linked / n, min(1.0, words / 40), float(b.text[-1] in ".!?…。\"'”»"), float(bool(n < 400 and _HINTS.search(b.text))), float(words < 4))
+        x[k] = (*b.around.features(), b.linked / n, min(1.0, words / 40), float(b.text[-1] in ".!?…。\"'”»"), float(bool(n < 400 and _HINTS.search(b.text))), float(words < 4))
     return x
 
 
@@ -418,9 +486,7 @@ def ties(page: list[Block], params: Params) -> list[tuple[int, int, float]]:
     for k, b in enumerate(page):
         if k:
             # Blocks in a row are tied the more, the more of their surroundings they share.
-            a = page[k - 1].path
-            common = next((i for i, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            out.append((k - 1, k, params.follow * (common + 1) / (max(len(a), len(b.path)) + 1)))
+            out.append((k - 1, k, params.follow * (b.common + 1) / (max(page[k - 1].depth, b.depth) + 1)))
         if b.parent in last:
             out.append((last[b.parent], k, params.sibling))
         last[b.parent] = k
@@ -441,6 +507,8 @@ def extract(page: str | None, params: Params = Params()) -> str:
 def main_text(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
 
+    text_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def run(html: pd.Series) -> pd.Series:
         return pd.Series([extract(h, params) for h in html], dtype=object)
