@@ -92,14 +92,14 @@ def _bytes(setting: str) -> int:
     return int(digits) * units[setting.strip()[len(digits) :].lower()]
 
 
-def shielded(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` with all columns but ``keep`` renamed by their place, and what gives the old names back.
+def shielded(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but ``keep`` renamed by their place, and what gives the old names back, with further columns that are asked for.
 
     Names that an operator uses then never clash with the table's own.
     """
     names = [c if c in keep else f"own_{i}" for i, c in enumerate(docs.columns)]
     own = list(docs.columns)
-    return docs.toDF(*names), lambda df: df.select(*[F.col(n).alias(c) for n, c in zip(names, own, strict=True)])
+    return docs.toDF(*names), lambda df, also=(): df.select(*[F.col(n).alias(c) for n, c in zip(names, own, strict=True)], *also)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -7,8 +7,9 @@ labelled table below.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and is judged by the classifier; of rules of equal length the first
-in alphabetical order wins; repeated rows are judged one by one; an empty table
-gives an empty result; columns named like a result are replaced.
+in alphabetical order wins; URLs of any length are read whole; repeated rows are
+judged one by one; an empty table gives an empty result; columns named like a
+result are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shielded
+
 #: Rules of the registered query: (host with path, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-# The labelled URLs, as host and path.
+# The labelled URLs, as host and path; written for this list, under the reserved top level ``test``.
 BLOCKED = """
-casino-win.example.com/en/12 free-bets.example.com/en/7 cheap-pills.example.com/de/3 ads-track.example.com/en/9
+casino-win.test/en/12 free-bets.test/en/7 cheap-pills.test/de/3 ads-track.test/en/9
 www.casino-royal.test/play/77 m.best-casino.test/slots/1 slots-online.test/jackpot bet-bonus.test/sports/5
 sports-betting.test/odds/33 poker-win.test/en/2 lotto-prizes.test/win/11 free-spins.test/bonus
 pills-online.test/buy/viagra cheap-viagra.test/order pharmacy-discount.test/pills/8 buy-cialis.test/cheap
@@ -38,11 +41,11 @@ sex-dating.test/join hot-singles.test/meet free-iphone.test/winner prize-winner.
 get-rich-quick.test/now crypto-profit.test/signup payday-loans.test/apply fast-cash.test/loan/2
 replica-watches.test/shop/1 cracked-software.test/keygen warez-downloads.test/full torrent-free.test/dl/5
 win-money.test/en/8 free-gift-cards.test/claim cheap-meds.test/de/4 online-gambling.test/fr/6
-spam-mailer.test/list spam-farm.example.com/en/2 link-farm.test/seo/4 malware-site.test/exe phishing-login.test/verify escort-service.test/city/2
+spam-mailer.test/list spam-farm.test/en/2 link-farm.test/seo/4 malware-site.test/exe phishing-login.test/verify escort-service.test/city/2
 """.split()
 ALLOWED = """
-tiontion.example.net/en/12 therhe.example.org/en/7 ththan.example.com/en/3 www.ththst.example.com/fr/9
-blog.tionsh.example.com/en/77 m.ththth.example.net/es/1 theror.example.com/de/20 www.thering.example.org/en/5
+quillmark.test/en/12 harborview.test/en/7 oldbridge.test/en/3 www.stonegate.test/fr/9
+blog.northfield.test/en/77 m.silverlake.test/es/1 greenhill.test/de/20 www.fairmont.test/en/5
 news.daily.test/world/33 www.city-library.test/books/2 museum.test/collection/11 university.test/research/paper
 school.test/teachers/8 docs.software.test/guide/install wiki.science.test/physics/light weather.test/forecast/4
 recipes.test/bread/22 garden.test/plants/roses travel.test/guide/rome history.test/medieval/castles
@@ -135,14 +138,17 @@ def score(host: str, path: str, params: Params = Params()) -> float:
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, params: Params = Params()) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and the classifier's score."""
+    """``pages`` with host, path, rule, verdict and, where no rule fits, the classifier's score."""
 
     @F.pandas_udf("double")
-    def scored(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([score(h, p, params) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
-
-    df = pages.drop("host", "path", "rule", "verdict", "score").withColumns({"host": host(), "path": path()})
-    df = df.withColumn("_rule", rule(rules)).withColumn("score", scored("host", "path"))
+    def scored(hosts: pd.Series, paths: pd.Series, open_: pd.Series) -> pd.Series:
+        return pd.Series([score(h, p, params) if o else None for h, p, o in zip(hosts, paths, open_, strict=True)], dtype="float64")
+
+    made = ("host", "path", "rule", "verdict", "score")
+    own, back = shielded(pages.select("url", *[F.col(f"`{c}`") for c in pages.columns if c not in (*made, "url")]), ("url",))
+    df = own.withColumns({"host": host(), "path": path()})
+    df = df.withColumn("fit", rule(rules))
+    df = df.withColumn("score", scored("host", "path", F.col("fit").isNull()))
     by_model = F.when(F.col("score") >= params.threshold, "block").otherwise("allow")
-    df = df.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce("_rule.verdict", by_model))
-    return df.drop("_rule")
+    df = df.withColumn("rule", F.col("fit.rule")).withColumn("verdict", F.coalesce("fit.verdict", by_model))
+    return back(df, made)
