@@ -7,9 +7,12 @@ gives back an ordered list that becomes one CASE expression.
 
 Defined results: null text counts as empty and has no words; a text without
 words fails the base rules; unlabelled corpora, or ones where every label is
-alike, learn an empty list and keep all that passes the base rules; repeated
-rows are judged one by one; ties between conditions go to the first in the
-order of features and thresholds; columns named like a statistic are replaced.
+alike, learn an empty list and keep all that passes the base rules; texts of any
+length are read whole; repeated rows are judged one by one; of several labelled
+texts under one doc_id the one with the least statistics is learned from; ties
+between conditions go to the first in the order of features and thresholds; an
+empty table gives an empty result; columns named like a statistic or verdict are
+replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -93,8 +96,9 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its clashing columns, with the base counts and the rule features."""
     made = [*BASE, "base_failed", "kept", "rule", *FEATURES]
-    df = docs.drop(*[c for c in docs.columns if c in made or c.startswith("_")])
-    own = [F.col(f"`{c}`") for c in df.columns]
+    docs = docs.drop(*[c for c in docs.columns if c in made])
+    df, back = shielded(docs, (text,))
+    own = df.columns
     df = df.withColumn("_t", text_or_empty(text))
     without = lambda chars: F.length(F.translate("_t", chars, ""))
     df = df.withColumn("_w", F.array_remove(F.split("_t", r"[ \x09-\x0D]+"), ""))
@@ -133,7 +137,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # A generator keeps filters on these columns from being pushed below, where
     # each would compute the word arrays anew for every use.
-    return df.select(*own, F.inline(F.array(made)))
+    return back(df.select(*own, F.inline(F.array(made))), [*BASE, "base_failed", *FEATURES])
 
 
 FEATURES = ["f_words", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_vocabulary", "f_upper", "f_digits", "f_exclaim", "f_punctuation", "f_lines"]
@@ -204,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Decisi
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     known = sampled_ids(known, params.max_labelled)  # so many rows at most may be broadcast
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known.withColumnRenamed("_quality", "quality")), "doc_id")).where(~F.col("base_failed"))
-    got = sorted(tuple(r) for r in rows.select("doc_id", "quality", *FEATURES).dropDuplicates(["doc_id"]).collect())
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("row"))
+    got = sorted(tuple(r) for r in one.select("doc_id", "row.*").collect())
     if not got:
         return DecisionList()
     data = np.array([r[2:] for r in got], float)
