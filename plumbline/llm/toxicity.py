@@ -14,9 +14,15 @@ Only rows outside the hold-out (crc32 of doc_id, modulo 3, is 1) lend labels or
 text to the fit, which reads at most ``Params.max_positive`` toxic and
 ``Params.max_unlabelled`` other documents, whole.
 
+The class prior is the toxic share of the labelled rows, which is right where
+labels are a random sample of the documents; ``fit`` takes no other word for it.
+
 Defined results: null and empty texts get the score of the bias alone; without
-any toxic label every score is 0; repeated rows are scored one by one; extra
-columns are kept by ``filter_documents`` and otherwise left out.
+any toxic label every score is 0; texts of any length are scored whole; of
+several texts under one doc_id the least is learned from; features that stand
+out alike are taken in the order of their numbers; repeated rows are scored one
+by one; an empty table gives an empty result; extra columns are kept by
+``filter_documents`` and otherwise left out.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold_out, release, sampled_ids, shielded, text_batches
+from .common import checkpointed, hold_out, release, sampled_ids, shielded, text_batches
 
 _BREAK = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -90,35 +96,21 @@ def document_features(text: str | None, params: Params) -> tuple[np.ndarray, np.
     return np.array(index, np.int32), np.array([_value(got[i], total, params) for i in index], np.float32)
 
 
-def _selected(positive: list[tuple], unlabelled: list[tuple], params: Params) -> np.ndarray:
-    """The features whose mean value in toxic text stands out most, in standard errors."""
-    size = 1 << params.bits
-    mean, seen = np.zeros((2, size)), np.zeros(size)
-    for k, rows in enumerate((positive, unlabelled)):
-        for i, v in rows:
-            mean[k, i] += v / len(rows)
-            seen[i] += k == 0
-    z = (mean[0] - mean[1]) / np.sqrt(mean[0] / len(positive) + mean[1] / len(unlabelled) + 1 / len(positive) ** 2)
-    z[seen < params.min_documents] = -1
-    top = np.argsort(-z, kind="stable")[: params.features]
-    return np.sort(top[z[top] > 0])
+def standing_out(totals: DataFrame, positive: int, unlabelled: int, params: Params) -> list[int]:
+    """The features whose mean value in toxic text stands out most, in standard errors; equal ones in the order of their numbers.
 
+    totals: (f, p, u, seen), sums over the toxic and the other texts and the toxic texts that have f.
+    """
+    p, u = F.col("p") / max(1, positive), F.col("u") / max(1, unlabelled)
+    z = F.round((p - u) / F.sqrt(p / max(1, positive) + u / max(1, unlabelled) + 1 / max(1, positive) ** 2), 9)
+    top = totals.where(F.col("seen") >= params.min_documents).select("f", z.alias("z")).where("z > 0")
+    return sorted(r.f for r in top.orderBy(F.desc("z"), "f").limit(params.features).collect())
 
-def train(positive: list[tuple], unlabelled: list[tuple], prior: float, params: Params = Params(), seed: int = 7) -> Model:
-    """Adam on the non-negative risk with logistic loss; rows are (indices, values)."""
-    if not positive or not unlabelled:
-        return Model({}, -np.inf, params)
-    chosen = _selected(positive, unlabelled, params)
-
-    def dense(rows: list[tuple]) -> np.ndarray:
-        out = np.zeros((len(rows), len(chosen)), np.float32)
-        for r, (i, v) in enumerate(rows):
-            at = np.minimum(np.searchsorted(chosen, i), max(0, len(chosen) - 1))
-            fits = chosen[at] == i if len(chosen) else np.zeros(len(i), bool)
-            out[r, at[fits]] = v[fits]
-        return out
 
-    p_all, u_all = dense(positive), dense(unlabelled)
+def train(p_all: np.ndarray, u_all: np.ndarray, chosen: list[int], prior: float, params: Params = Params(), seed: int = 7) -> Model:
+    """Adam on the non-negative risk with logistic loss; a row for each text, a column for each chosen feature."""
+    if not len(p_all) or not len(u_all):
+        return Model({}, -np.inf, params)
     held_p, held_u = (np.arange(len(x)) % 5 == 4 for x in (p_all, u_all))
     xp, xu = p_all[~held_p], u_all[~held_u] if (~held_u).any() else u_all
     rng = np.random.default_rng(seed)
@@ -181,22 +173,41 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     text_batches(docs.sparkSession)
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not share:
-        return train([], [], 0.0, params)
+        return train(np.zeros((0, 0)), np.zeros((0, 0)), [], 0.0, params)
     chosen = sampled_ids(known.where("toxic = 1").select("doc_id"), params.max_positive).withColumn("_p", F.lit(True))
     others = sampled_ids(docs.where("doc_id is not null").where(~hold_out()).select("doc_id"), params.max_unlabelled).withColumn("_p", F.lit(False))
+    rows = docs.select("doc_id", "text").join(chosen.unionByName(others), "doc_id").groupBy("doc_id", "_p").agg(F.min("text").alias("text"))
+    rows = checkpointed(rows)
+    sizes = {r._p: r.n for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sums = np.zeros((3, 1 << params.bits))
+            for p, t in zip(x["_p"], x["text"], strict=True):
+                i, v = document_features(t, params)
+                sums[0 if p else 1, i] += v
+                sums[2, i] += bool(p)
+            f = np.flatnonzero(sums.any(0))
+            yield pd.DataFrame({"f": f, "p": sums[0, f], "u": sums[1, f], "seen": sums[2, f]})
+
+    totals = rows.mapInPandas(tally, "f int, p double, u double, seen double").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.sum("seen").alias("seen"))
+    top = standing_out(totals, sizes.get(True, 0), sizes.get(False, 0), params)
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {f: k for k, f in enumerate(top)}
         for x in batches:
-            got = [document_features(t, params) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "_p": x["_p"], "i": [a for a, _ in got], "v": [b for _, b in got]})
-
-    rows = docs.select("doc_id", "text").join(chosen.unionByName(others), "doc_id").mapInPandas(features, "doc_id long, _p boolean, i array<int>, v array<float>").toArrow()
-    found: dict[bool, dict[tuple, tuple]] = {True: {}, False: {}}
-    for k, p, i, v in zip(*(rows.column(c) for c in ("doc_id", "_p", "i", "v")), strict=True):
-        i, v = i.values.to_numpy(), v.values.to_numpy()
-        found[p.as_py()][k.as_py(), i.tobytes()] = (i, v)
-    positive, unlabelled = ([found[s][k] for k in sorted(found[s])] for s in (True, False))
-    return train(positive, unlabelled, float(share), params)
+            out = np.zeros((len(x), len(top)), np.float32)
+            for r, t in enumerate(x["text"]):
+                for f, v in zip(*document_features(t, params), strict=True):
+                    if f in at:
+                        out[r, at[f]] = v
+            yield pd.DataFrame({"doc_id": x["doc_id"], "_p": x["_p"], "v": list(out)})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # max_positive + max_unlabelled rows of ``features`` numbers at most.
+    got = rows.mapInPandas(dense, f"doc_id {kind}, _p boolean, v array<float>").orderBy("doc_id").collect()
+    p_all, u_all = (np.array([r.v for r in got if r._p is s], np.float32).reshape(-1, len(top)) for s in (True, False))
+    return train(p_all, u_all, top, float(share), params)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
