@@ -10,7 +10,7 @@ never counted counts as once.
 Every position gives one entry: the 64-bit hash of its context, the hash of its
 word, its document.  Entries go by context to buckets of the hash space (a Spark
 shuffle), so a bucket counts both its contexts and its n-grams and joins the
-counts back to the entries; Spark then sums by document.  Texts that are scored
+counts back to the entries; a second shuffle, by document, sums them.  Texts that are scored
 under their own corpus need no other order, since all their n-grams are counted.
 With a corpus of its own, what a bucket doesn't find goes on to the next lower
 order.  Entries travel as rows of arrays, many to a row.
@@ -173,12 +173,17 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _share(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal parts of the hash space each hash is in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 65_536 else np.int32)
+
+
 def _dealt(e: _Entries, buckets: int, heavy: _Heavy, counted: bool, scored: bool) -> Iterator[pa.RecordBatch]:
     """A row of arrays for each bucket; the entries of a document stand together."""
     if not len(e.key):
         return
     by = np.where(heavy(e.context) > 0, e.pair(), e.context)
-    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 65_536 else np.int32)
+    bucket = _share(by, buckets)
     order = np.argsort(bucket, kind="stable")
     e, bucket = e[order], bucket[order]
     first = _starts(bucket)
@@ -193,30 +198,43 @@ def _dealt(e: _Entries, buckets: int, heavy: _Heavy, counted: bool, scored: bool
     yield pa.RecordBatch.from_arrays(columns, schema=_ROW)
 
 
-def _answered(keys: np.ndarray, values: np.ndarray, found: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
-    """A row with each document's sum over its entries that are found, and their number."""
-    runs = _starts(keys) if len(keys) else np.zeros(0, np.int64)
-    if not len(runs):
+def _answered(keys: np.ndarray, values: np.ndarray, found: np.ndarray, pieces: int) -> Iterator[pa.RecordBatch]:
+    """Each document's sum over its entries that are found, and their number: a row of arrays for each piece of the documents."""
+    docs, at = np.unique(keys[found], return_inverse=True)
+    if not len(docs):
         return
-    sums, sizes = np.add.reduceat(np.where(found, values, 0.0), runs), np.add.reduceat(found.astype(np.int64), runs)
-    some = sizes > 0
-    for i in range(0, int(some.sum()), 100_000):
-        part = slice(i, i + 100_000)
-        docs, size, known = keys[runs][some][part], sizes[some][part].astype(np.int32), sums[some][part]
-        none, all_of_it = np.zeros(2, np.int64), np.array([0, len(docs)])
-        empty = np.zeros(0, np.int64)
-        columns = [pa.array([bucket], pa.int32()), pa.array([False]), _lists(empty, none), _lists(empty.astype(np.int32), none), _lists(empty, none), _lists(docs, all_of_it), _lists(size, all_of_it), _lists(known, all_of_it)]
-        yield pa.RecordBatch.from_arrays(columns, schema=_ROW)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, _Entries]]:
-    """(bucket, whether it is counted, entries) of each row without answers; key is empty where nothing asks for a score."""
-    for b in batches:
-        for i in range(b.num_rows):
-            context, word, rest, doc, size = (b.column(k)[i].values.to_numpy() for k in range(2, 7))
-            n = len(context)
-            if n:
-                yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), _Entries(np.repeat(doc, size), context.view(np.uint64), word.view(np.uint32), rest.view(np.uint64).reshape(n, -1))
+    sums, sizes = np.bincount(at, values[found], len(docs)), np.bincount(at, minlength=len(docs))
+    piece = _share(docs.view(np.uint64), pieces)
+    order = np.argsort(piece, kind="stable")
+    piece = piece[order]
+    first = _starts(piece)
+    ends, n = np.r_[first, len(piece)], len(first)
+    none, empty = np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
+    columns = [
+        pa.array(piece[first].astype(np.int32)), pa.array(np.zeros(n, bool)), _lists(empty, none), _lists(empty.astype(np.int32), none), _lists(empty, none),
+        _lists(docs[order], ends), _lists(sizes[order].astype(np.int32), ends), _lists(sums[order], ends),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, schema=_ROW)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_words, log_score) of each document of a piece."""
+    got = [tuple(b.column(k).flatten().to_numpy() for k in (5, 6, 7)) for b in batches]
+    if got:
+        keys, sizes, sums = (np.concatenate(x) for x in zip(*got, strict=True))
+        docs, at = np.unique(keys, return_inverse=True)
+        columns = [pa.array(docs), pa.array(np.bincount(at, sizes, len(docs)).astype(np.int64)), pa.array(np.bincount(at, sums, len(docs)))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "n_words", "log_score"])
+    release()
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[bool, _Entries]]:
+    """(whether it is counted, entries) of each row that is no answer; key is empty where nothing asks for a score."""
+    for i in range(batch.num_rows):
+        context, word, rest, doc, size = (batch.column(k)[i].values.to_numpy() for k in range(2, 7))
+        n = len(context)
+        if n:
+            yield batch.column(1)[i].as_py(), _Entries(np.repeat(doc, size), context.view(np.uint64), word.view(np.uint32), rest.view(np.uint64).reshape(n, -1))
 
 
 def _joined(parts: list[_Entries]) -> _Entries:
@@ -295,6 +313,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
     rows, counted = _keyed(docs), _keyed(docs if own else corpus.select("doc_id", "text"))
     size = _positions(counted)
     buckets = buckets_for(size if own else size + _positions(rows), parallelism(spark), params)
+    pieces = max(parallelism(spark), buckets // 16)
     levels = [params.order] if own and params.order > 1 else list(range(params.order, 0, -1))
     total = counted.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \x09-\x0D]+")).cast("long"))).first()[0] or 0 if levels[-1] == 1 else 0
     heavy = {k: spark.sparkContext.broadcast(_heavy(counted, size, buckets, k, params)) for k in levels}
@@ -307,7 +326,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
         if out.any():
             if ask:
                 v, found = _value(e[out], known(e.context[out]), pairs[out], level, total, (params.order - level) * np.log(params.alpha))
-                yield from _answered(e.key[out], v, found, 0)
+                yield from _answered(e.key[out], v, found, pieces)
             e = e[~out]
         yield from _dealt(e, buckets, known, count_in, ask)
 
@@ -324,13 +343,13 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
     def answer(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Counts a bucket's contexts and n-grams and joins the counts to its entries."""
-            asked, counts, place = [], [], 0
+            asked, counts = [], []
 
             for b in batches:
                 done = b.filter(pc.greater(pc.list_value_length(b.column("known")), 0))
                 if done.num_rows:
                     yield done
-                for place, is_counted, e in _read(iter([b])):
+                for is_counted, e in _read(b):
                     if is_counted:
                         counts.append(e)
                     if len(e.key):
@@ -349,7 +368,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
                     mine = e.pair()
                     pairs = _counts(mine if own else c.pair(), mine)
                 v, found = _value(e, contexts, pairs, level, total, (params.order - level) * np.log(params.alpha))
-                yield from _answered(e.key, v, found, place)
+                yield from _answered(e.key, v, found, pieces)
                 missed = e[~found]
                 if len(missed.key):
                     below = level - 1
@@ -365,10 +384,10 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, params: Params = Par
         if not own:
             sent = sent.unionByName(counted.mapInArrow(explode(level, True, False), _SHAPE))
         sent = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(answer(level), _SHAPE)
-    sums = sent.select(F.inline(F.arrays_zip("doc", "size", "known"))).groupBy(F.col("doc").alias("key")).agg(F.sum("size").alias("size"), F.sum("known").alias("known"))
+    sums = sent.repartitionById(pieces, F.col("bucket")).mapInArrow(_added, "key long, n_words long, log_score double")
     # Rows that are alike add up under one key, and each takes its share.
     heads = docs.select("doc_id", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text").alias("key"))
     alike = heads.groupBy("key").agg(F.count(F.lit(1)).alias("alike"))
-    each = sums.join(alike, "key").select("key", (F.col("size") / F.col("alike")).cast("long").alias("n_words"), (F.col("known") / F.col("alike")).alias("log_score"))
+    each = sums.join(alike, "key").select("key", (F.col("n_words") / F.col("alike")).cast("long").alias("n_words"), (F.col("log_score") / F.col("alike")).alias("log_score"))
     scored = heads.join(each, "key", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
