@@ -145,3 +145,18 @@ def focal_pixels(width: Column, focal_mm: Column, sensor_mm: Column, focal35_mm:
 def gray(r: Column, g: Column, b: Column) -> Column:
     """BT.601 luma as an integer."""
     return F.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5).cast("int")
+
+
+# Sensor widths (mm) by what a camera's model name contains, in order of trial.
+SENSOR_WIDTHS = (("FC220", 6.16), ("FC330", 6.17), ("FC6310", 13.2), ("FC6360", 13.2), ("FC3170", 6.16), ("FC3411", 17.3), ("FC7303", 6.4), ("L1D-20C", 13.2), ("M3M", 17.3), ("M3E", 17.3), ("ZENMUSE P1", 35.9), ("ZENMUSE L2", 17.3))
+
+
+def sensor_width(resolution: Column, unit: Column, image_width: Column, focal_mm: Column, focal35_mm: Column, model: Column) -> Column:
+    """Sensor width (mm) from the focal plane's resolution, else the crop factor, else the model's name; else null."""
+    scale = F.when(unit == 3, 10.0).when(unit == 4, 1.0).otherwise(25.4)
+    by_plane = image_width / F.when(resolution > 0, resolution) * scale
+    crop = F.when(focal35_mm > 0, focal35_mm) / F.when(focal_mm != 0, focal_mm)
+    by_name = F.lit(None).cast("double")
+    for part, width in reversed(SENSOR_WIDTHS):
+        by_name = F.when(F.contains(F.upper(model), F.lit(part)), F.lit(width)).otherwise(by_name)
+    return F.coalesce(F.when((by_plane > 1) & (by_plane < 100), by_plane), F.when((crop > 0.5) & (crop < 20), 36 / crop), by_name)

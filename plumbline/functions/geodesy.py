@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vectors import vec
+from .vectors import fenced, vec
 
 # Semi-major axis (m) and inverse flattening.
 GRS80 = (6378137.0, 298.257222101)
@@ -90,33 +90,58 @@ def geodetic_to_ecef(lat: Column, lon: Column, height: Column, ellipsoid=WGS84)
     return vec((n + height) * F.cos(phi) * F.cos(lam), (n + height) * F.cos(phi) * F.sin(lam), (n * (1 - e2) + height) * F.sin(phi))
 
 
-def bind(value: Column, use) -> Column:
-    """``use(v)`` with ``value`` worked out once, however often ``v`` occurs in it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _bowring(x: Column, y: Column, z: Column, ellipsoid) -> tuple[Column, Column, Column]:
+    """Distance from the axis, and the sides of Bowring's first latitude."""
+    a, e2 = ellipsoid[0], eccentricity_squared(ellipsoid)
+    b = a * math.sqrt(1 - e2)
+    r = F.hypot(x, y)
+    side = F.greatest(F.hypot(z * a, r * b), F.lit(1e-300))
+    return r, z + e2 / (1 - e2) * b * F.pow(z * a / side, F.lit(3)), r - e2 * a * F.pow(r * b / side, F.lit(3))
 
 
-def ecef_to_geodetic(p: Column, ellipsoid=WGS84) -> Column:
-    """struct(lat, lon, height): Bowring's start and two more steps; on the axis the latitude is a pole."""
+def _steeper(z: Column, up: Column, out: Column, ellipsoid) -> Column:
+    """The upright side of the next latitude; the other is the distance from the axis."""
+    e2 = eccentricity_squared(ellipsoid)
+    return z + e2 * ellipsoid[0] * up / F.hypot(up * math.sqrt(1 - e2), out)
+
+
+def _settled(x: Column, y: Column, z: Column, r: Column, up: Column, ellipsoid) -> Column:
     a, e2 = ellipsoid[0], eccentricity_squared(ellipsoid)
-    b = a * math.sqrt(1 - e2)
-    ep2 = e2 / (1 - e2)
+    flat = math.sqrt(1 - e2)
+    axis, whole = r < 1e-9, F.hypot(up, r)
+    n = a * whole / F.hypot(up * flat, r)
+    steep = r <= 0.1 * whole
+    height = F.when(steep, z * whole / F.when(steep, up) - n * (1 - e2)).otherwise(whole - n)
+    return F.struct(
+        F.when(axis, F.when(z < 0, -90.0).otherwise(90.0)).otherwise(F.degrees(F.atan2(up, r))).alias("lat"),
+        F.when(axis, 0.0).otherwise(F.degrees(F.atan2(y, x))).alias("lon"),
+        F.when(axis, F.abs(z) - a * flat).otherwise(height).alias("height"),
+    )
+
+
+def ecef_to_geodetic(p: Column, ellipsoid=WGS84) -> Column:
+    """struct(lat, lon, height): Bowring's start and two more steps; on the axis the latitude is a pole.
+
+    Sines and cosines are kept as sides of a triangle, so each step is plain
+    arithmetic.  Tables go through ``with_geodetic``, which works out each step
+    once.
+    """
     x, y, z = p["x"], p["y"], p["z"]
-    r = F.sqrt(x * x + y * y)
-    start = bind(F.atan2(z * a, r * b), lambda t: F.atan2(z + ep2 * b * F.pow(F.sin(t), F.lit(3)), r - e2 * a * F.pow(F.cos(t), F.lit(3))))
-    again = lambda phi, _: F.atan2(z + e2 * a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi)) * F.sin(phi), r)
-
-    def finish(phi: Column) -> Column:
-        n = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
-        steep = F.abs(F.cos(phi)) <= 0.1
-        height = F.when(steep, z / F.when(steep, F.sin(phi)).otherwise(1.0) - n * (1 - e2)).otherwise(r / F.when(steep, 1.0).otherwise(F.cos(phi)) - n)
-        axis = r < 1e-9
-        return F.struct(
-            F.when(axis, F.when(z < 0, -90.0).otherwise(90.0)).otherwise(F.degrees(phi)).alias("lat"),
-            F.when(axis, 0.0).otherwise(F.degrees(F.atan2(y, x))).alias("lon"),
-            F.when(axis, F.abs(z) - b).otherwise(height).alias("height"),
-        )
-
-    return bind(F.aggregate(F.array(F.lit(1), F.lit(2)), start, again), finish)
+    r, up, out = _bowring(x, y, z, ellipsoid)
+    up = _steeper(z, _steeper(z, up, out, ellipsoid), r, ellipsoid)
+    return _settled(x, y, z, r, up, ellipsoid)
+
+
+def with_geodetic(df: DataFrame, p: Column, name: str, ellipsoid=WGS84) -> DataFrame:
+    """``df`` with ``name``: ``ecef_to_geodetic`` of ``p``, its steps as columns that stay apart."""
+    own = df.columns
+    at, first = {f"_{a}": p[a] for a in "xyz"}, ("_r", "_up", "_out")
+    df = fenced(df, at)
+    x, y, z = (F.col(f"_{a}") for a in "xyz")
+    df = fenced(df, dict(zip(first, _bowring(x, y, z, ellipsoid), strict=True)))
+    df = fenced(df, {"_up1": _steeper(z, F.col("_up"), F.col("_out"), ellipsoid)})
+    df = fenced(df, {"_up2": _steeper(z, F.col("_up1"), F.col("_r"), ellipsoid)})
+    return df.select(*own, _settled(x, y, z, F.col("_r"), F.col("_up2"), ellipsoid).alias(name))
 
 
 def _enu_rows(lat: Column, lon: Column) -> list[list]:

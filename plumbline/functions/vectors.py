@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,11 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def fenced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that the optimiser won't write out again in every later use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def vec(x, y, z) -> Column:
     as_double = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
     xyz = tuple(map(as_double, (x, y, z)))

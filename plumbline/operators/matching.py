@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +17,77 @@ def hamming(a: str = "a", b: str = "b") -> Column:
     return sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in WORDS), F.lit(0))
 
 
-def nearest_two(a: DataFrame, b: DataFrame, ratio: float = 0.75, longest: int = 256) -> DataFrame:
+TILE = 4_096
+_NEAR = "pair {pair}, back boolean, kp {kp}, other {kp}, d int"
+
+
+def _two_least(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in y, distance) of the two least of each row of x, the first in y on ties; distances are below 2**12."""
+    places, found = [], []
+    step = max(1, (1 << 21) // max(1, len(y)))
+    for i in range(0, len(x), step):
+        d = np.zeros((len(x[i : i + step]), len(y)), np.int64)
+        for w in range(len(WORDS)):
+            d += np.bitwise_count(x[i : i + step, w, None] ^ y[None, :, w])
+        key = (d << 32) + np.arange(len(y))
+        least = np.sort(np.partition(key, min(1, len(y) - 1), axis=1)[:, :2], axis=1)
+        places.append(least & 0xFFFFFFFF)
+        found.append(least >> 32)
+    return np.concatenate(places), np.concatenate(found)
+
+
+def _near(a: DataFrame, b: DataFrame, ways: tuple[bool, ...], tile: int) -> DataFrame:
+    """(pair, back, kp, other, d, rank): the two nearest of each keypoint within its pair, for a in b and (back) for b in a.
+
+    A pair's keypoints are cut into tiles of about ``tile`` by ``tile``, one task
+    each, which give back two rows a keypoint; the two least over all tiles are
+    taken from those.
+    """
+    words = [F.col(w) for w in WORDS]
+    parts = lambda df, name: df.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+    sizes = parts(a, "pa").join(parts(b, "pb"), "pair")
+    ranged = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = lambda n: F.pmod(F.xxhash64("kp"), F.col(n)).cast("int")
+    left = a.join(sizes, "pair").select("pair", mine("pa"), F.explode(ranged("pb")), "kp", *words).toDF("pair", "ta", "tb", "kp", *WORDS)
+    right = b.join(sizes, "pair").select("pair", F.explode(ranged("pa")), mine("pb"), "kp", *words).toDF("r_pair", "r_ta", "r_tb", "r_kp", *(f"r_{w}" for w in WORDS))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"pair": [], "back": [], "kp": [], "other": [], "d": []})
+        y = y.rename(columns=lambda c: c.removeprefix("r_"))
+        x, y = x.sort_values("kp", kind="stable"), y.sort_values("kp", kind="stable")
+        bits = [z[list(WORDS)].to_numpy(np.int64).view(np.uint64) for z in (x, y)]
+        names, out = (x["kp"].to_numpy(), y["kp"].to_numpy()), []
+        for back in ways:
+            at, d = _two_least(bits[back], bits[not back])
+            out.append(pd.DataFrame({"pair": x["pair"].iloc[0], "back": back, "kp": np.repeat(names[back], at.shape[1]), "other": names[not back][at.ravel()], "d": d.ravel().astype(np.int32)}))
+        return pd.concat(out)
+
+    kinds = dict(a.dtypes)
+    tiles = left.groupBy("pair", "ta", "tb").cogroup(right.groupBy("r_pair", "r_ta", "r_tb")).applyInPandas(run, _NEAR.format(pair=kinds["pair"], kp=kinds["kp"]))
+    w = Window.partitionBy("pair", "back", "kp").orderBy("d", "other")
+    got = tiles.withColumn("second", F.lead("d").over(w)).withColumn("rank", F.row_number().over(w))
+    return got.where("rank = 1")
+
+
+def _clear(near: DataFrame, ratio: float, longest: int) -> DataFrame:
+    return near.where((F.col("d") <= longest) & (F.col("d") < ratio * F.col("second")))
+
+
+def nearest_two(a: DataFrame, b: DataFrame, ratio: float = 0.75, longest: int = 256, tile: int = TILE) -> DataFrame:
     """For each keypoint of ``a`` its nearest of ``b`` in the same pair, if clearly nearer than the second.
 
-    (pair, kp, d0..d3) on both sides.  Candidates meet within their pair, and the
-    two least are kept as the pairs are made: an image has a few thousand
-    keypoints, and no list longer than two leaves the aggregation.
+    (pair, kp, d0..d3) on both sides; of equally near ones the least kp counts.
     """
-    join = a.alias("a").join(b.alias("b"), F.col("a.pair") == F.col("b.pair"))
-    d = join.select(F.col("a.pair").alias("pair"), F.col("a.kp").alias("a"), F.col("b.kp").alias("b"), hamming().alias("d"))
-    w = Window.partitionBy("pair", "a").orderBy("d", "b")
-    got = d.withColumn("second", F.lead("d").over(w)).withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    return got.where((F.col("d") <= longest) & (F.col("d") < ratio * F.col("second"))).select("pair", "a", "b", F.col("d").alias("distance"))
+    got = _clear(_near(a, b, (False,), tile), ratio, longest)
+    return got.select("pair", F.col("kp").alias("a"), F.col("other").alias("b"), F.col("d").alias("distance"))
 
 
-def mutual(a: DataFrame, b: DataFrame, ratio: float = 0.75, longest: int = 256) -> DataFrame:
-    """Matches that are each other's nearest."""
-    forth = nearest_two(a, b, ratio, longest)
-    back = nearest_two(b, a, ratio, longest).select("pair", F.col("a").alias("b"), F.col("b").alias("a"))
-    return forth.join(back, ["pair", "a", "b"], "left_semi")
+def mutual(a: DataFrame, b: DataFrame, ratio: float = 0.75, longest: int = 256, tile: int = TILE) -> DataFrame:
+    """Matches that are each other's nearest; both ways come from one pass over the tiles."""
+    got = _clear(_near(a, b, (False, True), tile), ratio, longest)
+    ends = got.select("pair", F.when(F.col("back"), F.col("other")).otherwise(F.col("kp")).alias("a"), F.when(F.col("back"), F.col("kp")).otherwise(F.col("other")).alias("b"), F.col("d").alias("distance"))
+    return ends.groupBy("pair", "a", "b", "distance").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
 def motion_filter(matches: DataFrame, sigmas: float = 3.0, slack: float = 2.0, least: int = 8) -> DataFrame:
@@ -106,8 +160,6 @@ def non_max_suppression(corners: DataFrame, radius: float) -> DataFrame:
     Greedy choice is sequential, so a level is one group; an image has some
     tens of thousands of corners at most.
     """
-    import numpy as np
-
     def run(x):
         x = x.sort_values(["score", "y", "x"], ascending=[False, True, True], kind="stable")
         kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
@@ -133,16 +185,26 @@ def level_budget(keypoints: DataFrame, most: int, area: str = "area", by: str =
     return got.drop("_rank", "_budget").orderBy(F.desc("score"), "id").limit(most)
 
 
-def best_frame(triangles: DataFrame, frames: DataFrame, cutoff: float = 0.2) -> DataFrame:
+def best_frame(triangles: DataFrame, frames: DataFrame, cutoff: float = 0.2, block: int = 5_000) -> DataFrame:
     """The frame of the largest score for each triangle(tri, centre, normal); the first frame wins ties.
 
-    Frames(frame, eye) number a few hundred; scores fold into one maximum per
-    triangle as they are made.
+    Frames(frame, eye) are broadcast in blocks of about ``block``, as many as
+    their count asks for; scores fold into one maximum per triangle and block as
+    they are made.
     """
     from ..functions import vectors as V
 
-    got = triangles.join(F.broadcast(frames))
-    ray = V.sub(F.col("eye"), F.col("centre"))
-    cosine = V.dot(V.normalize(ray), F.col("normal"))
-    got = got.withColumn("score", cosine / F.greatest(V.length_squared(ray), F.lit(1e-6))).where(cosine > cutoff)
-    return got.groupBy("tri").agg(F.max(F.struct(F.col("score"), (-F.col("frame")).alias("first"))).alias("best")).select("tri", (-F.col("best.first")).alias("frame"), F.col("best.score").alias("score"))
+    parts = max(1, -(-frames.count() // block))
+    best = []
+    for k in range(parts):
+        some = frames.where(F.pmod(F.xxhash64("frame"), F.lit(parts)) == k)
+        got = triangles.join(F.broadcast(some))
+        ray = V.sub(F.col("eye"), F.col("centre"))
+        cosine = V.dot(V.normalize(ray), F.col("normal"))
+        got = got.withColumn("score", cosine / F.greatest(V.length_squared(ray), F.lit(1e-6))).where(cosine > cutoff)
+        best.append(got.groupBy("tri").agg(F.max(F.struct(F.col("score"), (-F.col("frame")).alias("first"))).alias("best")))
+    every = best[0]
+    for more in best[1:]:
+        every = every.unionByName(more)
+    every = every.groupBy("tri").agg(F.max("best").alias("best")) if parts > 1 else every
+    return every.select("tri", (-F.col("best.first")).alias("frame"), F.col("best.score").alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,24 +89,31 @@ def nearest_vertex(vertices: DataFrame, p: Column) -> DataFrame:
     return vertices.agg(F.min_by("vid", F.struct(d, F.col("vid"))).alias("vid"), F.min(d).alias("distance"))
 
 
-def max_baseline(points: DataFrame) -> DataFrame:
+_AXES = tuple((a, b, c) for a, b, c in product((-1, 0, 1), repeat=3) if (a, b, c) > (0, 0, 0))
+
+
+def max_baseline(points: DataFrame, cells: int = 16) -> DataFrame:
     """The largest distance between two of the points(x, y, z).
 
-    Both ends of the longest line lie on the hull, so directions spread over the
-    sphere first keep each direction's outermost point and bound the answer:
-    a point stays only if some other could be that far from it.
+    The outermost points along thirteen axes give a length that the answer
+    reaches.  Points too near the middle for it go; the rest meet by cells a
+    ``cells``-th of that length wide (a few thousand at most), and only those of
+    cells whose far corners are that far apart are compared.
     """
-    box = points.agg(*V.bounds())
-    p = points.crossJoin(F.broadcast(box))  # one row
-    centre = V.vec(*((F.col(f"min_{a}") + F.col(f"max_{a}")) / 2 for a in "xyz"))
-    p = p.withColumn("r", V.distance(F.struct("x", "y", "z"), centre)).select("x", "y", "z", "r")
-    sides = F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in "xyz"))
-    limits = p.agg(F.max("r").alias("far")).crossJoin(box.select(sides.alias("known")))
-    # d(p, q) <= r(p) + r(q) <= r(p) + far, and some pair is at least ``known`` apart.
-    left = p.crossJoin(F.broadcast(limits)).where("r + far >= known").select("x", "y", "z").distinct()
-    a, b = left.alias("a"), left.alias("b")
-    pair = a.join(b, F.struct("a.x", "a.y", "a.z") <= F.struct("b.x", "b.y", "b.z"))
-    return pair.agg(F.coalesce(F.max(V.distance(F.struct("a.x", "a.y", "a.z"), F.struct("b.x", "b.y", "b.z"))), F.lit(0.0)).alias("baseline"))
+    along = lambda m: sum((F.col(c) * k for c, k in zip("xyz", m, strict=True) if k), F.lit(0.0))
+    ends = [f(F.struct("x", "y", "z"), along(m)) for m in _AXES for f in (F.min_by, F.max_by)]
+    few = points.agg(F.array(*ends).alias("ends"), *V.bounds())  # one row
+    size = lambda a, b: F.sqrt(sum((F.pow(a[n] - b[n], 2) for n in "xyz"), F.lit(0.0)))
+    best = F.array_max(F.transform("ends", lambda a: F.array_max(F.transform("ends", lambda b: size(a, b)))))
+    box = few.select(best.alias("known"), *(f"{m}_{n}" for m in ("min", "max") for n in "xyz"))
+    p = points.crossJoin(F.broadcast(box)).select("x", "y", "z", "known", *(F.floor((F.col(n) - F.col(f"min_{n}")) * cells / F.when(F.col("known") > 0, F.col("known"))).cast("int").alias(f"c{n}") for n in "xyz"), *(F.greatest(F.col(n) - F.col(f"min_{n}"), F.col(f"max_{n}") - F.col(n)).alias(f"f{n}") for n in "xyz"))
+    p = p.where(F.sqrt(F.pow("fx", 2) + F.pow("fy", 2) + F.pow("fz", 2)) >= F.col("known") * (1 - 1e-12)).select("x", "y", "z", "known", F.struct("cx", "cy", "cz").alias("cell")).distinct()
+    used = p.select("cell").distinct()
+    gap = F.sqrt(sum((F.pow(F.abs(F.col(f"a.c{n}") - F.col(f"b.c{n}")) + 1, 2) for n in "xyz"), F.lit(0.0)))
+    pairs = used.toDF("a").crossJoin(F.broadcast(used.toDF("b"))).where((F.col("a") <= F.col("b")) & (gap >= cells * (1 - 1e-9)))  # cells of a grid of bounded size
+    one, two = p.select(F.col("cell").alias("a"), F.struct("x", "y", "z").alias("p")), p.select(F.col("cell").alias("b"), F.struct("x", "y", "z").alias("q"))
+    far = one.join(pairs, "a").join(two, "b").agg(F.max(size(F.col("p"), F.col("q"))).alias("far"))
+    return box.crossJoin(far).select(F.greatest(F.coalesce("known", F.lit(0.0)), F.coalesce("far", F.lit(0.0))).alias("baseline"))  # one row each
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -56,6 +56,36 @@ def horn(p: np.ndarray, q: np.ndarray, w: np.ndarray, scale: bool = False) -> tu
     return r, cq - k * r @ cp, k
 
 
+def _rms_without(p: np.ndarray, q: np.ndarray, w: np.ndarray, scale: bool) -> np.ndarray:
+    """The error of the rest when each pair in turn is left out; not a number where the rest has no solution.
+
+    Moments about the common centre lose one pair's share each; the eigenvectors
+    of all of them come at once, and so do the errors, a block of pairs at a time.
+    """
+    p, q = p - (w @ p) / w.sum(), q - (w @ q) / w.sum()
+    total = w.sum() - w
+    cp, cq = (w @ p - w[:, None] * p) / total[:, None], (w @ q - w[:, None] * q) / total[:, None]
+    s = (p * w[:, None]).T @ q - np.einsum("i,ij,ik->ijk", w, p, q) - total[:, None, None] * cp[:, :, None] * cq[:, None, :]
+    (xx, xy, xz), (yx, yy, yz), (zx, zy, zz) = np.moveaxis(s, 0, 2)
+    n = np.stack([xx + yy + zz, yz - zy, zx - xz, xy - yx, yz - zy, xx - yy - zz, xy + yx, zx + xz, zx - xz, xy + yx, yy - xx - zz, yz + zy, xy - yx, zx + xz, yz + zy, zz - xx - yy], 1).reshape(-1, 4, 4)
+    qw, qx, qy, qz = np.linalg.eigh(n)[1][:, :, -1].T
+    r = np.stack([1 - 2 * (qy * qy + qz * qz), 2 * (qx * qy - qz * qw), 2 * (qx * qz + qy * qw), 2 * (qx * qy + qz * qw), 1 - 2 * (qx * qx + qz * qz), 2 * (qy * qz - qx * qw), 2 * (qx * qz - qy * qw), 2 * (qy * qz + qx * qw), 1 - 2 * (qx * qx + qy * qy)], 1).reshape(-1, 3, 3)
+    out, size = np.empty(len(p)), max(1, 200_000 // len(p))
+    for i in range(0, len(p), size):
+        rows = np.arange(i, min(len(p), i + size))
+        rest = rows[:, None] != np.arange(len(p))
+        a, b = p - cp[rows, None], q - cq[rows, None]
+        far = np.where(rest, np.linalg.norm(a, axis=2), -1.0)
+        axis = a[np.arange(len(rows)), far.argmax(1)] / np.maximum(far.max(1), 1e-300)[:, None]
+        off = np.where(rest, np.linalg.norm(np.cross(a, axis[:, None]), axis=2), -1.0)
+        turned = np.einsum("ijk,imk->imj", r[rows], a)
+        weight = w * rest
+        k = (weight[..., None] * b * turned).sum((1, 2)) / (weight[..., None] * a * a).sum((1, 2)) if scale else np.ones(len(rows))
+        f = (((k[:, None, None] * turned - b) ** 2).sum(2) * rest).sum(1)
+        out[rows] = np.where(off.max(1) < 1e-3 * far.max(1), np.nan, np.sqrt(f / (len(p) - 1)))
+    return out
+
+
 def _errors(p, q, r, t, k) -> np.ndarray:
     return np.linalg.norm(k * p @ r.T + t - q, axis=1)
 
@@ -111,20 +141,14 @@ def find_outliers(pairs: DataFrame, mad: float = 3.5, influence: float = 3.0, sc
         rms, upper = float(np.sqrt((e**2).mean())), lambda v: float(np.sort(v)[len(v) // 2])
         middle = upper(e)
         spread = upper(np.abs(e - middle))
+        without = _rms_without(p, q, w, scale) if len(x) >= 4 else np.full(len(x), np.nan)
         rows = []
         for i in range(len(x)):
             score = 0.0 if spread < 1e-12 else abs(e[i] - middle) / (1.4826 * spread)
-            rest = np.arange(len(x)) != i
-            without = rms
-            if len(x) >= 4:
-                try:
-                    f = _errors(p[rest], q[rest], *horn(p[rest], q[rest], w[rest], scale))
-                    without = float(np.sqrt((f**2).mean()))
-                except ValueError:
-                    pass
-            by = rms / without if without > 1e-12 else 1.0
+            left = rms if np.isnan(without[i]) else float(without[i])
+            by = rms / left if left > 1e-12 else 1.0
             if score > mad or by > influence:
-                rows.append((x["group"][0], x["id"][i], float(e[i]), score, without, by, bool(score > mad), bool(by > influence)))
+                rows.append((x["group"][0], x["id"][i], float(e[i]), score, left, by, bool(score > mad), bool(by > influence)))
         rows.sort(key=lambda r: (-r[5], -r[3]))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTLIERS.split(", ")])
 

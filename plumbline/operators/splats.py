@@ -63,25 +63,20 @@ def evaluate_sh(coefficients: Column, direction: Column, degree: int) -> list[Co
     return [F.greatest(sum((b * coefficients[3 * k + c] for k, b in enumerate(basis)), F.lit(0.5)), F.lit(0.0)) for c in range(3)]
 
 
-def _fenced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` with columns that the optimiser won't write out again in every later use."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def project(splats: DataFrame, pose: Column, fx: float, fy: float, cx: float, cy: float, width: int, height: int, near: float = 0.01) -> DataFrame:
     """Splats seen by a pinhole: u, v, depth and the conic a, b, c; culled ones are left out."""
     local = V.rotate(V.quat_conjugate(pose["q"]), V.sub(F.col("position"), pose["t"]))
-    df = _fenced(splats, {"_p": local, "_q": V.quat_normalize(F.col("rotation")), "_v": V.quat_conjugate(pose["q"])}).where(F.col("_p.z") >= near)
+    df = V.fenced(splats, {"_p": local, "_q": V.quat_normalize(F.col("rotation")), "_v": V.quat_conjugate(pose["q"])}).where(F.col("_p.z") >= near)
     rows, size = V.quat_to_rows(F.col("_q")), [F.exp(2 * F.col(f"log_scale.{a}")) for a in "xyz"]
-    df = _fenced(df, {f"_s{i}{j}": sum((rows[i][k] * rows[j][k] * size[k] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(i, 3)})
+    df = V.fenced(df, {f"_s{i}{j}": sum((rows[i][k] * rows[j][k] * size[k] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(i, 3)})
     s = lambda i, j: F.col(f"_s{min(i, j)}{max(i, j)}")
     view = V.quat_to_rows(F.col("_v"))
     x, y, z = (F.col(f"_p.{a}") for a in "xyz")
     jac = [[fx / z, F.lit(0.0), -fx * x / (z * z)], [F.lit(0.0), fy / z, -fy * y / (z * z)]]
-    df = _fenced(df, {f"_t{r}{c}": sum((jac[r][k] * view[k][c] for k in range(3)), F.lit(0.0)) for r in range(2) for c in range(3)})
+    df = V.fenced(df, {f"_t{r}{c}": sum((jac[r][k] * view[k][c] for k in range(3)), F.lit(0.0)) for r in range(2) for c in range(3)})
     flat = lambda r, q: sum((F.col(f"_t{r}{i}") * s(i, j) * F.col(f"_t{q}{j}") for i in range(3) for j in range(3)), F.lit(0.0))
-    df = _fenced(df, {"u": fx * x / z + cx, "v": fy * y / z + cy, "depth": z, "_a": flat(0, 0) + 0.3, "_b": flat(0, 1), "_c": flat(1, 1) + 0.3})
-    df = _fenced(df, {"_det": F.col("_a") * F.col("_c") - F.col("_b") * F.col("_b"), "radius": 3 * F.sqrt(F.greatest(F.col("_a"), F.col("_c")))}).where(F.col("_det") > 1e-12)
+    df = V.fenced(df, {"u": fx * x / z + cx, "v": fy * y / z + cy, "depth": z, "_a": flat(0, 0) + 0.3, "_b": flat(0, 1), "_c": flat(1, 1) + 0.3})
+    df = V.fenced(df, {"_det": F.col("_a") * F.col("_c") - F.col("_b") * F.col("_b"), "radius": 3 * F.sqrt(F.greatest(F.col("_a"), F.col("_c")))}).where(F.col("_det") > 1e-12)
     reach = F.col("radius")
     seen = (F.col("u") + reach >= 0) & (F.col("u") - reach < width) & (F.col("v") + reach >= 0) & (F.col("v") - reach < height)
     out = df.where(seen).withColumns({"conic_a": F.col("_c") / F.col("_det"), "conic_b": -F.col("_b") / F.col("_det"), "conic_c": F.col("_a") / F.col("_det")})

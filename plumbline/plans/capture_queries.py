@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import geodesy as G
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import fusion, matching, mesh, registration, splats
+from ..operators import fusion, matching, mesh, records, registration, splats
+from ..sources import interop, survey
 from .catalog import query
 
 
@@ -85,8 +86,8 @@ def choose_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CASE WHEN user_id % 3 = 0 THEN 'noPose' WHEN event_type = 'view' THEN 'noDepth' WHEN value > 90 THEN 'unreadable' ELSE 'integrated' END AS reason, count(*) AS n
 FROM events GROUP BY ROLLUP(1)""")
 def skip_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.col("user_id") % 3 == 0, "noPose").when(F.col("event_type") == "view", "noDepth").when(F.col("value") > 90, "unreadable").otherwise("integrated")
-    return table(spark, sf_dir, "events").select(reason.alias("reason")).rollup("reason").agg(F.count(F.lit(1)).alias("n"))
+    reason = records.skip_reason(F.col("user_id") % 3 != 0, F.col("event_type") != "view", F.col("value") <= 90)
+    return records.skip_counts(table(spark, sf_dir, "events"), reason)
 
 
 @query("SELECT event_id, value FROM events WHERE value / 20 > 0.15 AND value / 20 < 4.0 AND NOT isnan(value) AND user_id % 3 >= 1")
@@ -180,12 +181,12 @@ def tm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("o_orderkey", _r(F.col("g.easting"), 3).alias("easting"), _r(F.col("g.northing"), 3).alias("northing"))
 
 
-@query("SELECT o_orderkey, true AS same FROM orders")
+@query(f"SELECT o_orderkey, round(lat, 4) + 0.0 AS lat, round(lon + 18, 4) + 0.0 AS lon, true AS close FROM ({_POSITIONS})")
 def tm_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverse gives the positions back to a hundred-millionth of a degree."""
+    """The inverse gives the positions back that the forward way, which has a query of its own, took."""
     p = _positions(spark, sf_dir).withColumn("g", G.tm_forward(F.col("lat"), F.col("lon") + 18, _TM))
     p = p.withColumn("b", G.tm_inverse(F.col("g.easting"), F.col("g.northing"), _TM))
-    return p.select("o_orderkey", ((F.abs(F.col("b.lat") - F.col("lat")) < 1e-8) & (F.abs(F.col("b.lon") - F.col("lon") - 18) < 1e-8)).alias("same"))
+    return p.select("o_orderkey", _r(F.col("b.lat"), 4).alias("lat"), _r(F.col("b.lon"), 4).alias("lon"), ((F.abs(F.col("b.lat") - F.col("lat")) < 1e-8) & (F.abs(F.col("b.lon") - F.col("lon") - 18) < 1e-8)).alias("close"))
 
 
 _W2, _WA = G.eccentricity_squared(), G.WGS84[0]
@@ -207,7 +208,8 @@ def geodetic_ecef(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, round(lat, 8) + 0.0 AS lat, round(lon, 8) + 0.0 AS lon, round(h, 2) + 0.0 AS height FROM (SELECT o_orderkey, lat, lon, h + sin(o_orderkey) AS h FROM ({_POSITIONS}))")
 def ecef_geodetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _positions(spark, sf_dir).withColumn("g", G.ecef_to_geodetic(G.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("h") + F.sin("o_orderkey"))))
+    p = _positions(spark, sf_dir).withColumn("p", G.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("h") + F.sin("o_orderkey")))
+    p = G.with_geodetic(p.select("o_orderkey", "p"), F.col("p"), "g")
     return p.select("o_orderkey", _r(F.col("g.lat"), 8).alias("lat"), _r(F.col("g.lon"), 8).alias("lon"), _r(F.col("g.height"), 2).alias("height"))
 
 
@@ -257,22 +259,20 @@ def haversine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 nearest bases; a report, so its limit is its meaning."""
     k = F.col("s_suppkey")
     lat = F.when(k % 7 != 0, 25 + F.col("s_nationkey") + F.sin(k))
-    d = table(spark, sf_dir, "supplier").select("s_suppkey", G.haversine(lat, -100 + F.cos(k) * 3, F.lit(30.0), F.lit(-98.0)).alias("d"))
-    top = d.orderBy(F.asc_nulls_last("d"), "s_suppkey").limit(25)
-    return top.select("s_suppkey", _r(F.col("d"), 3).alias("distance"), F.row_number().over(Window.orderBy(F.asc_nulls_last("d"), "s_suppkey")).cast("bigint").alias("place"))
+    mounts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mount"), lat.alias("lat"), (-100 + F.cos(k) * 3).alias("lon"))
+    top = survey.order_mounts(mounts, 30.0, -98.0).limit(25)
+    return top.select(F.col("mount").alias("s_suppkey"), _r(F.col("distance"), 3).alias("distance"), F.row_number().over(Window.orderBy(F.asc_nulls_last("distance"), "mount")).cast("bigint").alias("place"))
 
 
-@query("""SELECT g.user_id, g.event_id, min(s.event_id) AS gst_event FROM (SELECT * FROM events WHERE event_type = 'purchase') g
-LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') s ON s.user_id = g.user_id AND abs(epoch_us(s.ts) - epoch_us(g.ts)) <= 60000000000
-GROUP BY 1, 2""")
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), s AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id FROM events WHERE event_type <> 'purchase'),
+m AS (SELECT g.user_id, g.t, s.event_id, row_number() OVER (PARTITION BY g.user_id, g.t ORDER BY abs(g.t - s.t), s.t, s.event_id) AS k FROM g JOIN s ON s.user_id = g.user_id AND abs(s.t - g.t) <= 60000)
+SELECT g.user_id, g.event_id, m.event_id AS gst_event FROM g LEFT JOIN m ON m.user_id = g.user_id AND m.t = g.t AND m.k = 1""")
 def epoch_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with the first other event of their user in a tolerance; cells of time keep it an equi-join."""
-    e, tol = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", micros().alias("t")), 60_000_000_000
-    cell = F.floor(F.col("t") / tol).cast("long")
-    g = e.where("event_type = 'purchase'").select("user_id", "event_id", "t", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    s = e.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("gst"), F.col("t").alias("s"), cell.alias("cell"))
-    near = g.join(s, ["user_id", "cell"], "left").select("user_id", "event_id", F.when(F.abs(F.col("s") - F.col("t")) <= tol, F.col("gst")).alias("gst"))
-    return near.groupBy("user_id", "event_id").agg(F.min("gst").alias("gst_event"))
+    """Purchases, one a second, with their user's nearest other event within a thousand minutes."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (micros() / 1e6).alias("t"))
+    g = e.where("event_type = 'purchase'").groupBy("user_id", "t").agg(F.min("event_id").alias("event_id"))
+    s = e.where("event_type <> 'purchase'").select("user_id", "t", F.col("event_id").alias("gst_event"))
+    return matching.pair_epochs(g, s, "user_id", 60_000.0).select("user_id", "event_id", "gst_event")
 
 
 @query("""SELECT g.event_id, s.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'purchase') g ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2) s ON g.user_id = s.user_id AND g.ts >= s.ts""")
@@ -441,13 +441,13 @@ def signed_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.area_and_volume(f, v).select(_r(F.col("area"), 7).alias("area"), _r(F.col("volume"), 7).alias("volume"))
 
 
-_EDGES = "SELECT c_custkey AS u, 1000000 + c_custkey % 977 AS v FROM customer WHERE c_custkey % 3 = 0 UNION SELECT 2000000 + s_suppkey, 1000000 + s_suppkey * 7 % 977 FROM supplier"
+_EDGES = "SELECT c_custkey AS u, 1000000 + c_custkey % 977 AS v FROM customer UNION SELECT 2000000 + s_suppkey, 1000000 + s_suppkey * 7 % 977 FROM supplier"
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.seen)
 SELECT node, min(seen) AS label FROM r GROUP BY 1""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("u"), (1_000_000 + F.col("c_custkey") % 977).alias("v"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"), (1_000_000 + F.col("c_custkey") % 977).alias("v"))
     s = table(spark, sf_dir, "supplier").select((2_000_000 + F.col("s_suppkey")).alias("u"), (1_000_000 + F.col("s_suppkey") * 7 % 977).alias("v"))
     return mesh.connected(c.unionByName(s))
 
@@ -494,7 +494,8 @@ def splat_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index against what is on disk: listed ones that exist, and found ones that are not listed."""
     disk, index = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return disk.join(index, "doc_id", "left_anti").withColumn("origin", F.lit("recovered")).unionByName(index.join(disk, "doc_id", "left_semi").withColumn("origin", F.lit("index")))
+    found = interop.reconcile(index.toDF("id"), disk.toDF("id"))
+    return found.select(F.col("id").alias("doc_id"), F.when(F.col("recovered"), "recovered").otherwise("index").alias("origin"))
 
 
 @query("""SELECT doc_id, quality + 10 AS quality FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 1""")
@@ -502,13 +503,13 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the same id give way to the new ones."""
     old = table(spark, sf_dir, "labels").select("doc_id", "quality")
     new = old.where("doc_id % 2 = 0").withColumn("quality", F.col("quality") + 10)
-    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+    return records.upsert(old, new, "doc_id")
 
 
 @query("""SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND contains(lower(source), 'rc1') ORDER BY n_chars DESC, doc_id""")
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang").where("lang = 'en'").where(F.lower("source").contains("rc1"))
-    return d.select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id")
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars")
+    return records.search(d, " RC1 ", ["source"], [F.desc("n_chars"), F.asc("doc_id")])
 
 
 @query("""SELECT 'P' || o_orderkey AS id, o_totalprice AS easting, CAST(o_custkey AS DOUBLE) AS northing, CAST(o_orderkey % 100 AS DOUBLE) AS elevation, CASE WHEN o_orderkey % 4 = 0 THEN 'checkpoint' ELSE 'gcp' END AS role FROM orders WHERE o_orderkey % 5 <> 0""")
@@ -535,11 +536,8 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fre
 SELECT user_id, count(*) AS n, min(ts) AS started, max(ts) AS ended FROM s GROUP BY user_id, s""")
 def silence_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a device's sightings without a silence of over twelve hours."""
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    fresh = F.when(micros() - F.lag(micros()).over(w) <= 43_200_000_000, 0).otherwise(1)
-    s = e.withColumn("fresh", fresh).withColumn("s", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("user_id", "s").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended")).drop("s")
+    s = records.sessions(table(spark, sf_dir, "events"), "user_id", micros(), ["ts", "event_id"], 43_200_000_000)
+    return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended")).drop("session")
 
 
 @query()
@@ -553,21 +551,18 @@ def keyframe_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_shipdate >= TIMESTAMP '1996-01-01' AS late, count(*) FILTER (WHERE l_returnflag = 'R') AS gcp, count(*) FILTER (WHERE l_returnflag <> 'R') AS checkpoint FROM lineitem GROUP BY 1")
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy((F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")).alias("late")).agg(F.count_if(F.col("l_returnflag") == "R").alias("gcp"), F.count_if(F.col("l_returnflag") != "R").alias("checkpoint"))
+    role = F.when(F.col("l_returnflag") == "R", "gcp").otherwise("checkpoint")
+    return records.role_counts(table(spark, sf_dir, "lineitem"), (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")).alias("late"), role)
 
 
 @query("""WITH p AS (SELECT user_id, ts, event_id, value AS x, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, round(sum(sqrt(pow(x - before, 2) + pow(sin(x) - sin(before), 2))), 6) + 0.0 AS path FROM p GROUP BY 1""")
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    here = V.vec(F.col("value"), F.sin("value"), 0.0)
-    e = table(spark, sf_dir, "events").withColumn("p", here).withColumn("before", F.lag("p").over(w))
-    step = F.when(F.col("before").isNotNull(), V.distance(F.col("p"), F.col("before")))
-    return e.groupBy("user_id").agg(F.sum(step).alias("s")).select("user_id", _r(F.col("s")).alias("path"))
+    e = table(spark, sf_dir, "events").withColumn("p", V.vec(F.col("value"), F.sin("value"), 0.0))
+    return records.path_length(e, "user_id", ["ts", "event_id"]).select("user_id", _r(F.col("path")).alias("path"))
 
 
 @query("""SELECT c_mktsegment AS segment, dense_rank() OVER (ORDER BY first) - 1 AS camera, n FROM (SELECT c_mktsegment, min(c_custkey) AS first, count(*) AS n FROM customer GROUP BY 1)""")
 def camera_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cameras numbered by where they first appear; ranks run over the few distinct ones."""
-    d = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.min("c_custkey").alias("first"), F.count(F.lit(1)).alias("n"))
-    return d.select("segment", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("bigint").alias("camera"), "n")
+    got = records.number_cameras(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "segment"), "segment", "c_custkey")
+    return got.withColumnRenamed("number", "camera")

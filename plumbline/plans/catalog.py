@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules whose decorators fill the catalogue."""
-    from . import capture_queries, scene_queries  # noqa: F401
+    from . import capture_queries, function_queries, scene_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -30,6 +30,31 @@ def estimate_seconds(frames: int, level: str, mesh: bool) -> float:
     return frames * next(s for n, _, s in DETAIL if n == level) * (1.6 if mesh else 1.0)
 
 
+# Mode, subject distance (m), overlap, rotation threshold, voxel, least and largest depth (m), share of triangles kept.
+SCAN_MODES = (("object", 0.6, 0.92, 0.09, 0.006, 0.10, 1.5, 0.4), ("room", 2.0, 0.9, 0.13, 0.025, 0.15, 5.0, 0.25), ("area", 5.0, 0.85, 0.17, 0.05, 0.30, 5.0, 0.12))
+# Cleanup, share of triangles kept (none: all), extent of noise in voxels.
+CLEANUPS = (("none", None, 0.0), ("standard", 0.25, 3.0), ("aggressive", 0.06, 6.0))
+
+
+def scan_modes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SCAN_MODES, "mode string, distance double, overlap double, rotation double, voxel double, min_depth double, max_depth double, keep double")
+
+
+def cleanups(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CLEANUPS, "cleanup string, keep double, noise_extent double")
+
+
+def nearest_cleanup(keep):
+    """Column: the cleanup whose share is nearest, the first of two as near; without a share, none."""
+    out = F.lit(None).cast("string")
+    best = F.lit(float("inf"))
+    for name, share, _ in CLEANUPS:
+        if share is not None:
+            gap = F.abs(F.lit(share) - keep)
+            out, best = F.when(gap < best, name).otherwise(out), F.least(best, gap)
+    return F.when(keep.isNull(), "none").otherwise(out)
+
+
 def nearest_preset(voxel: float) -> str:
     return min(DETAIL, key=lambda d: abs(d[1] - voxel))[0]
 

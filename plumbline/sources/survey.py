@@ -74,7 +74,8 @@ def read_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def posed(frames: DataFrame) -> DataFrame:
-    return frames.where("pose is not null and poseSource <> 'none'")
+    """Frames with a pose, unless its source is given as none."""
+    return frames.where("pose is not null and not (poseSource <=> 'none')")
 
 
 def with_depth(frames: DataFrame) -> DataFrame:
