@@ -5,21 +5,26 @@ every pair of neighbours by binary search over the sorted pair keys, takes each
 word's lowest rank, and merges its pairs of that rank from left to right, all
 words at once.  Words without a mergeable pair leave the array.  Every distinct
 word is encoded once per worker and remembered (``Params.cache`` words at most).
-A word of over ``Params.long_word`` bytes would need very many rounds, so those
-go through a heap of pairs in one pass each, with the same result.
+
+A word of over ``Params.long_word`` bytes needs very many rounds, each of which
+changes few places.  Such words lie in a flat array of their own, where a round
+merges the pairs of the lowest rank over all of them (words don't touch, so each
+still sees its own ranks in rising order) and reads only the blocks of the array
+that hold that rank, by the lowest rank kept for every block.
 
 Decoding joins the tokens' bytes and reads them as UTF-8, with a replacement
 character for what is no UTF-8.
 
 Defined results: null counts as empty and gives no ids; special strings in a
 text become their special ids, as the library does by default; repeated rows are
-encoded one by one; an empty table gives an empty result.
+encoded one by one; texts of any length are encoded whole; an empty table gives
+an empty result; own columns are kept, but for ``text`` and those named as a
+result (n_tokens, ids_sha256, decoded_sha256; ids; decoded), which give way.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import release, text_batches
 
 VOCABULARY = "byte_bpe_50k.json"
+_BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -56,6 +62,15 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+def _room(array: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """``array`` with room for ``wanted`` values, at least doubled where it grows."""
+    if wanted <= len(array):
+        return array
+    out = np.zeros(max(wanted, 2 * len(array)), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
 class Codec:
     """A byte-level BPE vocabulary read from a tokenizers JSON file."""
 
@@ -91,7 +106,7 @@ class Codec:
 
     def _reset(self) -> None:
         self.known.clear()
-        self.ids, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.ids, self.count, self.offset, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; ``self.none`` where it doesn't merge."""
@@ -102,9 +117,11 @@ class Codec:
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
         out: list[np.ndarray | None] = [None] * len(words)
-        flat = [k for k, w in enumerate(words) if len(w) <= self.params.long_word]
-        for k in set(range(len(words))) - set(flat):
-            out[k] = self._merge_long(words[k])
+        flat, long = [], []
+        for k, w in enumerate(words):
+            (flat if len(w) <= self.params.long_word else long).append(k)
+        for k, ids in zip(long, self._merge_long([words[k] for k in long]), strict=True):
+            out[k] = ids
         size = np.array([len(words[k]) for k in flat], np.int64)
         sym = self.byte_id[np.frombuffer(b"".join(words[k] for k in flat), np.uint8)]
         word = np.repeat(np.arange(len(flat)), size)
@@ -143,43 +160,52 @@ class Codec:
             rank[inside] = self.ranks(sym[inside], sym[inside + 1])
         return [x if x is not None else np.zeros(0, np.int32) for x in out]
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        sym = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.ranks(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64)).tolist()
-        heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(ranks) if r < self.none]
-        heapq.heapify(heap)
-        table = self._pairs()
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], sym[j] = int(self.made[r]), -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := table.get((sym[i], sym[k]))) is not None:
-                    heapq.heappush(heap, (x, i, sym[i], sym[k]))
-            if (h := before[i]) >= 0 and (x := table.get((sym[h], sym[i]))) is not None:
-                heapq.heappush(heap, (x, h, sym[h], sym[i]))
-        return np.array([s for s in sym if s >= 0], np.int32)
-
-    def _pairs(self) -> dict[tuple[int, int], int]:
-        if not hasattr(self, "_table"):
-            keys = self.keys
-            self._table = dict(zip(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True), self.rank.tolist(), strict=True))
-        return self._table
+    def _merge_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of long words, by rounds over the blocks that hold the lowest rank."""
+        if not words:
+            return []
+        firsts = np.r_[0, np.cumsum([len(w) for w in words])]
+        n = int(firsts[-1])
+        # Place n stands before and after every word; its symbol makes no pair.
+        sym = np.full(n + 1, -1, np.int64)
+        sym[:n] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        after[firsts[1:] - 1] = after[n] = n
+        before[firsts[:-1]] = n
+        rank = np.full(-(-(n + 1) // _BLOCK) * _BLOCK, self.none, np.int32)
+        rank[:n] = self.ranks(sym[:n], sym[after[:n]])
+        blocks = rank.reshape(-1, _BLOCK)
+        low = blocks.min(1)
+        while (best := low.min()) < self.none:
+            some = np.flatnonzero(low == best)
+            row, column = np.nonzero(blocks[some] == best)
+            at = some[row] * _BLOCK + column
+            # Of a chain of pairs (one symbol repeated) every second one merges, from the left.
+            k = np.arange(len(at))
+            begins = np.r_[True, after[at[:-1]] != at[1:]]
+            take = at[(k - np.maximum.accumulate(np.where(begins, k, 0))) % 2 == 0]
+            gone = after[take]
+            follows = after[gone]
+            sym[take], sym[gone] = self.made[best], -1
+            after[take], before[follows] = follows, take
+            rank[gone] = self.none
+            redo = np.concatenate([take, before[take]])
+            rank[redo] = self.ranks(sym[redo], sym[after[redo]])
+            touched = np.unique(np.concatenate([redo, gone]) // _BLOCK)
+            low[touched] = blocks[touched].min(1)
+        return [(x := sym[a:b])[x >= 0].astype(np.int32) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         got = self.merge([w.encode("utf-8") for w in words])
-        at = len(self.count)
-        for k, w in enumerate(words):
-            self.known[w] = at + k
-        self.count = np.r_[self.count, [len(x) for x in got]]
-        self.ids = np.concatenate([self.ids, *got])
-        self.offset = np.cumsum(self.count) - self.count
+        sizes = np.array([len(x) for x in got], np.int64)
+        at, used = len(self.known), self.used
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+        self.count, self.offset = (_room(x, at, at + len(words)) for x in (self.count, self.offset))
+        self.ids = _room(self.ids, used, used + int(sizes.sum()))
+        self.used = used + int(sizes.sum())
+        self.count[at : at + len(words)] = sizes
+        self.offset[at : at + len(words)] = used + np.cumsum(sizes) - sizes
+        self.ids[used : self.used] = np.concatenate(got)
 
     def _pieces(self, text: str) -> Iterator[str | int]:
         at = 0

@@ -488,6 +488,7 @@ def test_bpe_long_and_random_words():
     t, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(4)
     c = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"), bpe.Params(long_word=40))
     texts = ["".join(rng.choice("abcdeé漢 \n'!0😀") for _ in range(rng.randint(0, 300))) for _ in range(200)] + ["ab" * 3000, "a" * 2001, "<|endoftext|>" * 3]
+    texts += ["".join(rng.choices(letters, k=40_000)) for letters in ("etaoin", "abcdefghijklmnopqrstuvwxyz", "的一是在不了有和")] + ["=" * 41 + " " + "-=" * 5000]
     assert [x.tolist() for x in c.encode_batch(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert c.decode(np.array([c.byte_id[0xC3], c.byte_id[0x28]])) == b"\xc3\x28".decode("utf-8", "replace")
 
