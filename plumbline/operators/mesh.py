@@ -119,9 +119,9 @@ def max_baseline(points: DataFrame, cells: int = 16) -> DataFrame:
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for edges(u, v): the least node that links reach.
 
-    Labels take the least of their neighbours' and then their label's own label,
-    so rounds grow with the logarithm of the longest chain.  Every round is cut
-    by a reliable checkpoint.
+    All nodes of a label move together to the least label that any of them
+    touches, and then to that label's own label, so rounds grow with the
+    logarithm of the longest chain.  Every round is cut by a reliable checkpoint.
     """
     from .lineage import checkpointed
 
@@ -130,9 +130,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("node"), "label"))
     for _ in range(rounds):
         near = both.join(now.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        hooked = now.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = now.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        now2 = checkpointed(hooked.join(jump, "new").select("node", "label", F.least("new", "up").alias("new")))
+        best = now.join(near, "node").groupBy("label").agg(F.least("label", F.min("near")).alias("new"))
+        moved = now.join(best, "label").select("node", "label", "new")
+        jump = moved.select(F.col("node").alias("new"), F.col("new").alias("up"))
+        now2 = checkpointed(moved.join(jump, "new").select("node", "label", F.least("new", "up").alias("new")))
         done = now2.where("label <> new").limit(1).count() == 0
         now = now2.select("node", F.col("new").alias("label"))
         if done:

@@ -8,17 +8,20 @@ import struct
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import camera as C
 from ..functions import text as T
 
-FRAME = "id string, t double, image string, camera int, pose struct<t:array<double>,q:array<double>>, poseSource string, poseWeight double, depth struct<uri:string,width:int,height:int,encoding:string,confidenceUri:string,minRange:double,maxRange:double>, exposure double, iso double, blur double, gnss struct<t:double,lat:double,lon:double,height:double,quality:int>"
+FRAME = f"id string, t double, image string, camera int, pose struct<t:array<double>,q:array<double>>, poseSource string, poseWeight double, depth struct<uri:string,width:int,height:int,encoding:string,confidenceUri:string,minRange:double,maxRange:double,camera:{C.SCHEMA}>, exposure double, iso double, blur double, gnss struct<t:double,lat:double,lon:double,height:double,quality:int>"
 GNSS = "t double, lat double, lon double, height double, orthometricHeight double, geoidSeparation double, quality int, satellites int, hdop double, hAccuracy double, vAccuracy double, leverArm array<double>"
 IMU = "t double, gyro array<double>, accel array<double>, mag array<double>"
 CONTROL = "id string, project array<double>, observed array<double>, role string, description string, sigma double"
-MANIFEST = "formatVersion int, name string, startedAt string, frameCount long, notes string, cameras array<struct<model:string,width:int,height:int,fx:double,fy:double,cx:double,cy:double,k1:double,k2:double,k3:double,p1:double,p2:double>>, crs struct<code:string,name:string,unit:string,metresPerUnit:double,origin:array<double>>"
+MANIFEST = f"formatVersion int, name string, startedAt string, frameCount long, notes string, cameras array<{C.SCHEMA}>, crs struct<code:string,name:string,unit:string,metresPerUnit:double,origin:array<double>>"
 
 
 def parse_pnezd(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -88,28 +91,102 @@ def frame_cameras(frames: DataFrame, captures: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(cameras), "camera", "left")  # a handful of cameras for a capture
 
 
+# How depth rasters are encoded, and what makes metres of them.
+_DEPTH = {"uint16-mm": ("<u2", 1e-3), "float32-m": ("<f4", 1.0)}
+
+
+def _measured(content: bytes, width: int, height: int, encoding: str) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a raster's measured pixels and their depth in metres; zero is no measurement."""
+    kind, metres = _DEPTH[encoding]
+    raw = np.frombuffer(content, kind, min(width * height, len(content) // np.dtype(kind).itemsize))
+    if len(raw) < width * height:
+        raise ValueError("ends early")
+    d = raw.astype(float) * metres
+    at = np.flatnonzero(d > 0)
+    return at, d[at]
+
+
 def decode_depth(rasters: DataFrame) -> DataFrame:
     """(frame, px, py, d, conf) of rasters(frame, width, height, encoding, content, confidence): unmeasured pixels go.
 
-    uint16-mm is little endian millimetres, float32-m metres; zero is no measurement.
+    uint16-mm is little endian millimetres, float32-m metres.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for x in batches:
             for r in x.itertuples():
-                raw = np.frombuffer(r.content, "<u2" if r.encoding == "uint16-mm" else "<f4")
-                if len(raw) < r.width * r.height:
-                    raise ValueError(f"depth of frame {r.frame} ends early")
-                d = raw[: r.width * r.height].astype(float) * (1e-3 if r.encoding == "uint16-mm" else 1.0)
-                at = np.flatnonzero(d > 0)
-                conf = np.frombuffer(r.confidence, np.uint8)[at].astype(int) if r.confidence is not None else None
-                yield pd.DataFrame({"frame": r.frame, "px": at % r.width, "py": at // r.width, "d": d[at], "conf": conf if conf is not None else pd.array([None] * len(at), "Int32")})
+                try:
+                    at, d = _measured(r.content, r.width, r.height, r.encoding)
+                except ValueError as e:
+                    raise ValueError(f"depth of frame {r.frame} {e}") from e
+                conf = np.frombuffer(r.confidence, np.uint8)[at].astype(int) if r.confidence is not None else pd.array([None] * len(at), "Int32")
+                yield pd.DataFrame({"frame": r.frame, "px": at % r.width, "py": at // r.width, "d": d, "conf": conf})
 
     return rasters.mapInPandas(run, "frame string, px int, py int, d double, conf int")
 
 
+def sound_rasters(frames: DataFrame, root: str) -> DataFrame:
+    """Adds ``sound``: whether the rasters of a frame's ``depth`` are there, long enough and of a known encoding.
+
+    Files are asked for their size only.
+    """
+    from .points import filesystem
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(root)
+        for b in batches:
+            depth = b.column("depth").to_pylist()
+            need = []
+            for k, d in enumerate(depth):
+                if d and d["encoding"] in _DEPTH and d["uri"]:
+                    pixels = d["width"] * d["height"]
+                    need.append((k, d["uri"], pixels * np.dtype(_DEPTH[d["encoding"]][0]).itemsize))
+                    if d["confidenceUri"]:
+                        need.append((k, d["confidenceUri"], pixels))
+            sound = np.zeros(len(depth), bool)
+            sound[[k for k, _, _ in need]] = True
+            infos = system.get_file_info([f"{base}/{uri}" for _, uri, _ in need]) if need else []
+            for (k, _, size), info in zip(need, infos, strict=True):
+                sound[k] &= info.is_file and info.size >= size
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sound)], [*b.schema.names, "sound"])
+
+    return frames.mapInArrow(run, _with(frames, "sound boolean"))
+
+
+def _with(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+
+
+def depth_pixels(frames: DataFrame, root: str) -> DataFrame:
+    """The frames' own columns without ``depth``, and px, py, d and conf of every measured pixel.
+
+    A task reads the rasters of its frames one by one; each goes on as one row
+    of arrays, so poses and cameras are sent once a frame and not once a pixel.
+    """
+    from .points import filesystem
+
+    own = frames.select("*", F.col("depth").alias("raster")).drop("depth")
+    keep = [c for c in own.columns if c != "raster"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(root)
+
+        def read(uri: str) -> bytes:
+            with system.open_input_stream(f"{base}/{uri}", compression=None) as f:
+                return f.read()
+
+        for b in batches:
+            for k, d in enumerate(b.column("raster").to_pylist()):
+                at, depth = _measured(read(d["uri"]), d["width"], d["height"], d["encoding"])
+                conf = pa.array(np.frombuffer(read(d["confidenceUri"]), np.uint8)[at].astype(np.int32)) if d["confidenceUri"] else pa.nulls(len(at), pa.int32())
+                ends = pa.array([0, len(at)], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array((at % d["width"]).astype(np.int32)), pa.array((at // d["width"]).astype(np.int32)), pa.array(depth), conf)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in keep), *lists], [*keep, "px", "py", "d", "conf"])
+
+    got = own.mapInArrow(run, _with(own.drop("raster"), "px array<int>, py array<int>, d array<double>, conf array<int>"))
+    return got.select(*keep, F.inline(F.arrays_zip("px", "py", "d", "conf")))
+
+
 def encode_depth(depth: Column) -> Column:
     """Metres to millimetres of sixteen bits; what doesn't fit is 0, no measurement."""
     good = (depth > 0) & (depth < 65.5) & ~F.isnan(depth)
