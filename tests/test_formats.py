@@ -34,17 +34,22 @@ def _scene(n=4):
 
 
 def test_gradients_are_central_differences():
-    p, pose = _scene()
-    target = np.random.default_rng(2).random((16, 16, 3))
+    p, _ = _scene()
+    rng = np.random.default_rng(2)
+    p[:, 3:6] += rng.normal(0, 0.3, (len(p), 3))
+    p[:, 6:10] = rng.normal(0, 1, (len(p), 4))
+    pose = (np.array([[np.cos(0.3), 0, np.sin(0.3)], [0, 1, 0], [-np.sin(0.3), 0, np.cos(0.3)]]), np.array([-0.5, 0.1, 0.4]))
+    target = rng.random((16, 16, 3))
     g, _ = training.gradients(p, pose, target, 14.0)
     loss = lambda q: float(((training.render(q, pose, 16, 14.0)[0] - target) ** 2).mean())
-    for i in range(len(p)):
-        for c in (10, 11, 12, 13):
-            q, h = p.copy(), 1e-5
+    for c in range(14):
+        assert np.abs(g[:, c]).max() > 1e-6  # no column is left out
+        for i in range(len(p)):
+            q, h = p.copy(), 1e-6
             q[i, c] += h
             up = loss(q)
             q[i, c] -= 2 * h
-            assert abs((up - loss(q)) / (2 * h) - g[i, c]) < 1e-5 + 0.02 * abs(g[i, c])
+            assert abs((up - loss(q)) / (2 * h) - g[i, c]) < 1e-8 + 1e-4 * abs(g[i, c])
 
 
 def test_training_lowers_the_loss(spark):
@@ -57,3 +62,9 @@ def test_training_lowers_the_loss(spark):
     df = spark.createDataFrame(rows, "part string, id long, " + ", ".join(f"{c} double" for c in training.SPLAT[1:]))
     losses = training.train(df, [(pose, target)], 14.0, 60).first().losses
     assert losses[-1] < 0.2 * losses[0]
+    start[:, 3:6] += 0.3
+    df = spark.createDataFrame([("a", i, *map(float, r)) for i, r in enumerate(start)], df.schema)
+    moved = training.train(df, [(pose, target)], 14.0, 60, shapes=True).orderBy("id").collect()
+    assert moved[0].losses[-1] < 0.2 * moved[0].losses[0] and all(r.lx != s for r, s in zip(moved, start[:, 3], strict=True))
+    still = training.train(df, [(pose, target)], 14.0, 3).orderBy("id").collect()
+    assert all(r.lx == s for r, s in zip(still, start[:, 3], strict=True))
