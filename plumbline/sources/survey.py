@@ -276,7 +276,7 @@ def export_colmap(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # Sizes of TIFF types, and the tags that are read.
 _TIFF = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
-EXIF = "make string, model string, width int, height int, taken string, focal_mm double, focal35_mm double, lat double, lon double, altitude double, xmp string"
+EXIF = "make string, model string, width int, height int, taken string, focal_mm double, focal35_mm double, lat double, lon double, altitude double, xmp string, exposure double, iso int, plane_resolution double, plane_unit int"
 
 
 def _ifd(data: bytes, order: str, at: int) -> dict[int, object]:
@@ -325,6 +325,7 @@ def jpeg_metadata(data: bytes) -> dict:
             gps = _ifd(exif, order, top[0x8825][0]) if 0x8825 in top else {}
             first = lambda d, t: d[t][0] if d.get(t) else None
             out |= {"make": top.get(0x010F), "model": top.get(0x0110), "width": first(sub, 0xA002), "height": first(sub, 0xA003), "focal_mm": first(sub, 0x920A), "focal35_mm": first(sub, 0xA405)}
+            out |= {"exposure": first(sub, 0x829A), "iso": first(sub, 0x8827), "plane_resolution": first(sub, 0xA20E), "plane_unit": first(sub, 0xA210)}
             when = re.match(r"(\d{4}):(\d\d):(\d\d) (\d\d:\d\d:\d\d)", sub.get(0x9003) or top.get(0x0132) or "")
             out["taken"] = f"{when[1]}-{when[2]}-{when[3]}T{when[4]}" if when else None
             dms = lambda v: sum(x / 60**k for k, x in enumerate(v))
@@ -367,6 +368,32 @@ def drone_frames(metadata: DataFrame) -> DataFrame:
     return got.select("path", "taken", enu.alias("t"), q.alias("q"), F.when(F.col("a.rtk"), 0.6).otherwise(0.2).alias("weight"))
 
 
+def photo_frames(metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, cameras, warnings) of image_metadata: a folder of photographs without poses.
+
+    Frames are numbered in the order of their paths, which is their time too.
+    Photographs of the same model, size and focal length share a camera; a focal
+    length that isn't known is taken as 0.85 widths, and marked in ``guessed``.
+    An image without dimensions goes to the warnings and keeps its number.
+    """
+    from ..operators.mesh import row_numbers
+
+    width = F.col("width")
+    sensor = C.sensor_width(F.col("plane_resolution"), F.col("plane_unit"), width, F.col("focal_mm"), F.col("focal35_mm"), F.coalesce("model", F.lit("")))
+    m = row_numbers(metadata, ["path"], "number").withColumn("focal", C.focal_pixels(width, F.col("focal_mm"), sensor, F.col("focal35_mm")))
+    sized = F.coalesce((width > 0) & (F.col("height") > 0), F.lit(False))
+    key = ["model", "width", "height", "focal"]
+    kinds = row_numbers(m.where(sized).groupBy(*key).agg(F.min("number").alias("first")), ["first"], "camera")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}"))
+    frames = m.where(sized).alias("m").join(kinds.alias("k"), same)
+    frames = frames.select(F.lpad(F.col("number").cast("string"), 6, "0").alias("id"), F.col("number").cast("double").alias("t"), F.col("path").alias("image"), F.col("camera").cast("int").alias("camera"), F.lit("none").alias("poseSource"), "exposure", F.col("iso").cast("double").alias("iso"))
+    f = F.coalesce("focal", width * 0.85)
+    cameras = kinds.select(F.col("camera").cast("int").alias("camera"), F.lit("pinhole").alias("model"), "width", "height", f.alias("fx"), f.alias("fy"), ((width - 1) / 2).alias("cx"), ((F.col("height") - 1) / 2).alias("cy"), F.isnull("focal").alias("guessed"))
+    return frames, cameras, m.where(~sized).select("path", F.lit("no dimensions").alias("reason"))
+
+
 def cube_faces(panoramas: DataFrame) -> DataFrame:
     """Six frames for each panorama, each looking along one axis."""
     faces = [("front", 0.0, 0.0), ("right", 90.0, 0.0), ("back", 180.0, 0.0), ("left", -90.0, 0.0), ("up", 0.0, 90.0), ("down", 0.0, -90.0)]

@@ -137,3 +137,16 @@ def test_links(spark):
     for raw, want in rows.items():
         got = spark.range(1).select(T.link(F.lit(raw), "cap").alias("v")).first().v
         assert (tuple(got) if got else None) == want
+
+
+def test_photo_folder(spark):
+    rows = [("c.jpg", "X", 4000, 3000, 4.0, None), ("a.jpg", "X", 4000, 3000, 4.0, None), ("b.jpg", "Y", None, 3000, None, None), ("d.jpg", "X", 4000, 3000, 4.0, 28.0), ("e.jpg", None, 100, 50, None, None), ("f.jpg", None, 100, 50, None, None)]
+    m = spark.createDataFrame(rows, "path string, model string, width int, height int, focal_mm double, focal35_mm double")
+    m = m.withColumns({"exposure": F.lit(0.01), "iso": F.lit(100), "plane_resolution": F.lit(None).cast("double"), "plane_unit": F.lit(None).cast("int")})
+    frames, cameras, warnings = S.photo_frames(m)
+    assert [(r.id, r.t, r.image, r.camera, r.poseSource, r.iso) for r in frames.orderBy("id").collect()] == [
+        ("000000", 0.0, "a.jpg", 0, "none", 100.0), ("000002", 2.0, "c.jpg", 0, "none", 100.0), ("000003", 3.0, "d.jpg", 1, "none", 100.0), ("000004", 4.0, "e.jpg", 2, "none", 100.0), ("000005", 5.0, "f.jpg", 2, "none", 100.0)]
+    got = {r.camera: r for r in cameras.collect()}
+    assert got[0].guessed and got[0].fx == 3400 and (got[0].cx, got[0].cy) == (1999.5, 1499.5) and got[2].fx == 85
+    assert not got[1].guessed and abs(got[1].fx - 4000 * 28 / 36) < 1e-6
+    assert [tuple(r) for r in warnings.collect()] == [("b.jpg", "no dimensions")]
