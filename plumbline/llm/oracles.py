@@ -31,3 +31,29 @@ h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k
 c AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN c USING (r)"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of Lloyd's algorithm as a chain of common tables: c<i> are the centroids of round i, n<i> each vector's nearest."""
+    parts = [
+        """v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS c, q FROM v WHERE vec_id IS NOT NULL QUALIFY c < 40)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""n{i} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v.q) AS q, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c := c.c)) AS m
+  FROM v CROSS JOIN c{i} AS c GROUP BY r)"""
+        )
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(q) AS x, unnest(range(64)) AS k FROM n{i}) GROUP BY 1, 2)")
+            parts.append(
+                f"c{i + 1} AS (SELECT c.c, coalesce(t.q, c.q) AS q FROM c{i} AS c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS q FROM s{i} GROUP BY 1) AS t USING (c))"
+            )
+    return "WITH " + ",\n".join(parts)
+
+
+OP12 = f"""{_lloyd(5)}
+SELECT vec_id, CAST(m.c AS INT) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM n5 JOIN c5 AS c ON c.c = m.c"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_content, ngram_scores, oracles, quality_rules, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, centroids, decontaminate, html_content, ngram_scores, oracles, prefix_bpe, quality_rules, simhash, token_counts, toxicity, url_filter, warc
 from .common import hold_out, table
 
 
@@ -57,10 +57,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Learned models, tokenizers and fingerprints are beyond SQL; those queries have tests instead."""
-    return {"op1_ngram_scores": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5}
+    return {"op1_ngram_scores": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op12_centroid_clustering": oracles.OP12}
