@@ -57,3 +57,17 @@ OP12 = f"""{_lloyd(5)}
 SELECT vec_id, CAST(m.c AS INT) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
   sha256(array_to_string(c.q, ',')) AS centroid_sha256
 FROM n5 JOIN c5 AS c ON c.c = m.c"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT q, t, count(*) AS qtf FROM (SELECT q, unnest(w) AS t FROM b) GROUP BY 1, 2),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p CROSS JOIN c GROUP BY t, n_docs),
+s AS (SELECT q, r, CAST(sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN f USING (t) JOIN d USING (r) CROSS JOIN c GROUP BY 1, 2),
+k AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k JOIN b USING (q) WHERE rank <= 20"""

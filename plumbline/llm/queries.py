@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontaminate, html_content, ngram_scores, oracles, prefix_bpe, quality_rules, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, centroids, decontaminate, html_content, ngram_scores, oracles, prefix_bpe, quality_rules, simhash, token_counts, toxicity, treaps, url_filter, warc
 from .common import hold_out, table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
 
@@ -71,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Learned models, tokenizers and fingerprints are beyond SQL; those queries have tests instead."""
-    return {"op1_ngram_scores": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op12_centroid_clustering": oracles.OP12}
+    return {"op1_ngram_scores": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op11_ranked_search": oracles.OP11, "op12_centroid_clustering": oracles.OP12}
