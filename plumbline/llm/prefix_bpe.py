@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,6 +41,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,47 @@ class Params:
     batch_bytes: int = 1_000_000
 
 
+def _ranges(points: list[int]) -> str:
+    """Rising code points as the inside of a character class."""
+    ends = np.flatnonzero(np.diff(points, append=-1) != 1) if points else []
+    begins = [0, *(e + 1 for e in ends[:-1])]
+    return "".join(f"{chr(points[a])}-{chr(points[b])}" for a, b in zip(begins, ends, strict=True)) if points else ""
+
+
+class Words:
+    """The library's word pattern.
+
+    ``regex`` may know letters and digits that the library's own Unicode tables
+    don't have yet.  Of those that Python's tables lack too, the library is asked
+    which it takes for such, by merges that no seam between words lets happen.
+    """
+
+    def __init__(self, pattern: str = public_tokenizers.PATTERN):
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        ranks = {bytes([k]): k for k in range(256)} | {bytes([k]) + c: 256 * n + k for n, c in ((1, b"b"), (2, b"1")) for k in range(256)}
+        asked = tiktoken.Encoding("seams", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        late = {}
+        for kind, c in (("L", "b"), ("N", "1")):
+            own = (x for x in regex.findall(rf"\p{{{kind}}}", every) if unicodedata.category(x) == "Cn")
+            late[kind] = _ranges([ord(x) for x in own if asked.encode_ordinary(x + c)[-1] < 256])
+        self.usual, self.late = regex.compile(pattern), None
+        if any(late.values()):
+            self.late = re.compile("[" + "".join(late.values()) + "]")  # faster than regex here
+            for kind, own in late.items():
+                if own:
+                    pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{own}]]")
+            self.strict = regex.compile(pattern, regex.V1)
+
+    def _of(self, text: str):
+        return self.strict if self.late and not text.isascii() and self.late.search(text) else self.usual
+
+    def findall(self, text: str) -> list[str]:
+        return self._of(text).findall(text)
+
+    def finditer(self, text: str, at: int = 0):
+        return self._of(text).finditer(text, at)
+
+
 class PrefixCodec(Codec):
     """A byte-level vocabulary of ranks; the batches and the word cache are those of ``Codec``."""
 
@@ -63,7 +107,7 @@ class PrefixCodec(Codec):
             self.token = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.piece = {i: b for b, i in self.token.items()}
         self.longest = max(map(len, self.token))
-        self.words, self.parts, self.special, self.params = regex.compile(public_tokenizers.PATTERN), None, {}, params
+        self.words, self.parts, self.special, self.params = Words(), None, {}, params
         self.length = np.zeros(1 + max(self.piece), np.int64)
         for i, b in self.piece.items():
             self.length[i] = len(b)

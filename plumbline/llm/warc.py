@@ -6,7 +6,8 @@ payload_digest, refers_to, date) are pushed down: a record's header is parsed
 first, and one that a predicate refuses is stepped over without inflating the
 rest.  With the option ``payload=false`` no payload is decoded at all.
 
-Records are gzip members of their own.  The writer notes each member's length in
+A gzip member may hold any number of records.  The writer gives each record a
+member of its own and notes its length in
 the gzip header (the extra field ``SL``), which lets the reader seek from record
 to record; files without it, and uncompressed ones, are read in sequence.  The
 writer's tasks write files under names of their own, and the driver's commit
@@ -17,7 +18,11 @@ overwriting drops the older ones, and then their files.
 A payload is what remains of the HTTP body once its transfer coding (chunked) is
 undone, and its digest is held against both.  A record that doesn't fit its
 digest, or can't be decoded, is returned with what is wrong in ``fault`` and the
-job goes on; ``sound`` raises on such records.
+job goes on with the next gzip member or the next line that begins as a record
+does; ``sound`` raises on such records.  What is broken before its header can be
+read gives one row with nothing but a fault, which predicates on headers leave
+out as they do nulls.  What isn't decoded (payloads that are stepped over) isn't
+checked.  A file is read by one task.
 
 Defined results: a null payload is empty; a null URL leaves WARC-Target-URI out;
 the rows that repeat a payload's smallest page_id are all responses; a null
@@ -31,6 +36,7 @@ import base64
 import fnmatch
 import hashlib
 import json
+import operator
 import posixpath
 import re
 import uuid
@@ -42,7 +48,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
 from .common import checkpointed, scratch
 
@@ -50,9 +56,13 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 _ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fault", pa.string())])
 #: Header fields that predicates may be pushed to, by column.
 _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
+_ORDER = {GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
 _CHUNK = 1 << 14
+_GZIP = b"\x1f\x8b\x08"
+_NEXT = re.compile(rb"(?<=\n)WARC/\d")
+_NEXT_PLAIN = re.compile(rb"(?<=\n)WARC/\d|\x1f\x8b\x08")
 _MEMBER = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x0c\x00SL\x08\x00"
 
 
@@ -96,69 +106,182 @@ class _Written(WriterCommitMessage):
     files: list
 
 
+class _Plain:
+    """Bytes of a file as they are, from ``at`` on."""
+
+    noted, broken = None, None
+
+    def __init__(self, file, size: int, at: int):
+        self.file, self.size, self.end = file, size, at
+
+    def peek(self, n: int) -> bytes:
+        return self.file.read_at(max(0, min(n, self.size - self.end)), self.end)
+
+    def skip(self, n: int) -> int:
+        n = min(n, self.size - self.end)
+        self.end += n
+        return n
+
+
+class _Member:
+    """The inflated bytes of one gzip member, a few at a time; ``broken`` tells why there are no more."""
+
+    def __init__(self, file, size: int, at: int):
+        self.file, self.size, self.at, self.took = file, size, at, 0
+        self.z, self.buffer, self.broken, self.made = zlib.decompressobj(31), bytearray(), None, 0
+        head = file.read_at(min(24, size - at), at)
+        #: Lengths of the member and of its content, where the writer noted them.
+        self.noted = (int.from_bytes(head[16:20], "little"), int.from_bytes(head[20:24], "little")) if head[:16] == _MEMBER else None
+
+    def _fill(self, n: int) -> None:
+        while len(self.buffer) < n and not self.z.eof and not self.broken:
+            more = self.z.unconsumed_tail
+            if not more:
+                more = self.file.read_at(min(_CHUNK if self.made < _CHUNK else 1 << 20, self.size - self.at - self.took), self.at + self.took)
+                self.took += len(more)
+            if not more:
+                self.broken = "the gzip member ends early"
+                return
+            try:  # in small steps first, since what a failing call has inflated is lost
+                got = self.z.decompress(more, 256 if self.made < 4096 else 1 << 20)
+            except zlib.error as e:
+                self.broken = f"the gzip member is broken: {e}"
+                return
+            self.made += len(got)
+            self.buffer += got
+
+    def peek(self, n: int) -> bytes:
+        self._fill(n)
+        return bytes(self.buffer[:n])
+
+    def skip(self, n: int) -> int:
+        left = n
+        while left:
+            self._fill(min(left, 1 << 20))
+            step = min(left, len(self.buffer))
+            if not step:
+                break
+            del self.buffer[:step]
+            left -= step
+        return n - left
+
+    @property
+    def end(self) -> int:
+        return self.at + self.took - len(self.z.unused_data)
+
+
 class _Source:
-    """Reads a file forwards, inflating gzip members; steps over the rest of a record where it can."""
+    """The records of a file; what can't be read is a fault, after which reading goes on at the next member or record."""
 
     def __init__(self, file):
-        self.file, self.size = file, file.size()
-        self.at = 0  # where in the file the next record begins
-
-    def records(self, wanted) -> Iterator[tuple[dict, bytes, bytes | None]]:
-        """(header, start of the block, the block or None) of each record whose header is wanted."""
-        while self.at < self.size:
-            head = self.file.read_at(min(_CHUNK, self.size - self.at), self.at)
-            if head[:2] == b"\x1f\x8b":
-                length = int.from_bytes(head[16:20], "little") if head[:16] == _MEMBER else 0
-                z, data, took = zlib.decompressobj(31), b"", len(head)
-                data = z.decompress(head, _CHUNK)
-                while b"\r\n\r\n" not in data and not z.eof:
-                    more = z.unconsumed_tail
-                    if not more:
-                        more = self.file.read_at(min(_CHUNK, self.size - self.at - took), self.at + took)
-                        took += len(more)
-                        if not more:
-                            raise ValueError("a record ends within its header")
-                    data += z.decompress(more, _CHUNK)
-                header, begin = self._header(data)
-                full = wanted(header)
-
-                def rest(z=z, data=data, took=took, at=self.at) -> tuple[bytes, int]:
-                    parts = [data]
-                    while not z.eof:
-                        more = z.unconsumed_tail
-                        if not more:
-                            more = self.file.read_at(min(1 << 20, self.size - at - took), at + took)
-                            took += len(more)
-                            if not more:
-                                raise ValueError("a record ends within its block")
-                        parts.append(z.decompress(more, 1 << 22))
-                    return b"".join(parts), at + took - len(z.unused_data)
-
-                block = None
-                if full == "block" or not length:
-                    whole, self.at = rest()
-                    block = whole[begin : begin + int(header["content-length"])]
-                    data = whole
-                else:
-                    self.at += length
+        self.file, self.size, self.jump = file, file.size(), None
+
+    def records(self, wanted) -> Iterator[tuple[dict, bytes, bytes | None, str | None]]:
+        """(header, start of the block, the block or None, fault or None) of each record whose header is wanted.
+
+        A fault whose header can't be read has an empty one.
+        """
+        at, lost = 0, False
+        while at < self.size:
+            head = self.file.read_at(min(3, self.size - at), at)
+            stream = (_Member if head == _GZIP else _Plain)(self.file, self.size, at)
+            for header, start, block, fault in self._of(stream, wanted, lost):
+                lost = bool(fault) and not header
+                # What is wanted of a record with a fault is its header.
+                if wanted(header) if fault else start is not None:
+                    yield header, start or b"", block, fault
+            if isinstance(stream, _Plain):
+                at = stream.end
+            elif stream.broken:
+                at = self._after(stream)
+            else:
+                at = stream.end if self.jump is None else self.jump
+
+    def _after(self, stream: _Member) -> int:
+        """Where reading goes on behind a broken member, or behind what only begins like one."""
+        if stream.noted:
+            there = stream.at + stream.noted[0]
+            if there == self.size or there < self.size and self.file.read_at(min(3, self.size - there), there) == _GZIP:
+                return there
+        at = stream.at + 3
+        while stream.made and at < self.size:
+            data = self.file.read_at(min(1 << 20, self.size - at), at)
+            if (k := data.find(_GZIP)) >= 0:
+                return at + k
+            at += max(1, len(data) - 2)
+        return min(at, self.size)
+
+    def _of(self, stream, wanted, lost: bool) -> Iterator[tuple]:
+        """The records of one stream.  Of what lies between two records one fault comes, however much it is."""
+        self.jump, first, plain = None, True, isinstance(stream, _Plain)
+        while True:
+            while (ends := stream.peek(64)) and ends[0] in b"\r\n":
+                stream.skip(len(ends) - len(ends.lstrip(b"\r\n")))
+            if plain and (not ends or ends[:3] == _GZIP):
+                return
+            if not ends:
+                if stream.broken and not lost:
+                    yield {}, None, None, stream.broken
+                return
+            header, begin = self._header(stream)
+            if header is None:
+                if not lost:
+                    yield {}, None, None, stream.broken or f"not a WARC record: {ends[:40]!r}"
+                lost, first = True, False
+                self._resume(stream)
+                continue
+            stated, lost = header.get("content-length", ""), False
+            stream.skip(begin)
+            if not re.fullmatch(r"\d{1,18}", stated, re.ASCII):
+                yield header, None, None, f"the record's Content-Length is {stated[:40]!r}" if stated else "the record has no Content-Length"
+                first = False
+                self._resume(stream)
+                continue
+            n, full = int(stated), wanted(header)
+            alone = first and stream.noted and stream.noted[1] == begin + n + 4 & 0xFFFFFFFF
+            first, block = False, None
+            if full == "block":
+                block = stream.peek(n)
+                start = block[:_CHUNK]
+            else:
+                start = stream.peek(min(n, _CHUNK)) if full else None
+                if alone and not stream.broken:
+                    self.jump = stream.at + stream.noted[0]
+                    yield header, start, None, None
+                    return
+            got = stream.skip(n)
+            if full == "block":
+                stream.peek(64)  # a wrong checksum shows behind the last byte
+            if got < n or stream.broken and alone:
+                yield header, None, None, stream.broken or "the record ends early"
+                if stream.broken:
+                    return
             else:
-                took, data = len(head), head
-                while b"\r\n\r\n" not in data and self.at + took < self.size:
-                    more = self.file.read_at(min(_CHUNK, self.size - self.at - took), self.at + took)
-                    data, took = data + more, took + len(more)
-                header, begin = self._header(data)
-                full, n = wanted(header), int(header["content-length"])
-                block = self.file.read_at(n, self.at + begin) if full == "block" else None
-                self.at += begin + n + 4
-            if full:
-                yield header, data[begin : begin + _CHUNK], block if full == "block" else None
+                yield header, start, block, None
 
     @staticmethod
-    def _header(data: bytes) -> tuple[dict, int]:
-        end = data.find(b"\r\n\r\n")
-        lines = re.sub(r"\r\n[ \t]+", " ", data[: max(0, end)].decode("utf-8", "replace")).split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {data[:40]!r}")
+    def _resume(stream) -> None:
+        """Goes on to the next line that begins as a record does, or in a plain file to a gzip member."""
+        mark = _NEXT_PLAIN if isinstance(stream, _Plain) else _NEXT
+        while data := stream.peek(1 << 16):
+            if m := mark.search(data, 1):
+                stream.skip(m.start())
+                return
+            stream.skip(len(data) - 8 if len(data) == 1 << 16 else len(data))
+
+    @staticmethod
+    def _header(stream) -> tuple[dict | None, int]:
+        """The header and its length, or None for what is none within a megabyte."""
+        size = 512
+        while True:
+            data = stream.peek(size)
+            end = data.find(b"\r\n\r\n")
+            if end >= 0 or len(data) < size or size >= 1 << 20 or not data.startswith(b"WARC/"):
+                break
+            size *= 4
+        if end < 0 or not data.startswith(b"WARC/"):
+            return None, 0
+        lines = re.sub(r"\r\n[ \t]+", " ", data[:end].decode("utf-8", "replace")).split("\r\n")
         pairs = (x.partition(":") for x in lines[1:])
         return {k.strip().lower(): v.strip() for k, _, v in pairs}, end + 4
 
@@ -183,7 +306,7 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             name = f.attribute[0] if len(f.attribute) == 1 else None
-            if name in _HEADERS and isinstance(f, EqualTo | EqualNullSafe | In | StringStartsWith | IsNotNull):
+            if name in _HEADERS and isinstance(f, EqualTo | EqualNullSafe | In | StringStartsWith | IsNotNull | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
                 self.filters.append(f)
             else:
                 yield f
@@ -217,7 +340,10 @@ class WarcReader(DataSourceReader):
             elif isinstance(f, StringStartsWith):
                 if not value.startswith(f.value):
                     return False
-            elif isinstance(f, EqualTo | EqualNullSafe) and value != f.value:
+            elif isinstance(f, EqualTo | EqualNullSafe):
+                if value != f.value:
+                    return False
+            elif type(f) in _ORDER and not _ORDER[type(f)](value, f.value):
                 return False
         return True
 
@@ -226,8 +352,8 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for name in partition.files:
             with system.open_input_file(name) as file:
-                for header, start, block in _Source(file).records(lambda h: self._fits(h) and ("block" if self.payload else "header")):
-                    rows.append(_row(header, start, block, self.verify))
+                for header, start, block, fault in _Source(file).records(lambda h: self._fits(h) and ("block" if self.payload else "header")):
+                    rows.append(_row(header, start, block, self.verify, fault))
                     size += len(rows[-1][-2] or b"") + 200
                     if size > 8 << 20:
                         yield _batch(rows)
@@ -258,7 +384,12 @@ def _unchunked(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def _row(header: dict, start: bytes, block: bytes | None, verify: bool) -> tuple:
+def _row(header: dict, start: bytes, block: bytes | None, verify: bool, fault: str | None = None) -> tuple:
+    if fault:
+        stated = header.get("content-length", "")
+        n = int(stated) if re.fullmatch(r"\d{1,18}", stated, re.ASCII) else None
+        names = (header.get("warc-target-uri"), header.get("warc-date"), header.get("content-type"), n, _value("payload_digest", header), _value("refers_to", header))
+        return (header.get("warc-type"), _value("record_id", header), *names, None, None, fault)
     body = header.get("content-type", "").startswith("application/http")
     raw = block if block is not None else start
     end = raw.find(b"\r\n\r\n") if body else -4
@@ -267,7 +398,7 @@ def _row(header: dict, start: bytes, block: bytes | None, verify: bool) -> tuple
     payload = block[end + 4 :] if block is not None and (end > -4 or not body) else None
     kind, n = header.get("warc-type"), int(header["content-length"])
     size = int(length[1]) if length else n - (end + 4 if body and end >= 0 else 0)
-    digest, fault = _value("payload_digest", header), None
+    digest = _value("payload_digest", header)
     if kind == "revisit":
         payload = None
     elif payload is not None:
