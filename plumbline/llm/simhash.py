@@ -266,22 +266,57 @@ def signature(hashes: np.ndarray, params: Similar = Similar()) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
+#: Groups of as many rows at most are compared many at once, in runs of as many rows.
+_SMALL, _RUN = 64, 8192
+
+
 def _tree(group: np.ndarray, node: np.ndarray, keys: np.ndarray, limit: int) -> tuple[list, list]:
     """Links of least distance that connect the pairs within ``limit`` in the same group; rows come sorted by group.
 
     A pair that fails a later check had no closer way round within its group.
+    Small groups go together, a few thousand rows at a time; a larger one goes
+    alone, by a way that holds one distance for each of its rows and no pairs.
     """
+    us, vs = [], []
+    ends = np.r_[np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)] if len(group) else np.zeros(0, np.int64)
+    begin = at = 0
+    for end in ends.tolist():
+        if end - at > _SMALL or end - begin > _RUN:
+            _small_trees(group[begin:at], node[begin:at], keys[begin:at], limit, us, vs)
+            begin = at
+        if end - at > _SMALL:
+            _large_tree(node[at:end], keys[at:end], limit, us, vs)
+            begin = end
+        at = end
+    _small_trees(group[begin:at], node[begin:at], keys[begin:at], limit, us, vs)
+    return us, vs
+
+
+def _large_tree(node: np.ndarray, keys: np.ndarray, limit: int, us: list, vs: list) -> None:
+    """One group: each step takes the row closest to those taken, or begins a new tree where none is within ``limit``."""
+    n, far = len(node), np.iinfo(np.int64).max
+    least, by, i = np.full(n, far - 1), np.zeros(n, np.int64), 0
+    for _ in range(n - 1):
+        least[i] = far
+        d = np.bitwise_count(keys ^ keys[i]).sum(1, dtype=np.int64)
+        closer = (d < least) & (least != far)
+        least[closer], by[closer] = d[closer], i
+        i = int(least.argmin())
+        if least[i] <= limit:
+            us.append(int(node[by[i]]))
+            vs.append(int(node[i]))
+
+
+def _small_trees(group: np.ndarray, node: np.ndarray, keys: np.ndarray, limit: int, us: list, vs: list) -> None:
     found, at, step = [], np.arange(len(node) - 1), 1
     while True:
         at = at[at + step < len(node)]
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        for i in range(0, len(at), 1 << 18):
-            a = at[i : i + (1 << 18)]
-            d = np.bitwise_count(keys[a] ^ keys[a + step]).sum(1, dtype=np.int64)
-            near = d <= limit
-            found.append(np.stack([d[near], a[near], a[near] + step], 1))
+        d = np.bitwise_count(keys[at] ^ keys[at + step]).sum(1, dtype=np.int64)
+        near = d <= limit
+        found.append(np.stack([d[near], at[near], at[near] + step], 1))
         step += 1
     parent: dict[int, int] = {}
 
@@ -291,7 +326,6 @@ def _tree(group: np.ndarray, node: np.ndarray, keys: np.ndarray, limit: int) ->
             x = up
         return x
 
-    us, vs = [], []
     pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
     for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
         # Trees are kept for each group apart: a node may stand in several.
@@ -300,7 +334,6 @@ def _tree(group: np.ndarray, node: np.ndarray, keys: np.ndarray, limit: int) ->
             parent[p] = q
             us.append(int(node[i]))
             vs.append(int(node[j]))
-    return us, vs
 
 
 def similar_links(nodes: DataFrame, params: Similar = Similar()) -> DataFrame:

@@ -18,7 +18,7 @@ The class prior is the toxic share of the labelled rows, which is right where
 labels are a random sample of the documents; ``fit`` takes no other word for it.
 
 Defined results: null and empty texts get the score of the bias alone; without
-any toxic label every score is 0; texts of any length are scored whole; of
+any toxic label, or any text to one that tells it apart, every score is 0; texts of any length are scored whole; of
 several texts under one doc_id the least is learned from; features that stand
 out alike are taken in the order of their numbers; repeated rows are scored one
 by one; an empty table gives an empty result; extra columns are kept by
@@ -181,17 +181,19 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     sizes = {r._p: r.n for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((3, 1 << params.bits))
         for x in batches:
-            sums = np.zeros((3, 1 << params.bits))
             for p, t in zip(x["_p"], x["text"], strict=True):
                 i, v = document_features(t, params)
                 sums[0 if p else 1, i] += v
                 sums[2, i] += bool(p)
-            f = np.flatnonzero(sums.any(0))
-            yield pd.DataFrame({"f": f, "p": sums[0, f], "u": sums[1, f], "seen": sums[2, f]})
+        f = np.flatnonzero(sums.any(0))
+        yield pd.DataFrame({"f": f, "p": sums[0, f], "u": sums[1, f], "seen": sums[2, f]})
 
     totals = rows.mapInPandas(tally, "f int, p double, u double, seen double").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.sum("seen").alias("seen"))
-    top = standing_out(totals, sizes.get(True, 0), sizes.get(False, 0), params)
+    top = standing_out(totals, sizes.get(True, 0), sizes.get(False, 0), params) if sizes.get(True) else []
+    if not top:
+        return train(np.zeros((0, 0)), np.zeros((0, 0)), [], 0.0, params)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = {f: k for k, f in enumerate(top)}
