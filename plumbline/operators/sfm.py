@@ -1,7 +1,7 @@
 """Structure from motion: essential matrices, triangulation, resection, bundle adjustment.
 
-Small solvers run in numpy, one pair or one view for a group.  Bundle adjustment
-adds up the normal equations in Spark and solves the cameras' part on the driver.
+Small solvers run in numpy, one pair or one view for a group.  Bundle adjustment is
+in ``adjustment``.
 """
 
 from __future__ import annotations
@@ -244,124 +244,7 @@ def solve_views(observations: DataFrame, threshold: float = 0.004) -> DataFrame:
 
 
 def bundle_adjust(cameras: dict[int, tuple[np.ndarray, np.ndarray]], fixed: set[int], points: DataFrame, observations: DataFrame, rounds: int = 10, huber: float = 0.01, damping: float = 1e-3) -> tuple[dict, DataFrame, list[float]]:
-    """Levenberg-Marquardt with the points eliminated where they are.
-
-    points(pt, x, y, z) and observations(cam, pt, x, y, weight) are tables; the
-    cameras are few and live on the driver.  Each round groups the observations
-    by point: a point's own 3 x 3 block is inverted in its group, which gives its
-    share of the reduced camera system (one row of 6C x 6C sums for a partition),
-    so nothing that grows with the points reaches the driver.  Points that one
-    observation sees are left as they are.  Returns cameras, points and RMS by round.
-    """
-    from .lineage import checkpointed
-
-    spark = points.sparkSession
-    free = [c for c in sorted(cameras) if c not in fixed]
-    index = {c: k for k, c in enumerate(free)}
-    size = 6 * len(free)
-    joined = observations.join(points.withColumnsRenamed({"x": "wx", "y": "wy", "z": "wz"}), "pt")
-    history: list[float] = []
-    grouped = checkpointed(joined.repartition("pt").sortWithinPartitions("pt"))
-
-    def block(x: pd.DataFrame, cams: dict) -> tuple | None:
-        w = x[["wx", "wy", "wz"]].to_numpy(float)[0]
-        rs, ts = np.stack([cams[c][0] for c in x["cam"]]), np.stack([cams[c][1] for c in x["cam"]])
-        p = rs @ w + ts
-        ok = p[:, 2] > 1e-9
-        e = np.zeros((len(x), 2))
-        e[ok] = p[ok, :2] / p[ok, 2:] - x[["x", "y"]].to_numpy(float)[ok]
-        return p, ok, e, rs
-
-    def cost(cams: dict, moved: dict | None, lam: float):
-        shared = spark.sparkContext.broadcast((cams, moved))
-
-        def run(batches):
-            cs, step = shared.value
-            a, g, total, n = np.zeros((size, size)), np.zeros(size), 0.0, 0
-            rows = []
-            rest = None
-            for batch in batches:
-                batch = batch if rest is None else pd.concat([rest, batch])
-                last = batch["pt"].iloc[-1]
-                rest = batch[batch["pt"] == last]
-                for _, x in batch[batch["pt"] != last].groupby("pt", sort=False):
-                    rows.append(x)
-            if rest is not None:
-                rows.append(rest)
-            out = []
-            for x in rows:
-                p, ok, e, rs = block(x, cs)
-                norm = np.linalg.norm(e, axis=1)
-                total += float(np.where(ok, norm**2, 100.0).sum())
-                n += len(x)
-                if len(x) < 2:
-                    continue
-                wt = x["weight"].to_numpy(float) * np.where(norm > huber, np.sqrt(huber / np.maximum(norm, 1e-300)), 1.0) * ok
-                safe = np.where(ok[:, None], p, [0.0, 0.0, 1.0])
-                jp, jc = _camera_jacobian(safe)
-                jw = np.einsum("nij,njk->nik", jp, rs) * wt[:, None, None]
-                jc, r = jc * wt[:, None, None], e * wt[:, None]
-                v = np.einsum("nij,nik->jk", jw, jw)
-                v += lam * np.diag(np.maximum(np.diag(v), 1e-12))
-                inv = np.linalg.inv(v)
-                gp = np.einsum("nij,ni->j", jw, r)
-                where = [index.get(c) for c in x["cam"]]
-                ws = [None if k is None else jc[i].T @ jw[i] for i, k in enumerate(where)]
-                if step is not None:
-                    back = gp + sum((ws[i].T @ step[k] for i, k in enumerate(where) if k is not None), np.zeros(3))
-                    out.append((x["pt"].iloc[0], *(-inv @ back)))
-                    continue
-                for i, k in enumerate(where):
-                    if k is None:
-                        continue
-                    s = slice(6 * k, 6 * k + 6)
-                    a[s, s] += jc[i].T @ jc[i]
-                    g[s] += jc[i].T @ r[i] - ws[i] @ inv @ gp
-                    for j, m in enumerate(where):
-                        if m is not None:
-                            a[s, 6 * m : 6 * m + 6] -= ws[i] @ inv @ ws[j].T
-            if step is not None:
-                yield pd.DataFrame(out, columns=["pt", "dx", "dy", "dz"])
-            else:
-                yield pd.DataFrame([[a.ravel().tolist(), g.tolist(), total, n]], columns=["a", "g", "total", "n"])
-
-        return run
-
-    def system(table: DataFrame, cams: dict, lam: float) -> tuple[np.ndarray, np.ndarray, float]:
-        parts = table.mapInPandas(cost(cams, None, lam), "a array<double>, g array<double>, total double, n long").toLocalIterator()
-        a, g, total, n = np.zeros((size, size)), np.zeros(size), 0.0, 0
-        for r in parts:
-            a, g, total, n = a + np.array(r.a).reshape(size, size), g + np.array(r.g), total + r.total, n + r.n
-        return a, g, float(np.sqrt(total / max(1, n)))
-
-    lam = damping
-    a, g, rms = system(grouped, cameras, lam)
-    history.append(rms)
-    for _ in range(rounds):
-        try:
-            d = -np.linalg.solve(a + lam * np.diag(np.maximum(np.diag(a), 1e-12)), g).reshape(-1, 6) if size else np.zeros((0, 6))
-        except np.linalg.LinAlgError:
-            break
-        new = dict(cameras)
-        for c, k in index.items():
-            turn = exp_so3(d[k][:3])
-            new[c] = (turn @ cameras[c][0], turn @ cameras[c][1] + d[k][3:])
-        moved = grouped.mapInPandas(cost(cameras, dict(enumerate(d)), lam), "pt long, dx double, dy double, dz double")
-        from pyspark.sql import functions as F
-
-        shift = {f"w{n}": F.col(f"w{n}") + F.coalesce(F.col(f"d{n}"), F.lit(0.0)) for n in "xyz"}
-        trial = checkpointed(grouped.join(moved, "pt", "left").withColumns(shift).select(*grouped.columns).repartition("pt").sortWithinPartitions("pt"))
-        na, ng, nr = system(trial, new, lam / 3)
-        if nr < history[-1]:
-            cameras, grouped, a, g, lam = new, trial, na, ng, lam / 3
-            gain = history[-1] - nr
-            history.append(nr)
-            if gain < 1e-12:
-                break
-        else:
-            lam *= 10
-            a, g, _ = system(grouped, cameras, lam)
-            if lam > 1e8:
-                break
-    out = grouped.select("pt", "wx", "wy", "wz").dropDuplicates(["pt"]).withColumnsRenamed({"wx": "x", "wy": "y", "wz": "z"})
-    return cameras, out, history
+    """``adjustment.adjust``: points(pt, x, y, z) and observations(cam, pt, x, y, weight) are tables, cameras a mapping."""
+    from .adjustment import adjust
+
+    return adjust(cameras, fixed, points, observations, rounds, huber, damping)
