@@ -1,8 +1,10 @@
 """Isosurfaces by marching tetrahedra, as joins over a table of field samples.
 
-field(x, y, z, v): a cube is marched when all of its eight corners are there, so
+field(x, y, z, v[, r, g, b]): a cube is marched when all of its eight corners are there, so
 unobserved space never grows a surface.  A vertex is known by its grid edge,
-which welds the mesh without any ordering.
+which welds the mesh without any ordering.  Where the field has colours, a vertex
+mixes those of its edge's ends as it mixes their places; of one end alone it takes
+that one's, and where neither has one it is white.
 """
 
 from __future__ import annotations
@@ -63,21 +65,23 @@ def triangle_table() -> list[tuple[int, int, int, int, int, int, int, int, int]]
 
 
 def march(field: DataFrame, voxel: float = 1.0, level: float = 0.0, offset: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vertices(vid, x, y, z), faces(a, b, c)) of the level set; vid is the edge's string key.
+    """(vertices(vid, x, y, z[, r, g, b]), faces(a, b, c)) of the level set; vid is the edge's string key.
 
     Triangles face away from the values below the level.
     """
     spark = field.sparkSession
     shift = voxel * 0.5 if offset is None else offset
     v = F.when(F.abs(F.col("v") - level) < NUDGE, level + NUDGE).otherwise(F.col("v"))
-    samples = field.where(F.col("v").isNotNull()).select("x", "y", "z", v.alias("v"))
+    tints = ["r", "g", "b"] if {"r", "g", "b"} <= set(field.columns) else []
+    samples = field.where(F.col("v").isNotNull()).select("x", "y", "z", v.alias("v"), *tints)
     corner = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(k).alias("k")) for k, (dx, dy, dz) in enumerate(_CORNERS))))
-    spread = samples.select("x", "y", "z", "v", corner.alias("c")).select((F.col("x") - F.col("c.dx")).alias("x"), (F.col("y") - F.col("c.dy")).alias("y"), (F.col("z") - F.col("c.dz")).alias("z"), F.col("c.k").alias("k"), "v")
+    spread = samples.select("x", "y", "z", "v", *tints, corner.alias("c")).select((F.col("x") - F.col("c.dx")).alias("x"), (F.col("y") - F.col("c.dy")).alias("y"), (F.col("z") - F.col("c.dz")).alias("z"), F.col("c.k").alias("k"), "v", *tints)
     low, high = F.min("v") < level, F.max("v") >= level
-    cubes = spread.groupBy("x", "y", "z").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("at"), F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high")).where("n = 8 and low and high")
+    corners = F.map_from_entries(F.collect_list(F.struct("k", F.struct("v", *tints))))  # eight at most
+    cubes = spread.groupBy("x", "y", "z").agg(corners.alias("at"), F.count(F.lit(1)).alias("n"), low.alias("low"), high.alias("high")).where("n = 8 and low and high")
     tets = F.explode(F.array(*(F.struct(F.lit(t).alias("tet"), *(F.lit(c).alias(f"c{i}") for i, c in enumerate(tet))) for t, tet in enumerate(tetrahedra()))))
     cubes = cubes.select("x", "y", "z", "at", tets.alias("t"))
-    mask = sum((F.when(F.col("at")[F.col(f"t.c{i}")] < level, 1 << i).otherwise(0) for i in range(4)), F.lit(0))
+    mask = sum((F.when(F.col("at")[F.col(f"t.c{i}")]["v"] < level, 1 << i).otherwise(0) for i in range(4)), F.lit(0))
     cubes = cubes.select("x", "y", "z", "at", F.col("t.tet").alias("tet"), mask.alias("mask"))
     table = spark.createDataFrame(triangle_table(), "tet int, mask int, tri int, a0 int, a1 int, b0 int, b1 int, c0 int, c1 int")
     tris = cubes.join(F.broadcast(table), ["tet", "mask"])  # of a fixed 120 rows
@@ -86,16 +90,18 @@ def march(field: DataFrame, voxel: float = 1.0, level: float = 0.0, offset: floa
         """The edge in the order of its corners, so that its neighbours name it alike."""
         p, q = F.least(f"{name}0", f"{name}1"), F.greatest(f"{name}0", f"{name}1")
         at = lambda c, bit: F.shiftright(c, bit).bitwiseAND(1)
-        vp, vq = F.col("at")[p], F.col("at")[q]
+        vp, vq = F.col("at")[p]["v"], F.col("at")[q]["v"]
         gap = vq - vp
         t = F.when(F.abs(gap) < 1e-12, 0.5).otherwise((level - vp) / F.when(F.abs(gap) < 1e-12, 1.0).otherwise(gap))
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
         grid = [(F.col(n) + at(c, b)) for c in (p, q) for b, n in enumerate("xyz")]
         place = [((F.col(n) + at(p, b) + (at(q, b) - at(p, b)) * t) * voxel + shift).alias(n) for b, n in enumerate("xyz")]
-        return F.struct(F.concat_ws(",", *grid).alias("vid"), *place)
+        ends = [(F.col("at")[p][c].cast("double"), F.col("at")[q][c].cast("double")) for c in tints]
+        mixed = [F.coalesce(a + (b - a) * t, a, b, F.lit(255.0)).alias(c) for c, (a, b) in zip(tints, ends, strict=True)]
+        return F.struct(F.concat_ws(",", *grid).alias("vid"), *place, *mixed)
 
     got = tris.select(*(end(n).alias(n) for n in "abc"))
     faces = got.select(*(F.col(f"{n}.vid").alias(n) for n in "abc"))
-    corners = got.select(F.explode(F.array("a", "b", "c")).alias("v")).select("v.*")
-    vertices = corners.groupBy("vid").agg(*(F.min(n).alias(n) for n in "xyz"))
+    uses = got.select(F.explode(F.array("a", "b", "c")).alias("v")).select("v.*")
+    vertices = uses.groupBy("vid").agg(*(F.min(n).alias(n) for n in ("x", "y", "z", *tints)))
     return vertices, faces

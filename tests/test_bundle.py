@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import mesh
 from plumbline.plans import reconstruct as R
-from plumbline.sources import export, points
+from plumbline.sources import export, pictures, points, scans
 
 W, H, FOCAL = 64, 48, 50.0
 CAMERA = {"model": "pinhole", "width": W, "height": H, "fx": FOCAL, "fy": FOCAL, "cx": 31.5, "cy": 23.5}
@@ -44,7 +46,7 @@ def cube_depth(t, q):
 
 @pytest.fixture
 def bundle(tmp_path):
-    def make(pose_every=1, depth=True, own_camera=True):
+    def make(pose_every=1, depth=True, own_camera=True, images=None):
         root = tmp_path / "cube"
         for d in ("depth", "conf"):
             (root / d).mkdir(parents=True)
@@ -59,6 +61,10 @@ def bundle(tmp_path):
                 f["depth"] = {"uri": f"depth/{k}.bin", "width": W, "height": H, "encoding": "uint16-mm", "confidenceUri": f"conf/{k}.bin"}
                 if own_camera:
                     f["depth"]["camera"] = CAMERA
+            if images:
+                (root / "images").mkdir(exist_ok=True)
+                (root / f"images/{k}.png").write_bytes(images(t, q))
+                f["image"] = f"images/{k}.png"
             lines.append(json.dumps(f))
         (root / "frames.jsonl").write_text("\n".join(lines) + "\n")
         (root / "manifest.json").write_text(json.dumps({"formatVersion": 1, "name": "cube", "cameras": [CAMERA], "frameCount": 6}))
@@ -91,6 +97,81 @@ def test_cube_from_files_to_exports(spark, bundle, tmp_path):
     assert (tmp_path / "glb/mesh-0.glb").read_bytes()[:4] == b"glTF"
 
 
+SIX = {(0, -1): (250, 10, 20), (0, 1): (20, 240, 30), (1, -1): (30, 40, 230), (1, 1): (220, 230, 40), (2, -1): (200, 50, 210), (2, 1): (60, 220, 225)}
+
+
+def cube_picture(scale):
+    """A picture of the cube in its six colours, of ``scale`` times the camera's size."""
+
+    def draw(t, q):
+        x, y = np.meshgrid((np.arange(W * scale) + 0.5) / scale, (np.arange(H * scale) + 0.5) / scale)
+        ray = rotated(q, np.stack([(x - CAMERA["cx"]) / FOCAL, (y - CAMERA["cy"]) / FOCAL, np.ones_like(x)], -1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a, b = (-0.5 - np.array(t)) / ray, (0.5 - np.array(t)) / ray
+        near = np.minimum(a, b)
+        at, axis = near.max(-1), near.argmax(-1)
+        hit = (at <= np.maximum(a, b).min(-1)) & (at > 0)
+        out = np.zeros((*at.shape, 3), np.uint8)
+        for (k, side), colour in SIX.items():
+            out[hit & (axis == k) & (np.sign(np.take_along_axis(-ray, axis[..., None], -1)[..., 0]) == side)] = colour
+        return scans.png(out)
+
+    return draw
+
+
+def test_a_cube_of_six_colours_comes_out_with_six(spark, bundle):
+    got = R.reconstruct(spark, str(bundle(images=cube_picture(3))), "balanced")
+    for df in (got.points, got.vertices):
+        p = df.toPandas()
+        assert p[["r", "g", "b"]].notna().all(axis=None)
+        xyz, rgb = p[["x", "y", "z"]].to_numpy(), p[["r", "g", "b"]].to_numpy(float)
+        for (axis, side), colour in SIX.items():
+            others = [k for k in range(3) if k != axis]
+            own = (np.abs(xyz[:, axis] - 0.5 * side) < 0.05) & (np.abs(xyz[:, others]) < 0.3).all(1)
+            assert own.sum() > 50 and (np.abs(rgb[own] - colour).max(1) <= 1).all()
+
+
+def test_pictures_that_are_missing_or_broken_leave_no_colour(spark, bundle):
+    root = bundle(images=cube_picture(1))
+    (root / "images/0.png").unlink()
+    (root / "images/1.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    got = R.reconstruct(spark, str(root), "fast", surfaces=False)
+    assert got.counts["fused"] == 6
+    p = got.points.toPandas()
+    front = (np.abs(p["z"] + 0.5) < 0.05) & (p[["x", "y"]].abs() < 0.3).all(axis=1)
+    left = (np.abs(p["x"] + 0.5) < 0.05) & (p[["y", "z"]].abs() < 0.3).all(axis=1)
+    assert front.sum() and left.sum() and p[front]["r"].isna().all() and (p[left]["r"] == 250).all()
+    assert "r" not in R.reconstruct(spark, str(root), "fast", surfaces=False, colour=False).points.columns
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
+@pytest.mark.parametrize(("colour", "step"), [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_png_filters(kind, colour, step):
+    rng = np.random.default_rng(kind)
+    want = rng.integers(0, 256, (9, 7, step)).astype(int)
+    raw = []
+    for y in range(9):
+        line = [kind]
+        for x in range(7):
+            for c in range(step):
+                a, b, d = (int(want[v, u, c]) if v >= 0 and u >= 0 else 0 for v, u in ((y, x - 1), (y - 1, x), (y - 1, x - 1)))
+                near = sorted([(abs(a + b - d - a), 0, a), (abs(a + b - d - b), 1, b), (abs(a + b - d - d), 2, d)])[0][2]
+                line.append((int(want[y, x, c]) - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        raw.append(bytes(line))
+    piece = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    data = b"\x89PNG\r\n\x1a\n" + piece(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, colour, 0, 0, 0)) + piece(b"IDAT", zlib.compress(b"".join(raw))) + piece(b"IEND", b"")
+    got = pictures.read_picture(data)
+    assert np.array_equal(got, want[..., :3] if step > 2 else np.repeat(want[..., :1], 3, 2))
+    with pytest.raises(ValueError):
+        pictures.read_picture(data[: len(data) // 2])
+
+
+def test_ppm():
+    assert pictures.read_picture(b"P6 # note\n2 1\n255\n" + bytes(range(6))).tolist() == [[[0, 1, 2], [3, 4, 5]]]
+    with pytest.raises(ValueError):
+        pictures.read_picture(b"P6 2 1 255\n123")
+
+
 def test_frames_left_out_are_counted(spark, bundle):
     root = bundle(pose_every=3, own_camera=False)
     got = R.reconstruct(spark, str(root), "fast", surfaces=False)
