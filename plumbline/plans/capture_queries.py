@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy as G
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import fusion, matching, mesh, records, registration, splats
+from ..operators import fusion, matching, mesh, records, registration, splats, surface
 from ..sources import interop, survey
 from .catalog import query
 
@@ -58,6 +58,47 @@ def voxel_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select(*(_r(F.col(a)).alias(a) for a in "xyz"))
 
 
+_COLOURS = """
+SELECT CAST(floor(l_quantity) AS INT) AS vx, CAST(floor(l_discount * 100 + 0.5) AS INT) AS vy, CAST(l_linenumber AS INT) AS vz, sum((l_tax - 4.1e-2) * w) / sum(w) AS sdf,
+  sum(w * (l_partkey % 256)) / sum(w) AS r, sum(w * (l_suppkey % 256)) / sum(w) AS g, sum(CASE WHEN l_returnflag <> 'R' THEN w * (l_orderkey % 256) END) / sum(CASE WHEN l_returnflag <> 'R' THEN w END) AS b
+FROM (SELECT *, 1 / (1 + l_extendedprice / 1e4) AS w FROM lineitem) GROUP BY 1, 2, 3"""
+
+
+def _coloured_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels whose blue is unknown to part of their samples."""
+    li = table(spark, sf_dir, "lineitem")
+    colour = {"r": F.col("l_partkey") % 256, "g": F.col("l_suppkey") % 256, "b": F.when(F.col("l_returnflag") != "R", F.col("l_orderkey") % 256)}
+    samples = li.select(
+        F.floor("l_quantity").cast("int").alias("vx"), F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("vy"), F.col("l_linenumber").cast("int").alias("vz"),
+        (F.col("l_tax") - 0.041).alias("sdf"), (1 / (1 + F.col("l_extendedprice") / 1e4)).alias("w"), *(c.alias(n) for n, c in colour.items()),
+    )
+    return fusion.fuse(samples)
+
+
+@query(f"SELECT vx, vy, vz, {', '.join(f'round({c}, 7) + 0.0 AS {c}' for c in 'rgb')} FROM ({_COLOURS})")
+def voxel_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coloured_voxels(spark, sf_dir).select("vx", "vy", "vz", *(_r(F.col(c), 7).alias(c) for c in "rgb"))
+
+
+#: The field of ``_COLOURS`` in cubes whose eight corners are known; an edge of their tetrahedra runs from a corner to one that has its bits and more.
+_CUBES = f"""v AS MATERIALIZED (SELECT vx AS x, vy AS y, vz AS z, CASE WHEN abs(sdf) < 1e-7 THEN 1e-7 ELSE sdf END AS v, r, g, b FROM ({_COLOURS})), k AS (SELECT k FROM range(8) t(k)),
+c AS MATERIALIZED (SELECT v.x - (k & 1) AS x, v.y - ((k >> 1) & 1) AS y, v.z - (k >> 2) AS z, k, v, r, g, b FROM v CROSS JOIN k),
+full_ AS (SELECT x, y, z FROM c GROUP BY 1, 2, 3 HAVING count(*) = 8), u AS MATERIALIZED (SELECT c.* FROM c JOIN full_ USING (x, y, z))"""
+
+
+@query(f"""WITH {_CUBES}, e AS (SELECT p.x, p.y, p.z, p.k AS pk, q.k AS qk, greatest(0, least(1, (0 - p.v) / (q.v - p.v))) AS t, p.r AS pr, p.g AS pg, p.b AS pb, q.r AS qr, q.g AS qg, q.b AS qb
+  FROM u p JOIN u q ON q.x = p.x AND q.y = p.y AND q.z = p.z AND p.k < q.k AND (p.k & q.k) = p.k AND (p.v < 0) <> (q.v < 0)),
+w AS (SELECT concat_ws(',', x + (pk & 1), y + ((pk >> 1) & 1), z + (pk >> 2), x + (qk & 1), y + ((qk >> 1) & 1), z + (qk >> 2)) AS vid,
+  (x + (pk & 1) + ((qk & 1) - (pk & 1)) * t) * 0.05 + 0.025 AS x, (y + ((pk >> 1) & 1) + (((qk >> 1) & 1) - ((pk >> 1) & 1)) * t) * 0.05 + 0.025 AS y, (z + (pk >> 2) + ((qk >> 2) - (pk >> 2)) * t) * 0.05 + 0.025 AS z,
+  coalesce(pr + (qr - pr) * t, pr, qr, 255) AS r, coalesce(pg + (qg - pg) * t, pg, qg, 255) AS g, coalesce(pb + (qb - pb) * t, pb, qb, 255) AS b FROM e)
+SELECT vid, {', '.join(f'round(min({c}), 6) + 0.0 AS {c}' for c in 'xyzrgb')} FROM w GROUP BY 1""")
+def surface_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices of the zero level of all voxels, with the colours of their edges' ends mixed."""
+    field = _coloured_voxels(spark, sf_dir).select(F.col("vx").alias("x"), F.col("vy").alias("y"), F.col("vz").alias("z"), F.col("sdf").alias("v"), "r", "g", "b")
+    vertices, _ = surface.march(field, 0.05)
+    return vertices.select("vid", *(_r(F.col(c)).alias(c) for c in "xyzrgb"))
+
+
 @query(f"SELECT vx, vy, vz, round(sdf, 9) + 0.0 AS sdf, round(weight, 6) + 0.0 AS weight FROM ({_VOXELS})")
 def voxel_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voxels(spark, sf_dir).select("vx", "vy", "vz", _r(F.col("sdf"), 9).alias("sdf"), _r(F.col("weight")).alias("weight"))
@@ -422,8 +463,23 @@ def _grid_mesh(spark: SparkSession, side: int = 30) -> tuple[DataFrame, DataFram
     return v, f
 
 
-_GRID = """v AS (SELECT i AS vid, (i % 31) / 30e0 AS x, floor(i / 31.0) / 30e0 AS y, 0.15e0 * sin((i % 31) * 0.5e0) * cos(floor(i / 31.0) * 0.4e0) AS z FROM range(961) t(i)),
-q AS (SELECT i, CAST(floor(i / 30.0) * 31 + i % 30 AS BIGINT) AS o FROM range(900) t(i)), f AS (SELECT i * 2 AS fid, o AS a, o + 1 AS b, o + 31 AS c FROM q UNION ALL SELECT i * 2 + 1, o + 1, o + 32, o + 31 FROM q),
+def _part_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All parts as the vertices of a strip of 40 across, with two triangles between four of them."""
+    p = table(spark, sf_dir, "part")
+    i = F.col("vid")
+    x, y = i % 40, F.floor(i / 40)
+    v = p.select((F.col("p_partkey") - 1).cast("long").alias("vid"), "p_retailprice").select(
+        i, (x / 39).alias("x"), (y / 39).alias("y"), (0.15 * F.sin(x * 0.5) * F.cos(y * 0.4) + F.col("p_retailprice").cast("double") * 1e-6).alias("z")
+    )
+    q = v.where(i % 40 < 39).select(i.alias("o")).join(v.select((i - 41).alias("o")), "o", "left_semi")
+    o = F.col("o")
+    f = q.select((o * 2).alias("fid"), o.alias("a"), (o + 1).alias("b"), (o + 40).alias("c")).unionByName(q.select((o * 2 + 1).alias("fid"), (o + 1).alias("a"), (o + 41).alias("b"), (o + 40).alias("c")))
+    return v, f
+
+
+_GRID = """v AS (SELECT vid, (vid % 40) / 39e0 AS x, floor(vid / 40.0) / 39e0 AS y, 0.15e0 * sin((vid % 40) * 0.5e0) * cos(floor(vid / 40.0) * 0.4e0) + CAST(p_retailprice AS DOUBLE) * 1e-6 AS z
+  FROM (SELECT CAST(p_partkey - 1 AS BIGINT) AS vid, p_retailprice FROM part)),
+q AS (SELECT vid AS o FROM v WHERE vid % 40 < 39 AND vid + 41 IN (SELECT vid FROM v)), f AS (SELECT o * 2 AS fid, o AS a, o + 1 AS b, o + 40 AS c FROM q UNION ALL SELECT o * 2 + 1, o + 1, o + 41, o + 40 FROM q),
 n AS (SELECT f.*, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz,
   (a.x * (b.y * c.z - b.z * c.y) + a.y * (b.z * c.x - b.x * c.z) + a.z * (b.x * c.y - b.y * c.x)) / 6 AS vol FROM f JOIN v a ON a.vid = f.a JOIN v b ON b.vid = f.b JOIN v c ON c.vid = f.c)"""
 
@@ -431,13 +487,13 @@ n AS (SELECT f.*, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (
 @query(f"""WITH {_GRID}, s AS (SELECT vid, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM (SELECT unnest([a, b, c]) AS vid, nx, ny, nz FROM n) GROUP BY 1)
 SELECT vid, round(x / sqrt(x * x + y * y + z * z), 7) + 0.0 AS nx, round(y / sqrt(x * x + y * y + z * z), 7) + 0.0 AS ny, round(z / sqrt(x * x + y * y + z * z), 7) + 0.0 AS nz FROM s""")
 def face_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid_mesh(spark)
+    v, f = _part_mesh(spark, sf_dir)
     return mesh.vertex_normals(f, v).select("vid", *(_r(F.col(f"n{a}"), 7).alias(f"n{a}") for a in "xyz"))
 
 
 @query(f"WITH {_GRID} SELECT round(sum(sqrt(nx * nx + ny * ny + nz * nz)) / 2, 7) + 0.0 AS area, round(sum(vol), 7) + 0.0 AS volume FROM n")
 def signed_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid_mesh(spark)
+    v, f = _part_mesh(spark, sf_dir)
     return mesh.area_and_volume(f, v).select(_r(F.col("area"), 7).alias("area"), _r(F.col("volume"), 7).alias("volume"))
 
 

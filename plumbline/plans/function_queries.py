@@ -360,10 +360,15 @@ def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("k"), name.alias("name")).select("k", receivers.vendor().alias("vendor"))
 
 
-@query("""SELECT mode, voxel, keep, CASE WHEN mode = 'object' THEN 'standard' WHEN mode = 'room' THEN 'standard' ELSE 'aggressive' END AS cleanup FROM (VALUES ('object', 0.006e0, 0.4e0), ('room', 0.025e0, 0.25e0), ('area', 0.05e0, 0.12e0)) t(mode, voxel, keep)""")
+@query("""SELECT p_partkey, mode, voxel, CASE WHEN p_size % 7 = 0 THEN 'none' WHEN abs(0.25e0 - p_size / 100e0) <= abs(0.06e0 - p_size / 100e0) THEN 'standard' ELSE 'aggressive' END AS cleanup
+FROM part JOIN (VALUES (0, 'object', 0.006e0), (1, 'room', 0.025e0), (2, 'area', 0.05e0)) t(k, mode, voxel) ON p_partkey % 3 = k""")
 def scan_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan modes and the cleanup nearest to each one's share; a fixed table."""
-    return interop.scan_modes(spark).select("mode", "voxel", "keep", interop.nearest_cleanup(F.col("keep")).alias("cleanup"))
+    """Each part's scan mode with its voxel, and the cleanup nearest to the share it keeps."""
+    k = F.col("p_partkey") % 3
+    parts = table(spark, sf_dir, "part").withColumn("mode", F.when(k == 0, "object").when(k == 1, "room").otherwise("area"))
+    share = F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 100)
+    modes = interop.scan_modes(spark).select("mode", "voxel")
+    return parts.join(F.broadcast(modes), "mode").select("p_partkey", "mode", "voxel", interop.nearest_cleanup(share).alias("cleanup"))  # three modes
 
 
 @query("""SELECT event_id, value > 0.5e0 AS posed, event_id % 3 <> 0 AS deep FROM events WHERE event_id % 4 <> 1""")
