@@ -468,7 +468,7 @@ def _part_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf_dir, "part")
     i = F.col("vid")
     x, y = i % 40, F.floor(i / 40)
-    v = p.select((F.col("p_partkey") - 1).cast("long").alias("vid"), "p_retailprice").select(
+    v = p.select(F.col("p_partkey").cast("long").alias("vid"), "p_retailprice").select(
         i, (x / 39).alias("x"), (y / 39).alias("y"), (0.15 * F.sin(x * 0.5) * F.cos(y * 0.4) + F.col("p_retailprice").cast("double") * 1e-6).alias("z")
     )
     q = v.where(i % 40 < 39).select(i.alias("o")).join(v.select((i - 41).alias("o")), "o", "left_semi")
@@ -478,7 +478,7 @@ def _part_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _GRID = """v AS (SELECT vid, (vid % 40) / 39e0 AS x, floor(vid / 40.0) / 39e0 AS y, 0.15e0 * sin((vid % 40) * 0.5e0) * cos(floor(vid / 40.0) * 0.4e0) + CAST(p_retailprice AS DOUBLE) * 1e-6 AS z
-  FROM (SELECT CAST(p_partkey - 1 AS BIGINT) AS vid, p_retailprice FROM part)),
+  FROM (SELECT CAST(p_partkey AS BIGINT) AS vid, p_retailprice FROM part)),
 q AS (SELECT vid AS o FROM v WHERE vid % 40 < 39 AND vid + 41 IN (SELECT vid FROM v)), f AS (SELECT o * 2 AS fid, o AS a, o + 1 AS b, o + 40 AS c FROM q UNION ALL SELECT o * 2 + 1, o + 1, o + 41, o + 40 FROM q),
 n AS (SELECT f.*, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz,
   (a.x * (b.y * c.z - b.z * c.y) + a.y * (b.z * c.x - b.x * c.z) + a.z * (b.x * c.y - b.y * c.x)) / 6 AS vol FROM f JOIN v a ON a.vid = f.a JOIN v b ON b.vid = f.b JOIN v c ON c.vid = f.c)"""
