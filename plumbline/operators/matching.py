@@ -154,25 +154,62 @@ def pair_epochs(gga: DataFrame, gst: DataFrame, by: str, tolerance: float = 0.25
     return gga.join(best, [by, "t"], "left").select(*gga.columns, "_best._gst.*")
 
 
-def non_max_suppression(corners: DataFrame, radius: float) -> DataFrame:
+def _settle(x, radius: float):
+    """One pass over a tile, strongest first: what of its own corners can be told now.
+
+    status: 0 open, 1 kept, 2 gone.  A corner goes if a kept one is near, waits if
+    an open one is, and else stays; open corners of the rim are for other tiles.
+    """
+    at: dict[tuple[int, int], list[tuple[float, float, bool]]] = {}
+    status = x["status"].to_numpy().copy()
+    for i, (px, py, own) in enumerate(zip(x["x"], x["y"], x["own"], strict=True)):
+        if status[i] == 2:
+            continue
+        cx, cy = int(px // radius), int(py // radius)
+        if own and not status[i]:
+            near = [q[2] for a in (-1, 0, 1) for b in (-1, 0, 1) for q in at.get((cx + a, cy + b), ()) if (px - q[0]) ** 2 + (py - q[1]) ** 2 < radius * radius]
+            status[i] = 2 if any(near) else 0 if near else 1
+            if status[i] == 2:
+                continue
+        at.setdefault((cx, cy), []).append((px, py, status[i] == 1))
+    return status
+
+
+def non_max_suppression(corners: DataFrame, radius: float, tile: float = 256.0, rounds: int = 100) -> DataFrame:
     """Greedy by score within each image and level: keeps a corner unless a better kept one is near.
 
-    Greedy choice is sequential, so a level is one group; an image has some
-    tens of thousands of corners at most.
+    Equal scores go by y, then x, then a hash of the row.  The choice is
+    sequential, but a corner depends on stronger ones within ``radius`` alone: tiles
+    settle what they can from their own corners and a rim of neighbours', and the
+    few that wait for a neighbour's are settled in later rounds, each cut by a
+    reliable checkpoint.  The strongest open corner never waits, so rounds end; the
+    result is that of one pass over all.  A tile of ``tile`` pixels a side holds no
+    more corners than pixels if they lie on whole ones, however large an image is.
     """
-    def run(x):
-        x = x.sort_values(["score", "y", "x"], ascending=[False, True, True], kind="stable")
-        kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        keep = np.zeros(len(x), bool)
-        for i, (px, py) in enumerate(zip(x["x"], x["y"], strict=True)):
-            cx, cy = int(px // radius), int(py // radius)
-            near = (q for a in (-1, 0, 1) for b in (-1, 0, 1) for q in kept.get((cx + a, cy + b), ()))
-            if all((px - qx) ** 2 + (py - qy) ** 2 >= radius * radius for qx, qy in near):
-                keep[i] = True
-                kept.setdefault((cx, cy), []).append((px, py))
-        return x[keep]
-
-    return corners.groupBy("image", "level").applyInPandas(run, corners.schema)
+    from .lineage import checkpointed
+
+    tile = max(tile, 4 * radius)
+    names = corners.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    rows = corners.select(row, "image", "level", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("score").cast("double").alias("score"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("tie"))
+    now = checkpointed(rows.withColumns({"id": F.monotonically_increasing_id(), "status": F.lit(0)}))
+    reach = lambda c: F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile))
+    columns = ["id", "image", "level", "x", "y", "score", "tie", "status"]
+    out = "id long, status int"
+
+    def run(part):
+        part = part.sort_values(["score", "y", "x", "tie", "id"], ascending=[False, True, True, True, True])
+        status = _settle(part, radius)
+        return part.assign(status=status)[part["own"].to_numpy()][["id", "status"]]
+
+    for _ in range(rounds):
+        spread = now.where("status < 2").select(*columns).withColumn("tx", F.explode(reach("x"))).withColumn("ty", F.explode(reach("y")))
+        spread = spread.withColumn("own", (F.floor(F.col("x") / tile) == F.col("tx")) & (F.floor(F.col("y") / tile) == F.col("ty")))
+        told = spread.groupBy("image", "level", "tx", "ty").applyInPandas(run, out).withColumnRenamed("status", "told")
+        now = checkpointed(now.join(told, "id", "left").withColumn("status", F.coalesce("told", "status")).drop("told"))
+        if not now.where("status = 0").limit(1).count():
+            return now.where("status = 1").select("row.*")
+    raise RuntimeError(f"suppression did not settle in {rounds} rounds")
 
 
 def level_budget(keypoints: DataFrame, most: int, area: str = "area", by: str = "level") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Faces belong to the tile of their centroid.  Vertices that faces of two tiles
 share are locked, so tiles fit together again whatever each has collapsed, and a
-tile is all that a task holds.
+tile is all that a task holds; tiles with too many faces are halved.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mesh import with_corners
@@ -105,14 +105,37 @@ def decimate(points: dict[int, np.ndarray], faces: list[tuple[int, int, int]], k
     return {v: points[v] for v in used}, list(alive.values())
 
 
-def simplify(faces: DataFrame, vertices: DataFrame, share: float, tile: float) -> tuple[DataFrame, DataFrame]:
+#: How often a cube may be halved until it holds few enough faces.
+SPLITS = 6
+
+
+def tiles(centres: DataFrame, tile: float, most: int) -> DataFrame:
+    """``centres`` (cx, cy, cz, ..) with ``tile``: the largest cube of side ``tile``, or that halved up to ``SPLITS`` times, that holds ``most`` rows or fewer.
+
+    Rows are counted by the finest cubes, and those counts added up for each
+    coarser size, so no cube's rows come together before it is chosen.
+    """
+    fine = tile / (1 << SPLITS)
+    df = centres.withColumns({f"_{n}": F.floor(F.col(f"c{n}") / fine).cast("long") for n in "xyz"})
+    keys = ["_x", "_y", "_z"]
+    cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    chosen = F.concat_ws(",", F.lit(SPLITS), *keys)
+    for k in reversed(range(SPLITS)):
+        up = [F.shiftright(c, SPLITS - k) for c in keys]
+        cells = cells.withColumn(f"_s{k}", F.sum("_n").over(Window.partitionBy(*up)))
+        chosen = F.when(F.col(f"_s{k}") <= most, F.concat_ws(",", F.lit(k), *up)).otherwise(chosen)
+    return df.join(cells.select(*keys, chosen.alias("tile")), keys).drop(*keys)
+
+
+def simplify(faces: DataFrame, vertices: DataFrame, share: float, tile: float, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) with about ``share`` of the faces; ``tile`` is the side of the cubes that tasks hold.
 
-    Choose the side so that a cube holds some hundred thousand faces at most.
+    A cube of over ``most`` faces is halved until its parts hold no more (or
+    ``SPLITS`` times), so a dense place costs a task no more than any other.
     """
     got = with_corners(faces, vertices)
-    at = lambda n: F.floor((F.col(f"pa.{n}") + F.col(f"pb.{n}") + F.col(f"pc.{n}")) / 3 / tile)
-    got = got.withColumn("tile", F.concat_ws(",", *map(at, "xyz")))
+    at = {f"c{n}": (F.col(f"pa.{n}") + F.col(f"pb.{n}") + F.col(f"pc.{n}")) / 3 for n in "xyz"}
+    got = tiles(got.select("a", "b", "c", "pa", "pb", "pc").withColumns(at), tile, most).drop("cx", "cy", "cz")
     uses = got.select("tile", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
     seams = uses.groupBy("vid").agg((F.count(F.lit(1)) > 1).alias("locked"))
     mine = uses.join(seams, "vid").where("locked").select("tile", "vid").groupBy("tile").agg(F.collect_set("vid").alias("seam"))
