@@ -194,13 +194,22 @@ class Written(WriterCommitMessage):
     names: list
 
 
+#: Bytes of rows that a part file takes before the next one begins.
+FILE_BYTES = 128 << 20
+
+
 class _PartWriter(DataSourceArrowWriter):
-    """Each task writes whole files under names of its own; abort takes them away."""
+    """Each task writes whole files under names of its own; abort takes them away.
+
+    A file holds about ``fileBytes`` of rows, so a task holds that much however
+    large its partition is.
+    """
 
     suffix = ""
 
     def __init__(self, options: dict):
         self.path, self.options = options["path"], options
+        self.bytes = int(options.get("filebytes", options.get("fileBytes", FILE_BYTES)))
         system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
 
@@ -208,14 +217,25 @@ class _PartWriter(DataSourceArrowWriter):
         raise NotImplementedError
 
     def write(self, iterator) -> Written:
-        batches = [b for b in iterator if b.num_rows]
-        if not batches:
-            return Written([])
         system, root = filesystem(self.path)
-        name = f"part-{uuid.uuid4().hex}{self.suffix}"
-        with system.open_output_stream(f"{root}/{name}", compression=None) as f:
-            f.write(self.encode(pa.Table.from_batches(batches)))
-        return Written([name])
+        names, batches, size = [], [], 0
+
+        def put() -> None:
+            names.append(f"part-{uuid.uuid4().hex}{self.suffix}")
+            with system.open_output_stream(f"{root}/{names[-1]}", compression=None) as f:
+                f.write(self.encode(pa.Table.from_batches(batches)))
+            batches.clear()
+
+        for b in iterator:
+            if b.num_rows:
+                batches.append(b)
+                size += b.nbytes
+            if size >= self.bytes:
+                put()
+                size = 0
+        if batches:
+            put()
+        return Written(names)
 
     def abort(self, messages) -> None:
         system, root = filesystem(self.path)
