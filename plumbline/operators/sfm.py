@@ -111,13 +111,16 @@ def ransac_essential(a: np.ndarray, b: np.ndarray, threshold: float, rounds: int
 PAIR = "pair string, inliers long, ratio double, conditioning double, e array<double>, r array<double>, t array<double>"
 
 
-def verify_pairs(matches: DataFrame, threshold: float, rounds: int = 512) -> DataFrame:
-    """Relative poses per pair of matches(pair, a, b, ax, ay, bx, by), in normalised coordinates."""
+def verify_pairs(matches: DataFrame, threshold: float | None, rounds: int = 512) -> DataFrame:
+    """Relative poses per pair of matches(pair, a, b, ax, ay, bx, by), in normalised coordinates.
+
+    Without a threshold each pair's is that of its column ``threshold``.
+    """
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["a", "b"])
         a, b = x[["ax", "ay"]].to_numpy(float), x[["bx", "by"]].to_numpy(float)
-        got = ransac_essential(a, b, threshold, rounds)
+        got = ransac_essential(a, b, float(x["threshold"].iloc[0]) if threshold is None else threshold, rounds)
         if got is None:
             return pd.DataFrame()
         e, fit, good = got
