@@ -59,7 +59,7 @@ _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_u
 _ORDER = {GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
-_CHUNK = 1 << 14
+_FIRST, _CHUNK = 1 << 12, 1 << 14
 _GZIP = b"\x1f\x8b\x08"
 _NEXT = re.compile(rb"(?<=\n)WARC/\d")
 _NEXT_PLAIN = re.compile(rb"(?<=\n)WARC/\d|\x1f\x8b\x08")
@@ -137,13 +137,14 @@ class _Member:
         while len(self.buffer) < n and not self.z.eof and not self.broken:
             more = self.z.unconsumed_tail
             if not more:
-                more = self.file.read_at(min(_CHUNK if self.made < _CHUNK else 1 << 20, self.size - self.at - self.took), self.at + self.took)
+                step = _FIRST if self.made < _FIRST else _CHUNK if self.made < _CHUNK else 1 << 20
+                more = self.file.read_at(min(step, self.size - self.at - self.took), self.at + self.took)
                 self.took += len(more)
             if not more:
                 self.broken = "the gzip member ends early"
                 return
             try:  # in small steps first, since what a failing call has inflated is lost
-                got = self.z.decompress(more, 256 if self.made < 4096 else 1 << 20)
+                got = self.z.decompress(more, 256 if self.made < _FIRST else 1 << 20)
             except zlib.error as e:
                 self.broken = f"the gzip member is broken: {e}"
                 return
@@ -244,7 +245,7 @@ class _Source:
                 block = stream.peek(n)
                 start = block[:_CHUNK]
             else:
-                start = stream.peek(min(n, _CHUNK)) if full else None
+                start = self._start(stream, n) if full else None
                 if alone and not stream.broken:
                     self.jump = stream.at + stream.noted[0]
                     yield header, start, None, None
@@ -259,6 +260,12 @@ class _Source:
             else:
                 yield header, start, block, None
 
+    @staticmethod
+    def _start(stream, n: int) -> bytes:
+        """The first bytes of a block, as many as hold an HTTP header if there is one."""
+        start = stream.peek(min(n, _FIRST // 2))
+        return start if b"\r\n\r\n" in start else stream.peek(min(n, _CHUNK))
+
     @staticmethod
     def _resume(stream) -> None:
         """Goes on to the next line that begins as a record does, or in a plain file to a gzip member."""

@@ -338,10 +338,10 @@ def test_warc_steps_over_what_is_refused(packed):
     file = _Counted(b"".join(map(warc.member, records) if packed else records))
     reader = warc.WarcReader({"path": "/nowhere"})
     assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("content_length",), 3)])) == [warc.EqualTo(("content_length",), 3)]
-    decoded = [b for _, _, b in warc._Source(file).records(lambda h: reader._fits(h) and "block")]
+    decoded = [b for _, _, b, _ in warc._Source(file).records(lambda h: reader._fits(h) and "block")]
     assert len(decoded) == 2 and file.taken <= 8 * (1 << 14) + sum(map(len, decoded))
     file.taken = 0
-    assert [b for _, _, b in warc._Source(file).records(lambda h: "header")] == [None] * 8 and file.taken <= 8 * (1 << 14)
+    assert [b for _, _, b, _ in warc._Source(file).records(lambda h: "header")] == [None] * 8 and file.taken <= 8 * (1 << 14)
     file.taken = 0
     assert len(list(warc._Source(file).records(lambda h: "block"))) == 8 and file.taken > 6 * len(noise)
 
