@@ -58,7 +58,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def lost_lines(spark: SparkSession, path: str, schema: str) -> int:
-    return spark.read.schema(schema + ", _corrupt_record string").json(path).cache().where("_corrupt_record is not null").count()
+    """Lines that are no rows of the schema."""
+    lines = spark.read.schema(schema + ", _corrupt_record string").json(path).cache()  # Spark doesn't answer for that column alone
+    try:
+        return lines.where("_corrupt_record is not null").count()
+    finally:
+        lines.unpersist()
 
 
 def read_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
