@@ -596,7 +596,10 @@ def silence_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended")).drop("session")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS capture, epoch_us(ts) AS t, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), value) AS n FROM events),
+r AS (SELECT capture, n, t, x, x AS last, true AS keep FROM e WHERE n = 1
+  UNION ALL SELECT e.capture, e.n, e.t, e.x, CASE WHEN abs(e.x - r.last) >= 25 THEN e.x ELSE r.last END, abs(e.x - r.last) >= 25 FROM r JOIN e ON e.capture = r.capture AND e.n = r.n + 1)
+SELECT capture, t, x, 0e0 AS y, 0e0 AS z FROM r WHERE keep""")
 def keyframe_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events kept when their value has moved far enough from the last kept one of the user."""
     from ..streaming.keyframes import keep_moved
