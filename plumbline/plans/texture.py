@@ -1,9 +1,9 @@
 """Photographs on a mesh as one plan: a view for each triangle, an atlas, painted tiles, strips of the picture.
 
 Views are found through a grid over the triangles' centres: a frame goes to the
-cells that its frustum may touch, a triangle to its own cell, and they meet by an
-equi-join.  The frustum test of a cell errs on the side of more, so no view is
-lost.  Tiles are packed in shelves, largest first, by their size classes: since
+cells that its frustum may touch, level by level of a grid that gets finer with
+the mesh, a triangle to its own cell, and they meet by an equi-join.  The frustum
+test of a cell errs on the side of more, so no view is lost.  Tiles are packed in shelves, largest first, by their size classes: since
 sizes and the side are powers of two, a tile's place follows from its number, and
 numbers come from a sort over the cluster; the driver sees one count a class.
 Painting reads each frame's picture where a run of its triangles is, and a frame
@@ -50,57 +50,96 @@ def _pixel(local: Column, camera: Column) -> tuple[Column, Column]:
     return local["x"] * camera["fx"] / local["z"] + camera["cx"], local["y"] * camera["fy"] / local["z"] + camera["cy"]
 
 
-def _frustum_cells(frames: DataFrame, box: DataFrame, cells: int) -> DataFrame:
-    """frames with the cells (gx, gy, gz) of the box that their pyramid may touch."""
-    steps = F.sequence(F.lit(0), F.lit(cells - 1))
-    df = frames.join(F.broadcast(box))  # one row
-    for k in ("gx", "gy", "gz"):
-        df = df.withColumn(k, F.explode(steps))
-    middle = V.vec(*(F.col(f"low.{a}") + (F.col(f"g{a}") + 0.5) * F.col("step") for a in "xyz"))
-    df = V.fenced(df, {"_m": V.rotate(V.quat_conjugate(F.col("pose.q")), V.sub(middle, F.col("pose.t")))})
-    reach = F.col("step") * (math.sqrt(3) / 2 * (1 + 1e-9)) + 1e-9
-    x, y, z = (F.col(f"_m.{a}") for a in "xyz")
-    cam = F.col("camera")
+#: A side of the box of all triangles is cut into 2 ** _FINEST cells at most; frames of one cell that meet its triangles in one task.
+_FINEST, _MET = 16, 8192
+_CELL = [f"c{a}" for a in "xyz"]
 
-    def within(slope: Column, side: Column) -> Column:
-        """On the inner side of a plane through the eye, or no farther from it than a cell reaches."""
-        return side + slope * z >= -reach * F.sqrt(slope * slope + 1)
 
-    sides = [within(cam["cx"] / cam["fx"], x), within((cam["width"] - 1 - cam["cx"]) / cam["fx"], -x), within(cam["cy"] / cam["fy"], y), within((cam["height"] - 1 - cam["cy"]) / cam["fy"], -y)]
-    good = z >= NEAREST - reach
-    for s in sides:
-        good &= s
-    return df.where(good).drop("low", "step", "_m")
+def _seen_cells(frames: DataFrame, leaves: DataFrame, low: list[float], side: float, level: int) -> DataFrame:
+    """frames with the cells of ``leaves`` that their pyramid may touch, found from coarse cells to fine ones, of those that hold triangles."""
+    now = frames
+    for k in range(min(2, level), level + 1, 2):
+        at = [F.shiftright(c, level - k) for c in _CELL]
+        cells = leaves.select(*(F.shiftright(a, 2).alias(f"u{c}") for a, c in zip(at, _CELL, strict=True)), *(a.alias(c) for a, c in zip(at, _CELL, strict=True))).distinct()
+        if k <= 2:  # 64 cells at most
+            now = now.join(F.broadcast(cells.drop(*(f"u{c}" for c in _CELL))))
+        else:
+            now = now.withColumnsRenamed({c: f"u{c}" for c in _CELL}).join(cells, [f"u{c}" for c in _CELL]).drop(*(f"u{c}" for c in _CELL))
+        step = side / 2**k
+        d = [F.lit(low[i]) + (F.col(c) + 0.5) * step - F.col(f"t{a}") for i, (c, a) in enumerate(zip(_CELL, "xyz", strict=True))]
+        x, y, z = (sum((F.col(f"r{i}{j}") * d[j] for j in range(3)), F.lit(0.0)) for i in range(3))
+        reach, cam = step * (math.sqrt(3) / 2 * (1 + 1e-9)) + 1e-9, F.col("camera")
+
+        def within(slope: Column, away: Column, z: Column = z, reach: float = reach) -> Column:
+            """On the inner side of a plane through the eye, or no farther from it than a cell reaches."""
+            return away + slope * z >= -reach * F.sqrt(slope * slope + 1)
 
+        sides = [within(cam["cx"] / cam["fx"], x), within((cam["width"] - 1 - cam["cx"]) / cam["fx"], -x), within(cam["cy"] / cam["fy"], y), within((cam["height"] - 1 - cam["cy"]) / cam["fy"], -y)]
+        good = z >= NEAREST - reach
+        for s in sides:
+            good &= s
+        now = now.where(good)
+    return now
 
-def best_views(triangles: DataFrame, frames: DataFrame, depth: DataFrame | None = None, cells: int = 12) -> DataFrame:
+
+def best_views(triangles: DataFrame, frames: DataFrame, depth: DataFrame | None = None, leaf: int = 256) -> DataFrame:
     """(fid, frame, score) of triangles(fid, centre, normal): the frame that shows each best, of those that show it.
 
     frames(frame: long, pose, camera, depth_camera) are pinholes; depth(frame, px,
     py, d) are measured pixels, in ``depth_camera``.  A frame shows a triangle
     whose centre is inside its picture, faces it by more than a quarter, and isn't
     more than ``TOLERANCE`` behind what was measured there.  The score is the
-    square of cosine over distance along the axis.
+    square of cosine over distance along the axis.  Cells hold some ``leaf``
+    triangles each, however large the mesh is; a cell that very many frames see
+    is dealt to as many tasks as it takes.
     """
     usable = frames.where("camera.fx > 0 and camera.fy > 0 and camera.width > 1 and camera.height > 1")
-    t = triangles.where("normal is not null").select("fid", "centre", "normal")
-    low = V.vec(*(F.min(f"centre.{a}") for a in "xyz"))
-    size = F.greatest(*(F.max(f"centre.{a}") - F.min(f"centre.{a}") for a in "xyz"))
-    box = t.agg(low.alias("low"), F.greatest(size / cells, F.lit(1e-9)).alias("step")).where("low.x is not null")
-    at = {f"g{a}": F.least(F.floor((F.col(f"centre.{a}") - F.col(f"low.{a}")) / F.col("step")), F.lit(cells - 1)).cast("int") for a in "xyz"}
-    placed = t.join(F.broadcast(box)).withColumns(at).drop("low", "step")  # one row
-    seen = placed.join(_frustum_cells(usable, box, cells), ["gx", "gy", "gz"])
-    seen = V.fenced(seen, {"_p": V.rotate(V.quat_conjugate(F.col("pose.q")), V.sub(F.col("centre"), F.col("pose.t")))}).where(F.col("_p.z") > NEAREST)
-    u, v = _pixel(F.col("_p"), F.col("camera"))
-    seen = V.fenced(seen, {"_u": u, "_v": v, "_f": V.dot(F.col("normal"), V.normalize(V.sub(F.col("pose.t"), F.col("centre"))))})
-    seen = seen.where((F.col("_u") >= 0) & (F.col("_v") >= 0) & (F.col("_u") <= F.col("camera.width") - 1) & (F.col("_v") <= F.col("camera.height") - 1) & (F.col("_f") > FACING))
+    t = triangles.where("normal is not null").select("fid", *(F.col(f"centre.{a}").alias(f"p{a}") for a in "xyz"), *(F.col(f"normal.{a}").alias(f"n{a}") for a in "xyz"))
+    t = checkpointed(t.where(~F.isnan(F.col("px") + F.col("py") + F.col("pz"))))
+    box = t.agg(F.count(F.lit(1)), *(F.min(f"p{a}") for a in "xyz"), *(F.max(f"p{a}") for a in "xyz")).first()
+    if not box[0]:
+        return t.select("fid", F.lit(None).cast("long").alias("frame"), F.lit(None).cast("double").alias("score"))
+    low, side = list(box[1:4]), max(1e-9, *(box[4 + i] - box[1 + i] for i in range(3)))
+    fine = [F.least(F.floor((F.col(f"p{a}") - low[i]) / side * (1 << _FINEST)), F.lit((1 << _FINEST) - 1)).cast("int") for i, a in enumerate("xyz")]
+    # How many cells hold triangles at each level, roughly: it sets the level, which no result depends on.
+    levels = range(0, _FINEST + 1, 2)
+    used = t.agg(*(F.approx_count_distinct(F.xxhash64(*(F.shiftright(c, _FINEST - k) for c in fine))) for k in levels)).first()
+    level = next((k for k, n in zip(levels, used, strict=True) if box[0] <= leaf * n), _FINEST)
+    placed = t.withColumns({c: F.shiftright(f, _FINEST - level) for c, f in zip(_CELL, fine, strict=True)})
+
+    # The rows of the turn into the camera, so that pairs need sums of products alone.
+    turned = {f"_{a}": V.rotate(V.quat_conjugate(F.col("pose.q")), V.vec(*(float(a == b) for b in "xyz"))) for a in "xyz"}
+    eyes = V.fenced(usable, turned).select("frame", *(F.col(f"_{a}.{b}").alias(f"r{i}{j}") for i, b in enumerate("xyz") for j, a in enumerate("xyz")), *(F.col(f"pose.t.{a}").cast("double").alias(f"t{a}") for a in "xyz"), F.struct(*(F.col(f"camera.{n}").alias(n) for n in ("fx", "fy", "cx", "cy", "width", "height"))).alias("camera"), *(["depth_camera"] if depth is not None else []))
+    leaves = checkpointed(placed.select(*_CELL).distinct())
+    met = checkpointed(_seen_cells(eyes, leaves, low, side, level))
+    parts = met.groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / _MET).cast("int").alias("parts"))
+    met = met.join(parts, _CELL).withColumn("part", F.pmod(F.xxhash64("frame"), F.col("parts")).cast("int")).drop("parts")
+    placed = placed.join(parts, _CELL)
+
+    def shown(some: DataFrame) -> DataFrame:
+        """(fid, frame, score, ..) of all views of the triangles ``some``."""
+        pairs = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(met, [*_CELL, "part"])
+        d = [F.col(f"p{a}") - F.col(f"t{a}") for a in "xyz"]
+        x, y, z = (sum((F.col(f"r{i}{j}") * d[j] for j in range(3)), F.lit(0.0)) for i in range(3))
+        pairs = pairs.where(z > NEAREST)
+        u, v = _pixel({"x": x, "y": y, "z": z}, F.col("camera"))
+        away = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        facing = -(F.col("nx") * d[0] + F.col("ny") * d[1] + F.col("nz") * d[2]) / F.when(away > 0, away)
+        pairs = pairs.where((u >= 0) & (v >= 0) & (u <= F.col("camera.width") - 1) & (v <= F.col("camera.height") - 1) & (facing > FACING))
+        if depth is not None:
+            du, dv = _pixel({"x": x, "y": y, "z": z}, F.col("depth_camera"))
+            pairs = pairs.withColumns({"px_": V.round_half_up(du).cast("int"), "py_": V.round_half_up(dv).cast("int")})
+            measured = depth.select("frame", F.col("px").alias("px_"), F.col("py").alias("py_"), "d")
+            pairs = pairs.join(measured, ["frame", "px_", "py_"], "left").where(F.col("d").isNull() | (z <= F.col("d") + TOLERANCE))
+        extra = [c for c in ("best",) if c in some.columns]
+        return pairs.select("fid", "frame", (facing * facing / (z * z)).alias("score"), *extra)
+
     if depth is not None:
-        du, dv = _pixel(F.col("_p"), F.col("depth_camera"))
-        seen = seen.withColumns({"px": V.round_half_up(du).cast("int"), "py": V.round_half_up(dv).cast("int")})
-        seen = seen.join(depth.select("frame", "px", "py", "d"), ["frame", "px", "py"], "left").where(F.col("d").isNull() | (F.col("_p.z") <= F.col("d") + TOLERANCE))
-    score = F.col("_f") * F.col("_f") / (F.col("_p.z") * F.col("_p.z"))
-    best = seen.groupBy("fid").agg(F.max(F.struct(score.alias("score"), (-F.col("frame")).alias("frame"))).alias("best"))
-    return best.select("fid", (-F.col("best.frame")).alias("frame"), F.col("best.score").alias("score"))
+        best = shown(placed).groupBy("fid").agg(F.max(F.struct("score", (-F.col("frame")).alias("frame"))).alias("best"))
+        return best.select("fid", (-F.col("best.frame")).alias("frame"), F.col("best.score").alias("score"))
+    # The best score first, a number that tasks fold as they go, then the first frame that reaches it: pairs are never kept.
+    best = checkpointed(shown(placed).groupBy("fid").agg(F.max("score").alias("best")))
+    return shown(placed.join(best, "fid")).where("score = best").groupBy("fid").agg(F.min("frame").alias("frame"), F.max("score").alias("score"))
 
 
 @dataclass(frozen=True)
