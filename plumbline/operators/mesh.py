@@ -73,12 +73,16 @@ def row_numbers(df: DataFrame, order: list, name: str) -> DataFrame:
     """Numbers from 0 in a total order, without one task for all rows.
 
     Rows are sorted by range over the partitions and numbered within each; the
-    partitions' counts, one row for each, give their offsets.
+    partitions' counts, one row for each, give their offsets.  The sorted rows are
+    written once, as a second sort may cut the ranges elsewhere and its counts
+    would be those of other partitions.
     """
     from pyspark.sql import Window
 
+    from .lineage import checkpointed
+
     local = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    local = local.withColumn("_n", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
+    local = checkpointed(local.withColumn("_n", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33)))
     counts = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(before.select("_p", "_o"), "_p").withColumn(name, F.col("_n") + F.col("_o")).drop("_p", "_i", "_n", "_o")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.operators import mesh
 from plumbline.plans import catalog, texture
 
 
@@ -27,6 +28,19 @@ def test_half_of_a_turn_of_more_than_half_a_round(spark, tmp_path):
     assert got == want
 
 
+def test_numbers_have_no_gap_however_ranges_are_cut(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400kb")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        rows = spark.range(60_000).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        got = mesh.row_numbers(rows, ["k"], "n").select("k", "n", "wide").toPandas().sort_values("k")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (got["n"].to_numpy() == np.arange(60_000)).all()
+
+
 def test_cells_get_no_coarser_as_a_mesh_gets_longer(spark, monkeypatch):
     made, keep = [], texture.checkpointed
     monkeypatch.setattr(texture, "checkpointed", lambda df: made.append(keep(df)) or made[-1])
