@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,21 +97,92 @@ def motion_filter(matches: DataFrame, sigmas: float = 3.0, slack: float = 2.0, l
     return got.join(mad, "pair").where((F.col("n") < least) | near).select(*matches.columns)
 
 
+#: Places a cell holds that its points look among, on the mean; cells on the side of a tile; places of a tile that one task holds.
+_CROWD, _ACROSS, _HELD = 4, 4, 50_000
+
+
+def _least_k(own: np.ndarray, others: np.ndarray, copies: np.ndarray, k: int, cell: float | None) -> list[list[float]]:
+    """The distances of the ``k`` nearest copies of ``others``, one's own copy left out; with ``cell`` of the 27 cells around alone."""
+    out: list[list[float]] = []
+    step = max(1, (1 << 20) // max(1, len(others)))
+    most = min(k + 1, len(others))
+    for i in range(0, len(own), step):
+        mine = own[i : i + step]
+        d = sum((mine[:, None, j] - others[None, :, j]) ** 2 for j in range(3))
+        if cell is not None:
+            for j in range(3):
+                d[np.abs(np.floor(mine[:, None, j] / cell) - np.floor(others[None, :, j] / cell)) > 1] = np.inf
+        at = np.argpartition(d, most - 1, axis=1)[:, :most]
+        near = np.take_along_axis(d, at, 1)
+        order = np.argsort(near, axis=1, kind="stable")
+        near, at = np.take_along_axis(near, order, 1), np.take_along_axis(at, order, 1)
+        weight = np.cumsum(np.where(np.isfinite(near), copies[at] - (others[at] == mine[:, None]).all(2), 0), axis=1)
+        rank = np.stack([(weight <= j).sum(1) for j in range(k)], 1)
+        found = np.take_along_axis(np.c_[np.sqrt(near), np.full(len(mine), np.inf)], rank, 1)
+        out += [[x for x in row if x < np.inf] for row in found.tolist()]
+    return out
+
+
+def _tile_least(k: int, cell: float | None):
+    """For cogroups of own places and those around them: (x, y, z, d), the least distances of each."""
+    xyz = ["x", "y", "z"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        mine = a[xyz].to_numpy(float)
+        near = _least_k(mine, b[xyz].to_numpy(float), b["copies"].to_numpy(np.int64), k, cell) if len(b) else [[] for _ in mine]
+        return pd.DataFrame(mine, columns=xyz).assign(d=near)
+
+    return run
+
+
 def grid_neighbours(points: DataFrame, cell: float, k: int = 3) -> DataFrame:
     """(id, spacing): the mean distance to the ``k`` nearest of the 27 cells around each point.
 
     A point without a neighbour takes the cell's size; no spacing is below 1e-4.
+    A point without a finite place has no neighbour.
+
+    Points of one place count once, with their number.  Cells are halved until few
+    places share one; where the ``k`` nearest are no farther than such a cell is
+    wide, they are the nearest of all, and only the rest look again in cells twice
+    as wide, up to ``cell``.  Tiles of cells with one cell around go to tasks, the
+    places of a crowded one in parts whose least distances are put together.
     """
-    at = {f"c{a}": F.floor(F.col(a) / cell).cast("long") for a in "xyz"}
-    p = points.withColumns(at)
-    moves = F.explode(F.array(*(F.array(*map(F.lit, m)) for m in product((-1, 0, 1), repeat=3))))
-    spread = p.select("id", "x", "y", "z", "cx", "cy", "cz", moves.alias("m"))
-    spread = spread.select("id", "x", "y", "z", *((F.col(f"c{a}") + F.col("m")[i]).alias(f"c{a}") for i, a in enumerate("xyz")))
-    other = p.select(F.col("id").alias("oid"), *(F.col(a).alias(f"o{a}") for a in "xyz"), "cx", "cy", "cz")
-    d = spread.join(other, ["cx", "cy", "cz"]).where("id <> oid").select("id", F.sqrt(sum((F.pow(F.col(a) - F.col(f"o{a}"), 2) for a in "xyz"), F.lit(0.0))).alias("d"), "oid")
-    near = d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "oid"))).where(F.col("rank") <= k)
-    mean = near.groupBy("id").agg(F.avg("d").alias("mean"))
-    return points.select("id").join(mean, "id", "left").select("id", F.greatest(F.coalesce("mean", F.lit(cell)), F.lit(1e-4)).alias("spacing"))
+    from .lineage import checkpointed
+
+    xyz, tile = ["x", "y", "z"], ["tx", "ty", "tz"]
+    p = points.select("id", *(F.col(a).cast("double").alias(a) for a in xyz))
+    finite = p.where(~F.isnan(sum((F.col(a) - F.col(a) for a in xyz), F.lit(0.0))))  # an infinite place less itself is no number, and null is no row
+    places = checkpointed(finite.groupBy(*xyz).agg(F.count(F.lit(1)).alias("copies")))
+    at = lambda wide: [F.floor(F.col(a) / wide).cast("long") for a in xyz]
+    level = 0
+    while level < 20:
+        sizes = places.groupBy(*at(cell / 2**level)).agg(F.count(F.lit(1)).alias("n"))
+        total, crowd = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if total is None or crowd <= _CROWD * total:
+            break
+        level += 1
+    mean = F.aggregate("d", F.lit(0.0), lambda a, b: a + b) / F.when(F.size("d") > 0, F.size("d"))
+    done = places.where(F.col("copies") > k).select(*xyz, F.lit(0.0).alias("mean"))
+    own = places.where(F.col("copies") <= k).select(*xyz)
+    for now in range(level, -1, -1):
+        wide = cell / 2**now
+
+        mine = own.select(*xyz, *(F.floor(c / _ACROSS).cast("long").alias(t) for c, t in zip(at(wide), tile, strict=True)))
+        others = places
+        for c, t in zip(at(wide), tile, strict=True):
+            others = others.withColumn(t, F.explode(F.sequence(F.floor((c - 1) / _ACROSS), F.floor((c + 1) / _ACROSS))))
+        others = others.join(mine.select(*tile).distinct(), tile, "left_semi")
+        parts = others.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / _HELD).cast("int").alias("parts"))
+        others = others.join(parts, tile).withColumn("part", F.pmod(F.xxhash64(*xyz), F.col("parts")).cast("int"))
+        others = others.select(*xyz, "copies", *tile, "part").toDF(*xyz, "copies", "tx_", "ty_", "tz_", "part_")
+        mine = mine.join(parts, tile).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        found = mine.groupBy(*tile, "part").cogroup(others.groupBy("tx_", "ty_", "tz_", "part_")).applyInPandas(_tile_least(k, None if now else wide), "x double, y double, z double, d array<double>")
+        found = checkpointed(found.groupBy(*xyz).agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d")))
+        near = (F.size("d") == k) & (F.try_element_at("d", F.lit(k)) <= wide * (1 - 1e-9)) if now else F.lit(True)
+        done = done.unionByName(found.where(near).select(*xyz, mean.alias("mean")))
+        own = found.where(~near).select(*xyz)
+    got = p.join(done, xyz, "left")
+    return got.select("id", F.greatest(F.coalesce("mean", F.lit(cell)), F.lit(1e-4)).alias("spacing"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: list[str], tolerance: float | None = None) -> DataFrame:

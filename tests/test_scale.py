@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
-from plumbline.operators import mesh
+from plumbline.operators import matching, mesh
 from plumbline.plans import catalog, texture
 
 
@@ -60,3 +60,19 @@ def test_cells_get_no_coarser_as_a_mesh_gets_longer(spark, monkeypatch):
     u, v, facing = d[..., 0] * 50 / z + 32, -d[..., 1] * 50 / z + 24, z / np.linalg.norm(d, axis=2)
     score = np.where((u >= 0) & (u <= 63) & (v >= 0) & (v <= 47) & (facing > 0.25), facing**2 / z**2, -1)
     assert got == {i: int(s.argmax()) for i, s in enumerate(score) if s.max() > 0} and len(got) > 40
+
+
+def test_spacing_of_crowded_places_copies_and_points_at_no_place(spark):
+    rng = np.random.default_rng(3)
+    p = np.r_[rng.normal(0, 0.05, (600, 3)), rng.normal(0, 0.3, (60, 3)), np.repeat(rng.normal(0, 0.1, (30, 3)), [1, 2, 3, 4, 5] * 6, axis=0)]
+    cells = np.floor(p / 0.1)
+    want = {}
+    for i in range(len(p)):
+        near = (np.abs(cells - cells[i]) <= 1).all(1) & (np.arange(len(p)) != i)
+        d = np.sort(np.sqrt(((p[near] - p[i]) ** 2).sum(1)))[:3]
+        want[i] = max(d.mean() if len(d) else 0.1, 1e-4)
+    odd = [(1000, float("inf"), 0.0, 0.0), (1001, None, 0.0, 0.0), (1002, 0.0, float("nan"), 0.0)]
+    rows = [(i, *map(float, q)) for i, q in enumerate(p)] + odd
+    got = {r.id: r.spacing for r in matching.grid_neighbours(spark.createDataFrame(rows, "id long, x double, y double, z double"), 0.1).collect()}
+    assert [got.pop(k) for k, *_ in odd] == [0.1] * 3
+    assert got.keys() == want.keys() and all(np.isclose(got[i], d) for i, d in want.items())
