@@ -60,7 +60,10 @@ def _rms_without(p: np.ndarray, q: np.ndarray, w: np.ndarray, scale: bool) -> np
     """The error of the rest when each pair in turn is left out; not a number where the rest has no solution.
 
     Moments about the common centre lose one pair's share each; the eigenvectors
-    of all of them come at once, and so do the errors, a block of pairs at a time.
+    of all of them come at once, and so do the errors: each solution is the common
+    one and a small change, so its squares are sums of moments of the common
+    residuals, which lose no digits.  Only where the rest may lie on a line are
+    its points looked at one by one.
     """
     p, q = p - (w @ p) / w.sum(), q - (w @ q) / w.sum()
     total = w.sum() - w
@@ -70,19 +73,35 @@ def _rms_without(p: np.ndarray, q: np.ndarray, w: np.ndarray, scale: bool) -> np
     n = np.stack([xx + yy + zz, yz - zy, zx - xz, xy - yx, yz - zy, xx - yy - zz, xy + yx, zx + xz, zx - xz, xy + yx, yy - xx - zz, yz + zy, xy - yx, zx + xz, yz + zy, zz - xx - yy], 1).reshape(-1, 4, 4)
     qw, qx, qy, qz = np.linalg.eigh(n)[1][:, :, -1].T
     r = np.stack([1 - 2 * (qy * qy + qz * qz), 2 * (qx * qy - qz * qw), 2 * (qx * qz + qy * qw), 2 * (qx * qy + qz * qw), 1 - 2 * (qx * qx + qz * qz), 2 * (qy * qz - qx * qw), 2 * (qx * qz - qy * qw), 2 * (qy * qz + qx * qw), 1 - 2 * (qx * qx + qy * qy)], 1).reshape(-1, 3, 3)
-    out, size = np.empty(len(p)), max(1, 200_000 // len(p))
-    for i in range(0, len(p), size):
-        rows = np.arange(i, min(len(p), i + size))
-        rest = rows[:, None] != np.arange(len(p))
-        a, b = p - cp[rows, None], q - cq[rows, None]
-        far = np.where(rest, np.linalg.norm(a, axis=2), -1.0)
+    outer, rest = (lambda x, y: np.einsum("ij,ik->ijk", x, y)), len(p) - 1
+    r0, _, k0 = horn(p, q, w, scale)
+    turned = k0 * p @ r0.T
+    d = turned - q
+    k = np.full(len(p), 1.0)
+    if scale:
+        k = np.einsum("ijk,ikj->i", r, s) / ((w * (p**2).sum(1)).sum() - w * (p**2).sum(1) - total * (cp**2).sum(1))
+    change = k[:, None, None] / k0 * (r @ r0.T) - np.eye(3)
+    ct = k0 * cp @ r0.T
+    cd = ct - cq
+
+    def moments(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+        """Of all but one, about the centre of all but that one."""
+        return x.T @ y - outer(x, y) - outer(x.sum(0) - x, cy) - outer(cx, y.sum(0) - y) + rest * outer(cx, cy)
+
+    f = np.einsum("ijk,ikl,ijl->i", change, moments(turned, turned, ct, ct), change) + 2 * np.einsum("ijk,ikj->i", change, moments(turned, d, ct, cd)) + np.einsum("ijj->i", moments(d, d, cd, cd))
+    out = np.sqrt(np.maximum(f, 0) / rest)
+    # Squared distances from any line through the centre add up to this much at least.
+    spread = np.linalg.eigvalsh(moments(p, p, cp, cp))
+    reach = np.linalg.norm(p, axis=1).max() + np.linalg.norm(cp, axis=1)
+    thin, size = np.flatnonzero(spread[:, 0] + spread[:, 1] <= rest * 1.01e-6 * reach**2), max(1, 200_000 // len(p))
+    for i in range(0, len(thin), size):
+        rows = thin[i : i + size]
+        others = rows[:, None] != np.arange(len(p))
+        a = p - cp[rows, None]
+        far = np.where(others, np.linalg.norm(a, axis=2), -1.0)
         axis = a[np.arange(len(rows)), far.argmax(1)] / np.maximum(far.max(1), 1e-300)[:, None]
-        off = np.where(rest, np.linalg.norm(np.cross(a, axis[:, None]), axis=2), -1.0)
-        turned = np.einsum("ijk,imk->imj", r[rows], a)
-        weight = w * rest
-        k = (weight[..., None] * b * turned).sum((1, 2)) / (weight[..., None] * a * a).sum((1, 2)) if scale else np.ones(len(rows))
-        f = (((k[:, None, None] * turned - b) ** 2).sum(2) * rest).sum(1)
-        out[rows] = np.where(off.max(1) < 1e-3 * far.max(1), np.nan, np.sqrt(f / (len(p) - 1)))
+        off = np.where(others, np.linalg.norm(np.cross(a, axis[:, None]), axis=2), -1.0)
+        out[rows[off.max(1) < 1e-3 * far.max(1)]] = np.nan
     return out
 
 
@@ -142,15 +161,13 @@ def find_outliers(pairs: DataFrame, mad: float = 3.5, influence: float = 3.0, sc
         middle = upper(e)
         spread = upper(np.abs(e - middle))
         without = _rms_without(p, q, w, scale) if len(x) >= 4 else np.full(len(x), np.nan)
-        rows = []
-        for i in range(len(x)):
-            score = 0.0 if spread < 1e-12 else abs(e[i] - middle) / (1.4826 * spread)
-            left = rms if np.isnan(without[i]) else float(without[i])
-            by = rms / left if left > 1e-12 else 1.0
-            if score > mad or by > influence:
-                rows.append((x["group"][0], x["id"][i], float(e[i]), score, left, by, bool(score > mad), bool(by > influence)))
-        rows.sort(key=lambda r: (-r[5], -r[3]))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTLIERS.split(", ")])
+        score = np.zeros(len(x)) if spread < 1e-12 else np.abs(e - middle) / (1.4826 * spread)
+        left = np.where(np.isnan(without), rms, without)
+        by = np.where(left > 1e-12, rms / np.maximum(left, 1e-300), 1.0)
+        at = np.flatnonzero((score > mad) | (by > influence))
+        at = at[np.lexsort((-score[at], -by[at]))]
+        found = (x["group"].to_numpy()[at], x["id"].to_numpy()[at], e[at], score[at], left[at], by[at], score[at] > mad, by[at] > influence)
+        return pd.DataFrame(dict(zip([c.split()[0] for c in OUTLIERS.split(", ")], found, strict=True)))
 
     return pairs.groupBy("group").applyInPandas(run, OUTLIERS)
 
