@@ -6,6 +6,8 @@ in ``adjustment``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,6 +55,26 @@ def sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(below > 0, top / np.where(below > 0, below, 1), np.inf)
 
 
+def essentials(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``essential`` of many draws (draw, point, xy) at once."""
+
+    def moved(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = p.mean(1)
+        s = np.sqrt(2) / np.maximum(np.linalg.norm(p - c[:, None], axis=2).mean(1), 1e-12)
+        m = np.zeros((len(p), 3, 3))
+        m[:, 0, 0], m[:, 1, 1], m[:, 2, 2] = s, s, 1
+        m[:, :2, 2] = -s[:, None] * c
+        return np.concatenate([(p - c[:, None]) * s[:, None, None], np.ones((*p.shape[:2], 1))], 2), m
+
+    (ha, ta), (hb, tb) = moved(a), moved(b)
+    rows = np.einsum("mni,mnj->mnij", hb, ha).reshape(*a.shape[:2], 9)
+    values, vectors = np.linalg.eigh(rows.transpose(0, 2, 1) @ rows)
+    u, s, v = np.linalg.svd(tb.transpose(0, 2, 1) @ vectors[:, :, 0].reshape(-1, 3, 3) @ ta)
+    k = (s[:, 0] + s[:, 1]) / 2
+    e = u @ (np.stack([k, k, 0 * k], 1)[:, :, None] * v)
+    return e / np.maximum(np.linalg.norm(e, axis=(1, 2)), 1e-300)[:, None, None], np.maximum(values[:, 1], 0) / np.maximum(values[:, -1], 1e-300)
+
+
 def triangulate(poses: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray) -> np.ndarray | None:
     """One point of two views or more; poses are (R, t) of world to camera."""
     rows = []
@@ -63,44 +85,60 @@ def triangulate(poses: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray)
     return None if abs(h[3]) < 1e-12 else h[:3] / h[3]
 
 
+def triangulate_all(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``triangulate`` of points that two views (R | t) see at a and b; not numbers where there is none."""
+    rows = np.stack([p[:, k, None] * m[2] - m[k] for p, m in ((a, one), (b, two)) for k in (0, 1)], 1)
+    h = np.linalg.svd(rows)[2][:, -1]
+    known = np.abs(h[:, 3:]) >= 1e-12
+    return np.where(known, h[:, :3] / np.where(known, h[:, 3:], 1), np.nan)
+
+
 def decompose(e: np.ndarray, a: np.ndarray, b: np.ndarray, least: float = 0.6) -> tuple[np.ndarray, np.ndarray] | None:
     """The (R, t) of four that has the points in front of both cameras; none if too few are."""
     u, _, v = np.linalg.svd(e)
     u, v = u * np.sign(np.linalg.det(u)), v * np.sign(np.linalg.det(v))
     w = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1]], float)
-    eye, best = (np.eye(3), np.zeros(3)), (0, None)
+    best = (0, None)
     for r in (u @ w @ v, u @ w.T @ v):
         for t in (u[:, 2], -u[:, 2]):
-            front = 0
-            for p, q in zip(a, b, strict=True):
-                x = triangulate([eye, (r, t)], np.array([p, q]))
-                front += x is not None and x[2] > 0 and (r @ x + t)[2] > 0
+            x = triangulate_all(np.c_[np.eye(3), np.zeros(3)], np.c_[r, t], a, b)
+            front = int(((x[:, 2] > 0) & ((x @ r.T + t)[:, 2] > 0)).sum())
             if front > best[0]:
                 best = (front, (r, t))
     return best[1] if best[1] is not None and best[0] >= least * len(a) else None
 
 
-def ransac_essential(a: np.ndarray, b: np.ndarray, threshold: float, rounds: int = 512, seed: int = 0x9E3779B9) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """(E, inlier numbers, conditioning): best of seeded eight-point draws, fitted again to its inliers."""
-    n = len(a)
-    if n < 8:
-        return None
-    rng, best = XorShift(seed), np.zeros(0, int)
+@lru_cache(maxsize=256)
+def _draws(n: int, rounds: int, seed: int) -> np.ndarray:
+    """Eight of n numbers for each round; a round that doesn't come to eight in a hundred tries is left out."""
+    rng, out = XorShift(seed), []
     for _ in range(rounds):
         draw: dict[int, None] = {}
         for _ in range(100):
             draw[rng.next() % n] = None
             if len(draw) == 8:
                 break
-        if len(draw) < 8:
-            continue
-        i = np.array(list(draw))
-        e, good = essential(a[i], b[i])
-        if good < 1e-9:
-            continue
-        fit = np.flatnonzero(sampson(e, a, b) < threshold * threshold)
-        if len(fit) > len(best):
-            best = fit
+        if len(draw) == 8:
+            out.append(list(draw))
+    return np.array(out, int).reshape(-1, 8)
+
+
+def ransac_essential(a: np.ndarray, b: np.ndarray, threshold: float, rounds: int = 512, seed: int = 0x9E3779B9) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(E, inlier numbers, conditioning): best of seeded eight-point draws, fitted again to its inliers."""
+    n = len(a)
+    if n < 8:
+        return None
+    best, draws, size = np.zeros(0, int), _draws(n, rounds, seed), max(1, 200_000 // n)
+    for k in range(0, len(draws), size):
+        i = draws[k : k + size]
+        e, good = essentials(a[i], b[i])
+        ea, eb = homogeneous(a) @ e.transpose(0, 2, 1), homogeneous(b) @ e
+        top = (homogeneous(b) * ea).sum(2) ** 2
+        below = ea[..., 0] ** 2 + ea[..., 1] ** 2 + eb[..., 0] ** 2 + eb[..., 1] ** 2
+        fits = (below > 0) & (np.where(below > 0, top / np.where(below > 0, below, 1), np.inf) < threshold * threshold) & (good >= 1e-9)[:, None]
+        count = fits.sum(1)
+        if count.max() > len(best):
+            best = np.flatnonzero(fits[count.argmax()])
     if len(best) < 8:
         return None
     e, good = essential(a[best], b[best])

@@ -34,3 +34,20 @@ def test_many_pairs_take_no_table_of_all_by_all():
     p, q, w = pairs(60_000)  # squared, these are 3.6 billion differences
     got = registration._rms_without(p, q, w, True)
     assert got.argmin() == 3 and np.isfinite(got).all()
+
+
+def test_draws_at_once_are_those_of_one_at_a_time(monkeypatch):
+    world = np.random.default_rng(5).uniform(-1, 1, (60, 3)) + [0, 0, 5]
+    moved = world @ sfm.exp_so3(np.array([0.0, 0.15, 0.0])).T + [-0.5, 0.05, 0.1]
+    a, b = world[:, :2] / world[:, 2:], moved[:, :2] / moved[:, 2:]
+    b[::7] += 0.05
+    draws = sfm._draws(60, 64, 0x9E3779B9)
+    e, good = sfm.essentials(a[draws], b[draws])
+    for k, i in enumerate(draws):
+        one, fit = sfm.essential(a[i], b[i])
+        assert np.isclose(good[k], fit) and min(np.abs(e[k] - one).max(), np.abs(e[k] + one).max()) < 1e-6
+    called = []
+    kept = sfm.essential
+    monkeypatch.setattr(sfm, "essential", lambda *x: called.append(1) or kept(*x))
+    fit = sfm.ransac_essential(a, b, 0.002)[1]
+    assert set(fit) >= set(np.flatnonzero(np.arange(60) % 7)) and len(called) == 1
