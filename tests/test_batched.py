@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from plumbline.operators import registration, sfm
+from plumbline.operators import images, registration, sfm
 
 
 def pairs(n, seed=0):
@@ -51,3 +51,10 @@ def test_draws_at_once_are_those_of_one_at_a_time(monkeypatch):
     monkeypatch.setattr(sfm, "essential", lambda *x: called.append(1) or kept(*x))
     fit = sfm.ransac_essential(a, b, 0.002)[1]
     assert set(fit) >= set(np.flatnonzero(np.arange(60) % 7)) and len(called) == 1
+
+
+def test_a_picture_is_padded_once_for_all_shifts():
+    a = np.random.default_rng(2).integers(0, 255, (9, 7))
+    at = images._around(a, 3)
+    for dx, dy in images.CIRCLE:
+        assert (at(dx, dy) == a[np.clip(np.arange(9) + dy, 0, 8)][:, np.clip(np.arange(7) + dx, 0, 6)]).all()

@@ -76,3 +76,9 @@ def test_spacing_of_crowded_places_copies_and_points_at_no_place(spark):
     got = {r.id: r.spacing for r in matching.grid_neighbours(spark.createDataFrame(rows, "id long, x double, y double, z double"), 0.1).collect()}
     assert [got.pop(k) for k, *_ in odd] == [0.1] * 3
     assert got.keys() == want.keys() and all(np.isclose(got[i], d) for i, d in want.items())
+
+
+def test_rows_that_take_long_are_dealt_out_whatever_files_there_are(spark):
+    for name in ("image_features",):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan, name
