@@ -82,8 +82,12 @@ def pixel_to_ray(x: Column, y: Column, camera: Column) -> Column:
         return t - value / F.when(F.abs(slope) > 1e-12, slope).otherwise(1.0)
 
     theta = F.aggregate(F.sequence(F.lit(1), F.lit(20)), rd, newton)
-    k_side = F.when(rd > 1e-12, F.sin(theta) / F.when(rd > 1e-12, rd)).otherwise(0.0)
-    fisheye = V.vec(mx * k_side, my * k_side, F.cos(theta))
+
+    def bent(t: Column) -> Column:
+        side = F.when(rd > 1e-12, F.sin(t) / F.when(rd > 1e-12, rd)).otherwise(0.0)
+        return V.vec(mx * side, my * side, F.cos(t))
+
+    fisheye = V.once(theta, bent)
     lon = (x / camera["width"] - 0.5) * F.coalesce(camera["hfov"], F.lit(2 * math.pi))
     lat = (y / camera["height"] - 0.5) * F.coalesce(camera["vfov"], F.lit(math.pi))
     equirect = V.vec(F.sin(lon) * F.cos(lat), F.sin(lat), F.cos(lon) * F.cos(lat))

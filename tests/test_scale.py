@@ -79,6 +79,6 @@ def test_spacing_of_crowded_places_copies_and_points_at_no_place(spark):
 
 
 def test_rows_that_take_long_are_dealt_out_whatever_files_there_are(spark):
-    for name in ("image_features",):
+    for name in ("image_features", "camera_rays"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition" in plan, name
