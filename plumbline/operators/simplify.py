@@ -20,6 +20,12 @@ from .mesh import with_corners
 OUT = "tile string, a long, b long, c long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double"
 
 
+def _cross(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``np.cross`` of two single vectors, without what it takes to be ready for arrays of them."""
+    (a, b, c), (d, e, f) = u.tolist(), v.tolist()
+    return np.array([b * f - c * e, c * d - a * f, a * e - b * d])
+
+
 def decimate(points: dict[int, np.ndarray], faces: list[tuple[int, int, int]], keep: int, locked: set[int]) -> tuple[dict[int, np.ndarray], list[tuple[int, int, int]]]:
     """Collapses the cheapest edges until ``keep`` faces are left or none may go.
 
@@ -32,7 +38,7 @@ def decimate(points: dict[int, np.ndarray], faces: list[tuple[int, int, int]], k
 
     def normal(f: tuple, moved: int | None = None, to: np.ndarray | None = None) -> np.ndarray:
         p = [to if v == moved else points[v] for v in f]
-        return np.cross(p[1] - p[0], p[2] - p[0])
+        return _cross(p[1] - p[0], p[2] - p[0])
 
     for k, f in alive.items():
         n = normal(f)
@@ -53,7 +59,7 @@ def decimate(points: dict[int, np.ndarray], faces: list[tuple[int, int, int]], k
     for (a, b), ks in sides.items():
         if len(ks) == 1:
             along = points[b] - points[a]
-            up = np.cross(along, normal(alive[ks[0]]))
+            up = _cross(along, normal(alive[ks[0]]))
             if (size := np.linalg.norm(up)) > 0:
                 plane = np.append(up / size, -(up / size) @ points[a])
                 for v in (a, b):
@@ -72,7 +78,8 @@ def decimate(points: dict[int, np.ndarray], faces: list[tuple[int, int, int]], k
             spots = [points[a], points[b], (points[a] + points[b]) / 2]
             if abs(np.linalg.det(m[:3, :3])) > 1e-12:
                 spots.insert(0, np.linalg.solve(m[:3, :3], -m[:3, 3]))
-        costs = [float(np.append(s, 1) @ m @ np.append(s, 1)) for s in spots]
+        ends = [np.array([*s.tolist(), 1.0]) for s in spots]
+        costs = [float(h @ m @ h) for h in ends]
         i = int(np.argmin(costs))
         heapq.heappush(heap, (costs[i], a, b, stamp[a], stamp[b], tuple(spots[i])))
 

@@ -58,3 +58,10 @@ def test_a_picture_is_padded_once_for_all_shifts():
     at = images._around(a, 3)
     for dx, dy in images.CIRCLE:
         assert (at(dx, dy) == a[np.clip(np.arange(9) + dy, 0, 8)][:, np.clip(np.arange(7) + dx, 0, 6)]).all()
+
+
+def test_a_cross_product_of_two_vectors_is_that_of_arrays():
+    from plumbline.operators import simplify
+
+    for u, v in np.random.default_rng(7).normal(size=(50, 2, 3)):
+        assert (simplify._cross(u, v) == np.cross(u, v)).all()
