@@ -104,3 +104,30 @@ def test_odd_problems(spark):
     assert history[0] == 0 and moved.count() == 6
     with pytest.raises(ValueError, match="cameras"):
         adjustment.adjust(dict.fromkeys(range(adjustment.MOST_CAMERAS + 1)), set(), points, obs)
+
+
+def test_groups_of_cameras_without_common_points_are_each_held(spark, tmp_path):
+    """supplier_cameras over two sets of suppliers that ship no part in common equals its SQL."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from plumbline.plans import catalog
+
+    keys = {"supplier": {"s_suppkey": 1_000}, "part": {"p_partkey": 10_000}, "lineitem": {"l_suppkey": 1_000, "l_partkey": 10_000}}
+    con = duckdb.connect()
+    for name, columns in keys.items():
+        one = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select(*columns)
+        other = one.select(*((F.col(c) + by).alias(c) for c, by in columns.items()))
+        both = one.unionByName(other)
+        if name == "lineitem":
+            both = both.unionByName(spark.createDataFrame([(None, 1)], both.schema))
+        both.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.queries()["supplier_cameras"](spark, str(tmp_path)).collect()))
+    want = sorted(con.execute(catalog.oracle_sql()["supplier_cameras"]).fetchall())
+    assert len(want) > 300 and got == want
+
+
+def test_anchors(spark):
+    obs = spark.createDataFrame([(5, 1), (3, 1), (4, 2), (3, 2), (9, 7), (8, 8), (7, 8), (None, 1), (2, None)], "cam long, pt long")
+    assert adjustment.anchors(obs) == {3, 4, 7, 8, 9}
