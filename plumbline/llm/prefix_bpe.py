@@ -45,7 +45,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec, by_bytes
+from .bpe import Codec, _room, by_bytes
 from .common import release, text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,10 @@ def _ranges(points: list[int]) -> str:
     return "".join(f"{chr(points[a])}-{chr(points[b])}" for a, b in zip(begins, ends, strict=True)) if points else ""
 
 
+#: The library's pattern over ASCII texts, for the quicker ``re``; its own white space would take in \\x1C to \\x1F.
+_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
+
 class Words:
     """The library's word pattern.
 
@@ -82,15 +86,19 @@ class Words:
             own = (x for x in regex.findall(rf"\p{{{kind}}}", every) if unicodedata.category(x) == "Cn")
             late[kind] = _ranges([ord(x) for x in own if asked.encode_ordinary(x + c)[-1] < 256])
         self.usual, self.late = regex.compile(pattern), None
+        self.plain = re.compile(_ASCII) if pattern == public_tokenizers.PATTERN else None
         if any(late.values()):
-            self.late = re.compile("[" + "".join(late.values()) + "]")  # faster than regex here
+            self.late = np.zeros(0x110000, bool)
+            self.late[[ord(x) for x in regex.findall("[" + "".join(late.values()) + "]", every)]] = True
             for kind, own in late.items():
                 if own:
                     pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{own}]]")
             self.strict = regex.compile(pattern, regex.V1)
 
     def _of(self, text: str):
-        return self.strict if self.late and not text.isascii() and self.late.search(text) else self.usual
+        if text.isascii():
+            return self.plain or self.usual
+        return self.strict if self.late is not None and self.late[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any() else self.usual
 
     def findall(self, text: str) -> list[str]:
         return self._of(text).findall(text)
@@ -99,6 +107,29 @@ class Words:
         return self._of(text).finditer(text, at)
 
 
+def shared_starts(words: list[bytes], reach: int = 32) -> list[int]:
+    """How many bytes each word begins with like the one before it, ``reach`` at most."""
+    if not words:
+        return []
+    size = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), reach)
+    table = np.array([w[:reach] for w in words], f"S{reach}").view(np.uint8).reshape(-1, reach)
+    differ = np.c_[table[1:] != table[:-1], np.ones(len(words) - 1, bool)]
+    return [0, *np.minimum(differ.argmax(1), np.minimum(size[1:], size[:-1])).tolist()]
+
+
+class Numbers(dict):
+    """Words by number; one that is new takes the next number and waits in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = k = len(self)
+        return k
+
+
 class PrefixCodec(Codec):
     """A byte-level vocabulary of ranks; the batches and the word cache are those of ``Codec``."""
 
@@ -111,9 +142,11 @@ class PrefixCodec(Codec):
         self.length = np.zeros(1 + max(self.piece), np.int64)
         for i, b in self.piece.items():
             self.length[i] = len(b)
+        self.size = self.length.tolist()
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(self.piece[i] for i in sorted(self.piece)), np.uint8)
-        self.known: dict[str, int] = {}
+        self.pair = {x << 32 | y: t for b, t in self.token.items() for k in range(1, len(b)) if (x := self.token.get(b[:k])) is not None and (y := self.token.get(b[k:])) is not None}
+        self.known: Numbers = Numbers()
         self._reset()
         self._parts()
         self._trie()
@@ -154,7 +187,7 @@ class PrefixCodec(Codec):
         while True:
             up_x = right[i + 1] if i + 1 < len(right) else limit
             up_y = left[j + 1] if j + 1 < len(left) else limit
-            across = self.token.get(self.piece[right[i]] + self.piece[left[j]], limit)
+            across = self.pair.get(right[i] << 32 | left[j], limit)
             if across < up_x and across <= up_y:
                 return False
             if up_x == limit and up_y == limit:
@@ -195,21 +228,31 @@ class PrefixCodec(Codec):
                 return there
             node = fall[node]
 
-    def extend(self, word: bytes, last: list[int], upto: int | None = None) -> None:
-        """Grows ``last``, the valid last tokens of the word's first prefixes, to the first ``upto`` bytes, or all."""
+    def extend(self, word: bytes, last: list[int], upto: int | None = None, nodes: list[int] | None = None) -> None:
+        """Grows ``last``, the valid last tokens of the word's first prefixes, to the first ``upto`` bytes, or all.
+
+        nodes: the automaton's nodes at the same prefixes, which grow along; without
+        them the bytes that the longest token reaches back are read again.
+        """
         ends, fit, following, jump, get, put = self.ends, self.fit, self._next, self.jump.get, self.fit.get, last.append
         if len(fit) > self.params.pairs:
             fit.clear()
         if len(self.jump) > self.params.pairs:
             self.jump.clear()
         begin, node, at = len(last), 0, len(last)
-        for c in word[max(0, begin - self.longest) : begin]:
-            node = following(node, c)
+        if nodes is None:
+            nodes = []
+            for c in word[max(0, begin - self.longest) : begin]:
+                node = following(node, c)
+        elif nodes:
+            node = nodes[-1]
+        visit = nodes.append
         for c in word[begin:upto]:
             there = jump(node << 8 | c)
             if there is None:
                 there = self.jump[node << 8 | c] = following(node, c)
             node = there
+            visit(node)
             at += 1
             for t, n in ends[node]:
                 if n == at:
@@ -226,20 +269,54 @@ class PrefixCodec(Codec):
         """The ids of a word from its table."""
         if (whole := self.token.get(word)) is not None:
             return [whole]
-        out, at = [], len(last)
+        out, at, size = [], len(last), self.size
         while at:
-            out.append(last[at - 1])
-            at -= len(self.piece[last[at - 1]])
+            t = last[at - 1]
+            out.append(t)
+            at -= size[t]
         return out[::-1]
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word.  Words go in their order as bytes, and each grows the table of the one before from where they part."""
+        whole = self.token.get
+        out = [[t] if (t := whole(w)) is not None else [] for w in words]
+        order = sorted((k for k, x in enumerate(out) if not x), key=words.__getitem__)
+        own = [words[k] for k in order]
+        last: list[int] = []
+        nodes: list[int] = []
+        for k, w, same in zip(order, own, shared_starts(own), strict=True):
+            del last[same:], nodes[same:]
+            self.extend(w, last, None, nodes)
+            out[k] = self.back(w, last)
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Appends the ids of the words that were numbered last."""
+        got = self.merge([w.encode() for w in words])
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        at, used, more = len(self.known) - len(words), self.used, int(sizes.sum())
+        self.count, self.offset = (_room(x, at, at + len(words)) for x in (self.count, self.offset))
+        self.ids = _room(self.ids, used, used + more)
+        self.used = used + more
+        self.count[at : at + len(words)] = sizes
+        self.offset[at : at + len(words)] = used + np.cumsum(sizes) - sizes
+        self.ids[used : self.used] = np.fromiter(chain.from_iterable(got), np.int32, more)
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text; there are no special strings."""
+        if len(self.known) > self.params.cache:
+            self._reset()
+        self.known.new, number, split = [], self.known.__getitem__, []
+        for t in texts:
+            ws = self.words.findall(t) if t else []
+            split.append(np.fromiter(map(number, ws), np.int64, len(ws)))
+        if self.known.new:
+            self._learn(self.known.new)
         out = []
-        for w in words:
-            if (whole := self.token.get(w)) is not None:
-                out.append(np.array([whole], np.int32))
-            else:
-                self.extend(w, last := [])
-                out.append(np.array(self.back(w, last), np.int32))
+        for w in split:
+            n = self.count[w]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.arange(ends[-1] if len(w) else 0) + np.repeat(self.offset[w] - ends + n, n)])
         return out
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

@@ -105,3 +105,33 @@ def test_edits_of_a_table(spark, library):
     got = {r.doc_id: (r.text, r.ids) for r in prefix_bpe.edit(prefix_bpe.encode(df)).collect()}
     want = {1: "Hello world", 2: "one 2 three", 3: "", 4: "it's", 5: "a"}
     assert got == {i: (t, library.encode_ordinary(t)) for i, t in want.items()}
+
+
+def test_words_share_the_tables_of_their_common_starts():
+    """Words with long common starts are not walked from their first bytes anew, and get the same ids as alone."""
+    codec = prefix_bpe.PrefixCodec(public_tokenizers.path(prefix_bpe.VOCABULARY))
+    words = [b" unquestionably" + bytes([97 + i, 97 + j]) * (1 + j) for i in range(26) for j in range(0, 26, 5)]
+    walked, extend = [], codec.extend
+
+    def counting(word, last, *more):
+        walked.append(len(word) - len(last))
+        extend(word, last, *more)
+
+    codec.extend = counting
+    got = codec.merge(words)
+    shared = sum(walked)
+    alone = [codec.merge([w])[0] for w in words]
+    assert [list(x) for x in got] == [list(x) for x in alone]
+    assert shared < 0.7 * sum(map(len, words))
+
+
+def test_plain_words_are_those_of_the_library_pattern():
+    import regex
+
+    rng, usual = random.Random(3), regex.compile(public_tokenizers.PATTERN)
+    words = prefix_bpe.Words()
+    some = [chr(c) for c in range(128)] + list("  \n\t''''stvmldre") * 4
+    for _ in range(3000):
+        text = "".join(rng.choices(some, k=rng.randrange(40)))
+        assert words.findall(text) == usual.findall(text)
+        assert [m.span() for m in words.finditer(text, len(text) // 2)] == [m.span() for m in usual.finditer(text, len(text) // 2)]
