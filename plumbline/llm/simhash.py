@@ -424,8 +424,25 @@ def _row_key():
     return F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
 
 
-def _groups(docs: DataFrame, params: Similar) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row, and for every node ``top``: (no_id, doc_id, key) of the row that stands for its group.
+def near_links(nodes: DataFrame, params: Params = Params()) -> DataFrame:
+    """(u, v): candidate links of nodes(node, fp) whose fingerprints are equal or within three bits.
+
+    The range join of ``links`` over the grid of segment popcounts goes by distinct
+    fingerprints; nodes that share one hang on the least of them.
+    """
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = nodes.join(first, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("u"), F.col("node").alias("v"))
+    near = links(first.select("fp"), params).distinct().join(first.toDF("u", "fu"), "u").join(first.toDF("v", "fv"), "v")
+    return equal.unionByName(near.select(F.col("fu").alias("u"), F.col("fv").alias("v")))
+
+
+def _groups(docs: DataFrame, params: Similar, fine: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and for every node ``top``: (no_id, doc_id, key, fp) of the row that stands for its group.
+
+    Candidates come from the popcount grid of the 64-bit fingerprints
+    (``near_links``); links at a similarity that leaves more than three bits come
+    from longer signatures as well (``similar_links``).  The texts of each
+    candidate decide.
 
     Texts with the same set of shingles make one node, named by a 64-bit hash of
     the set; texts that share no more than their signature meet in all bands and
@@ -433,17 +450,18 @@ def _groups(docs: DataFrame, params: Similar) -> tuple[DataFrame, DataFrame]:
     """
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("sig binary, node long")
+    @F.pandas_udf("sig binary, node long, fp long")
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             hashes = [shingle_hashes(t, params) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in hashes], np.uint64)
-            yield pd.DataFrame({"sig": [signature(h, params) for h in hashes], "node": nodes.view(np.int64)})
+            fps = np.array([fingerprint(t, fine) for t in texts], np.uint64)
+            yield pd.DataFrame({"sig": [signature(h, params) for h in hashes], "node": nodes.view(np.int64), "fp": fps.view(np.int64)})
         release()
 
     made = docs.select("doc_id", _row_key().alias("key"), make(F.col("text")).alias("made"))
-    made = checkpointed(made.select("doc_id", "key", "made.sig", "made.node"))
-    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")
+    made = checkpointed(made.select("doc_id", "key", "made.sig", "made.node", "made.fp"))
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "fp")
     nodes = checkpointed(made.groupBy("node").agg(F.min(row).alias("least"), F.min("sig").alias("sig")))
 
     @F.pandas_udf("double")
@@ -451,7 +469,9 @@ def _groups(docs: DataFrame, params: Similar) -> tuple[DataFrame, DataFrame]:
         return pd.Series([jaccard(x, y, params.words) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     keys = nodes.select("node", "least.key")
-    pairs = checkpointed(similar_links(nodes, params).join(keys.toDF("u", "ku"), "u").join(keys.toDF("v", "kv"), "v"))
+    found = near_links(nodes.select("node", "least.fp"), fine).unionByName(similar_links(nodes, params))
+    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = checkpointed(found.join(keys.toDF("u", "ku"), "u").join(keys.toDF("v", "kv"), "v"))
     used = pairs.select(F.explode(F.array("ku", "kv")).alias("key")).distinct()
     texts = docs.select(_row_key().alias("key"), "text").join(used, "key", "left_semi").dropDuplicates(["key"])
     both = pairs.join(texts.toDF("ku", "tu"), "ku").join(texts.toDF("kv", "tv"), "kv")

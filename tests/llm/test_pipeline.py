@@ -130,3 +130,24 @@ def test_empty_tables_go_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, none).count() == 0
     bare = write(spark, tmp_path / "b", read("documents").limit(50), read("labels").limit(0), read("benchmark").limit(0))
     assert 0 < corpus_pipeline.run(spark, bare).count() <= 50
+
+
+def test_the_popcount_grid_finds_near_copies(spark, monkeypatch):
+    """Without the longer signatures, the stage still drops copies whose fingerprints are equal or within three bits, and nothing unlike."""
+    rng = np.random.default_rng(11)
+    rows, near, equal = [], 0, 0
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 1500)]
+        other = [*words[: 20 * i], "changed", *words[20 * i + 1 :]]
+        a, b = " ".join(words), " ".join(other)
+        apart = (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+        if apart <= simhash.MAX_DISTANCE:
+            near, equal = near + (apart > 0), equal + (apart == 0)
+            rows += [(2 * i, a), (2 * i + 1, b)]
+    assert near > 20 and equal > 2
+    rows += [(200, "one two three four five a"), (201, "one two three b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = lambda nodes, params: nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    monkeypatch.setattr(simhash, "similar_links", none)
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted({i for i, _ in rows if i % 2 == 0} | {201})
