@@ -108,6 +108,27 @@ def shielded(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataFr
     return docs.toDF(*names), lambda df, also=(): df.select(*[F.col(n).alias(c) for n, c in zip(names, own, strict=True)], *also)
 
 
+#: Bits of the bitmap that ``sifted`` broadcasts: 8 MB in pieces of 4 KB.
+SIFT_BITS = 1 << 26
+
+
+def sifted(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``sifted``: false only where ``key``, a hash of 64 bits, is none of ``keys``; nothing is shuffled but ``keys``.
+
+    The bitmap has a bit for each value of the lowest 26 bits and is the same
+    size for any input.  k keys make a share of 1 - exp(-k / 2**26) of all other
+    rows pass as well (4 % for 2.6 million), so an exact join has to follow.
+    """
+    slot = F.pmod(F.col(key), F.lit(SIFT_BITS))
+    places = keys.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_place")).repartition("_bucket")
+    bits = places.groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    hit = F.get(F.array(*(F.getbit(byte, F.lit(i)) for i in range(8))), (place % 8).cast("int")) == 1
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_bucket", "left")
+    return joined.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("sifted"))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, parallelism, release, shielded, text_batches
+from .common import LOWER, checkpointed, parallelism, release, shielded, sifted, text_batches
 from .components import components
 
 _ODD = np.uint64(0x5555555555555555)
@@ -348,7 +348,7 @@ def similar_links(nodes: DataFrame, params: Similar = Similar()) -> DataFrame:
     """
     n = parallelism(nodes.sparkSession)
     schema = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("key", pa.binary())])
-    size, found = params.key_bits // 8, "u long, v long"
+    size = params.key_bits // 8
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, weights = params.places(), np.left_shift(1, np.arange(params.band_bits))
@@ -388,14 +388,17 @@ def similar_links(nodes: DataFrame, params: Similar = Similar()) -> DataFrame:
         parts.clear()
         release()
 
-    rows = nodes.select("node", "sig").mapInArrow(entries, "g long, node long, key binary").repartition(n, "g")
+    rows = nodes.select("node", "sig").mapInArrow(entries, "g long, node long, key binary")
     full = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > params.chunk)
-    cold = rows.join(full, "g", "left_anti").select("g", "node", "key").sortWithinPartitions("g", "node").mapInArrow(trees, found)
-    hot = rows.join(full, "g").withColumn("parts", F.ceil(F.col("size") / params.chunk)).withColumn("mine", F.pmod(F.xxhash64("node"), "parts"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    hot = hot.select(F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node", "key")
-    hot = hot.repartition(n, "g").sortWithinPartitions("g", "node").mapInArrow(trees, found)
-    pairs = cold.unionByName(hot).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # There are ``bands`` times 2 ** ``band_bits`` cells, so this table has 786,432 rows at most
+    # and is broadcast: entries then know their chunks before they are shuffled, once for all.
+    full = checkpointed(full.select("g", F.ceil(F.col("size") / params.chunk).alias("parts")))
+    rows = rows.join(F.broadcast(full), "g", "left").withColumn("mine", F.pmod(F.xxhash64("node"), "parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    pair = F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other"))
+    rows = rows.select(F.when(F.isnull("parts"), F.col("g")).otherwise(pair).alias("g"), "node", "key")
+    found = rows.repartition(n, "g").sortWithinPartitions("g", "node").mapInArrow(trees, "u long, v long")
+    pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     both = pairs.join(nodes.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(nodes.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
 
     @F.pandas_udf("int")
@@ -437,7 +440,7 @@ def near_links(nodes: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def _groups(docs: DataFrame, params: Similar, fine: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row, and for every node ``top``: (no_id, doc_id, key, fp) of the row that stands for its group.
+    """(doc_id, key, node) of every row, and for every node ``top``: (no_id, doc_id, key, fp) of the row that stands for its group, and ``alone``: whether that is the node's only row.
 
     Candidates come from the popcount grid of the 64-bit fingerprints
     (``near_links``); links at a similarity that leaves more than three bits come
@@ -462,7 +465,7 @@ def _groups(docs: DataFrame, params: Similar, fine: Params = Params()) -> tuple[
     made = docs.select("doc_id", _row_key().alias("key"), make(F.col("text")).alias("made"))
     made = checkpointed(made.select("doc_id", "key", "made.sig", "made.node", "made.fp"))
     row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key", "fp")
-    nodes = checkpointed(made.groupBy("node").agg(F.min(row).alias("least"), F.min("sig").alias("sig")))
+    nodes = checkpointed(made.groupBy("node").agg(F.min(row).alias("least"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("rows")))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -473,14 +476,16 @@ def _groups(docs: DataFrame, params: Similar, fine: Params = Params()) -> tuple[
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = checkpointed(found.join(keys.toDF("u", "ku"), "u").join(keys.toDF("v", "kv"), "v"))
     used = pairs.select(F.explode(F.array("ku", "kv")).alias("key")).distinct()
-    texts = docs.select(_row_key().alias("key"), "text").join(used, "key", "left_semi").dropDuplicates(["key"])
+    texts = sifted(docs.select(_row_key().alias("key"), "text"), used, "key").where("sifted").drop("sifted")
+    texts = texts.join(used, "key", "left_semi").dropDuplicates(["key"])
     both = pairs.join(texts.toDF("ku", "tu"), "ku").join(texts.toDF("kv", "tv"), "kv")
     roots = components(both.where(alike("tu", "tv") >= params.similarity).select("u", "v"))
     linked = roots.join(nodes.select("node", "least"), "node")
     top = linked.groupBy("root").agg(F.min("least").alias("top"))
     moved = linked.join(top, "root").select("node", "top")
-    by_node = nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("top", "least").alias("top"))
-    return made.select("doc_id", "node"), checkpointed(by_node)
+    by_node = nodes.select("node", "least", "rows").join(moved, "node", "left").withColumn("top", F.coalesce("top", "least"))
+    alone = (F.col("rows") == 1) & (F.col("top.key") == F.col("least.key"))
+    return made.select("doc_id", "key", "node"), checkpointed(by_node.select("node", "top", alone.alias("alone")))
 
 
 def similar_documents(docs: DataFrame, params: Similar = Similar()) -> DataFrame:
@@ -497,9 +502,12 @@ def drop_near_duplicates(docs: DataFrame, params: Similar = Similar()) -> DataFr
     """One row of each group of similar documents, that with its smallest doc_id; all columns stay.
 
     Null ids come last, and rows of one doc_id in the order of a hash of their
-    text.
+    text.  Rows that stay for sure are not shuffled.
     """
     own, back = shielded(docs, ("doc_id", "text"))
-    keep = _groups(own, params)[1].select("top.key").distinct()
-    first = own.withColumn("key", _row_key()).join(keep, "key", "left_semi")
-    return back(first.dropDuplicates(["key"]))
+    made, by_node = _groups(own, params)
+    keep = by_node.select("top.key").distinct()
+    doubtful = made.join(by_node.where(~F.col("alone")), "node").select("key").distinct()
+    rows = sifted(own.withColumn("key", _row_key()), doubtful, "key")
+    first = rows.where("sifted").join(keep, "key", "left_semi").dropDuplicates(["key"])
+    return back(rows.where(~F.col("sifted")).unionByName(first))

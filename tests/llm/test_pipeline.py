@@ -151,3 +151,44 @@ def test_the_popcount_grid_finds_near_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "similar_links", none)
     kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
     assert kept == sorted({i for i, _ in rows if i % 2 == 0} | {201})
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_rows_that_stay_for_sure_are_not_shuffled(spark, tmp_path):
+    """Texts without a like stay where they are, and the entries of a text are shuffled once."""
+    rng = np.random.default_rng(5)
+    long = [(i, " ".join(map(str, rng.integers(0, 10**9, 5000)))) for i in range(100)]
+    long += [(1000 + i, t) for i, t in long[:5]] + [(2000 + i, "another " + t) for i, t in long[5:10]]
+    short = [(i, " ".join(map(str, rng.integers(0, 10**9, 40)))) for i in range(2000)]
+    for name, rows, limit in (("long", long, 0.5 * sum(len(t) for _, t in long)), ("short", short, 4700 * len(short))):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        kept = []
+        moved = shuffled(spark, lambda docs=docs, kept=kept: kept.extend(simhash.drop_near_duplicates(docs).collect()))
+        assert sorted(map(tuple, kept)) == [r for r in rows if r[0] < 1000 or name == "short"]
+        assert 0 < moved < limit, (name, moved, limit)
+
+
+def test_sifted_lets_no_key_go(spark):
+    from plumbline.llm.common import SIFT_BITS, sifted
+
+    edges = [-(2**63), -1, 0, 1, 32_767, 32_768, 32_769, SIFT_BITS - 1, 2**63 - 1]
+    keys = spark.createDataFrame([(k,) for k in [*edges, *range(5, 70_000, 7)]], "key long")
+    rows = spark.range(-10, 70_010).select(F.col("id").alias("key")).unionByName(keys)
+    own = {r.key for r in keys.collect()}
+    found = {r.key for r in sifted(rows, keys, "key").where("sifted").collect()}
+    assert own <= found and found - own <= {k % SIFT_BITS - SIFT_BITS for k in own} | {k % SIFT_BITS for k in own}
+    assert sifted(rows, keys.limit(0), "key").where("sifted").count() == 0
