@@ -131,3 +131,74 @@ def test_groups_of_cameras_without_common_points_are_each_held(spark, tmp_path):
 def test_anchors(spark):
     obs = spark.createDataFrame([(5, 1), (3, 1), (4, 2), (3, 2), (9, 7), (8, 8), (7, 8), (None, 1), (2, None)], "cam long, pt long")
     assert adjustment.anchors(obs) == {3, 4, 7, 8, 9}
+
+
+def test_groups_that_hang_together_by_one_key_are_each_held(spark, tmp_path):
+    """supplier_cameras over copies that share one supplier, which lineitem alone names, and one part, which has two rows, equals its SQL."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from plumbline.plans import catalog
+
+    keys = {"supplier": {"s_suppkey": 9}, "part": {"p_partkey": 199}, "lineitem": {"l_suppkey": 9, "l_partkey": 199}}
+    con = duckdb.connect()
+    for name, columns in keys.items():
+        one = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select(*columns)
+        both = one.unionByName(one.select(*((F.col(c) + by).alias(c) for c, by in columns.items())))
+        if name == "supplier":
+            both = both.where("s_suppkey <> 9")
+        both.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.queries()["supplier_cameras"](spark, str(tmp_path)).collect()))
+    want = sorted(con.execute(catalog.oracle_sql()["supplier_cameras"]).fetchall())
+    assert len(want) == 400 and got == want
+
+
+def packed(spark, pairs):
+    """Packs of (camera, point) pairs without places, and the number of cameras."""
+    points = spark.createDataFrame([(p, 0.0, 0.0, 0.0) for p in sorted({p for _, p in pairs})], "pt long, x double, y double, z double")
+    obs = spark.createDataFrame([(c, p, 0.0, 0.0, 1.0) for c, p in pairs], "cam long, pt long, x double, y double, weight double")
+    cams = sorted({c for c, _ in pairs})
+    return adjustment.pack(points, obs, cams).cache(), len(cams)
+
+
+def test_held_cameras(spark, monkeypatch):
+    monkeypatch.setattr(adjustment, "PACK", 300)
+    rng = np.random.default_rng(5)
+    one = [(c, p) for p in range(300) for c in rng.choice(40, 8, replace=False).tolist()]
+    packs, n = packed(spark, one)
+    assert np.flatnonzero(adjustment.held(packs, n)).tolist() == [0, 1]
+    # A second group that shares camera 39 and point 299; cameras 79 and 80 share too few points.
+    packs, n = packed(spark, [*one, *((c + 39, p + 299) for c, p in one), (79, 3), (79, 4), (79, 5), (80, 3)])
+    got = np.flatnonzero(adjustment.held(packs, n)).tolist()
+    assert {0, 1, 79, 80} <= set(got) and sum(39 < c < 79 for c in got) >= 2 and len(got) <= 9
+    packs, n = packed(spark, [(0, 1)])
+    assert adjustment.held(packs, n).tolist() == [True]
+
+
+def test_many_cameras_with_two_fixed_come_to_their_places(spark):
+    """The turn of all cameras about the fixed ones is told by few observations: damping must not keep it."""
+    rng, world, cams, rows = made(300, 1500, 8, 7)
+    start = {k: turned(*c, np.r_[np.full(3, 0.004), 0, 0, 0] * (k > 1)) for k, c in cams.items()}
+    points, obs = tables(spark, world, rows)
+    _, moved, history = adjustment.adjust(start, {0, 1}, points, obs, rounds=3)
+    off = [np.linalg.norm(np.array(r[1:]) - world[r.pt]) for r in moved.collect()]
+    assert history[-1] < 1e-6 and max(off) < 1e-3
+
+
+def test_sums_in_blocks_are_those_collected_at_once(spark, monkeypatch):
+    monkeypatch.setattr(adjustment, "PACK", 30)
+    _, world, cams, rows = made(30, 200, 3, 8)
+    points, obs = tables(spark, world + 0.01, rows)
+    number, r, t, place = adjustment._camera_index(cams, {0, 1})
+    packs = adjustment.pack(points, obs, number).cache()
+    want = adjustment.Problem(spark, place, 0.01).system(packs, r, t, 1e-3)
+    monkeypatch.setattr(adjustment, "BLOCK", 7)
+    monkeypatch.setattr(adjustment, "AT_ONCE", 0)
+    got = adjustment.Problem(spark, place, 0.01).system(packs, r, t, 1e-3)
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(got, want, strict=True))
+
+
+def test_turns_are_exp_so3():
+    w = np.array([[0.1, -0.2, 0.3], [0.0, 0.0, 0.0], [1e-14, 0.0, 0.0], [0.0, 2.0, 1.0]])
+    assert np.allclose(adjustment.turns(w), [sfm.exp_so3(x) for x in w], atol=1e-15)
