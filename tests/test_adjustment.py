@@ -202,3 +202,24 @@ def test_sums_in_blocks_are_those_collected_at_once(spark, monkeypatch):
 def test_turns_are_exp_so3():
     w = np.array([[0.1, -0.2, 0.3], [0.0, 0.0, 0.0], [1e-14, 0.0, 0.0], [0.0, 2.0, 1.0]])
     assert np.allclose(adjustment.turns(w), [sfm.exp_so3(x) for x in w], atol=1e-15)
+
+
+def test_more_than_a_hundred_thousand_suppliers(spark, tmp_path):
+    """supplier_cameras equals its SQL where most of 100,210 suppliers ship a part or none."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from plumbline.plans import catalog
+
+    tables = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").select(*c) for n, c in {"supplier": ["s_suppkey"], "part": ["p_partkey"], "lineitem": ["l_suppkey", "l_partkey"]}.items()}
+    more = spark.range(10, 100_210)
+    tables["supplier"] = tables["supplier"].union(more)
+    tables["part"] = tables["part"].union(spark.range(1_000, 2_000))
+    tables["lineitem"] = tables["lineitem"].union(more.select("id", F.col("id") % 1_000 + 1_000))
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.queries()["supplier_cameras"](spark, str(tmp_path)).collect()))
+    want = sorted(con.execute(catalog.oracle_sql()["supplier_cameras"]).fetchall())
+    assert len(want) == 1_200 and got == want
